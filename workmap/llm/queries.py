@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workmap.llm import decontaminate
+from workmap.llm import decontaminate, lm_score, mixing, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": decontaminate.query}
+    return {
+        "op1_decontaminate": decontaminate.query,
+        "op3_lm_score": lm_score.query,
+        "op6_token_count": token_count.query,
+        "op8_substring_dedup": substring_dedup.query,
+        "op9_mix_sources": mixing.query,
+        "op10_toxicity": toxicity.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op3_lm_score": lm_score.ORACLE,
+        "op8_substring_dedup": substring_dedup.ORACLE,
+        "op9_mix_sources": mixing.ORACLE,
+    }
