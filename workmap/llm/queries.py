@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workmap.llm import decontaminate, lm_score, mixing, substring_dedup, token_count, toxicity
+from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
         "op3_lm_score": lm_score.query,
+        "op4_url_rules": url_rules.query,
+        "op5_lattice_dedup": lattice_dedup.query,
         "op6_token_count": token_count.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_substring_dedup": substring_dedup.query,
         "op9_mix_sources": mixing.query,
         "op10_toxicity": toxicity.query,
@@ -24,6 +27,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_lm_score": lm_score.ORACLE,
+        "op5_lattice_dedup": lattice_dedup.ORACLE,
+        "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
         "op9_mix_sources": mixing.ORACLE,
     }

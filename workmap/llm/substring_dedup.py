@@ -13,42 +13,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workmap.llm.common import Words, blocks, covered, grouped, pack, part_of, parts_for, runs, table, text_bytes, unpack, utf8
 
-ENTRY = "bucket int, doc_ids binary, counts binary, hashes binary"
+ENTRY = "bucket int, known boolean, doc_ids binary, counts binary, hashes binary"
+TOLD = "part int, doc_ids binary, counts binary, hashes binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:int,words:int>>"
 
 
-def _entries(key: np.ndarray, n: int, doc_ids: np.ndarray, hashes: np.ndarray, name: str) -> pa.RecordBatch:
+def entries(key: np.ndarray, n: int, doc_ids: np.ndarray, hashes: np.ndarray, name: str, known: bool | None = None) -> pa.RecordBatch:
     """Rows (key, the documents, how many hashes of each, the hashes) for hashes in the order of their documents."""
     rows: list[list] = [[], [], [], []]
     for k, d, h in grouped(key, n, doc_ids, hashes):
         at = runs(d)
         for column, value in zip(rows, (k, pack(d[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(h)), strict=True):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=[name, "doc_ids", "counts", "hashes"])
+    packed = [pa.array(x, pa.binary()) for x in rows[1:]]
+    if known is None:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *packed], names=[name, "doc_ids", "counts", "hashes"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([known] * len(rows[0]), pa.bool_()), *packed], names=[name, "known", "doc_ids", "counts", "hashes"])
 
 
-def _opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     docs = unpack(t.column("doc_ids"), np.int64)
     return np.repeat(docs, unpack(t.column("counts"), np.int32)), unpack(t.column("hashes"), np.uint64)
 
 
-def _first_of_each(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is of the smallest document with its hash, an order by document that has each pair once); docs ascend within equal hashes after a stable sort if they ascend before."""
+def by_hash(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of hash, then document: (documents, hashes, is the smallest of its hash, has its hash in common)."""
     order = np.lexsort((docs, hashes))
     d, h = docs[order], hashes[order]
-    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
-    once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else new
-    is_first = np.empty(len(h), bool)
-    is_first[order] = d == least
-    keep = np.zeros(len(h), bool)
-    keep[order] = once
-    return is_first, keep
+    if not len(h):
+        return d, h, np.zeros(0, bool), np.zeros(0, bool)
+    once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+    d, h = d[once], h[once]
+    first = np.r_[True, h[1:] != h[:-1]]
+    size = np.diff(np.r_[np.flatnonzero(first), len(h)])
+    return d, h, first, np.repeat(size > 1, size)
+
+
+def by_document(d: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(d, kind="stable")
+    return d[order], h[order]
+
+
+def messages(docs: np.ndarray, hashes: np.ndarray, n_buckets: int, with_first: bool) -> Iterator[pa.RecordBatch]:
+    """A block's messages to the buckets: each hash once, with its smallest document; and what the block knows itself, that other documents of it share the hash, spread by document and only passed on. A hash that a third of all documents have is thus one entry for each block.
+
+    with_first: the smallest document of a hash is told of the others, too.
+    """
+    d, h, first, shared = by_hash(docs, hashes)
+    ask_d, ask_h = by_document(d[first], h[first])
+    yield entries((ask_h % np.uint64(n_buckets)).astype(np.int64), n_buckets, ask_d, ask_h, "bucket", False)
+    own = shared if with_first else shared & ~first
+    if own.any():
+        known_d, known_h = by_document(d[own], h[own])
+        yield entries(known_d % n_buckets, n_buckets, known_d, known_h, "bucket", True)
 
 
 def _send(width: int, n_buckets: int, block_bytes: int):
@@ -60,32 +83,28 @@ def _send(width: int, n_buckets: int, block_bytes: int):
             for a, b in blocks(offsets, block_bytes):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 h, at = words.windows(width)
-                d = ids[a:b][np.searchsorted(words.first, at, side="right") - 1]
-                # a hash that the block has in several documents is told of by the smallest; the bucket answers for the others too
-                _, keep = _first_of_each(d, h)
-                h, d = h[keep], d[keep]
-                order = np.argsort(d, kind="stable")
-                h, d = h[order], d[order]
-                yield _entries((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, d, h, "bucket")
+                yield from messages(ids[a:b][np.searchsorted(words.first, at, side="right") - 1], h, n_buckets, with_first=False)
 
     return run
 
 
-def _count(n_parts: int):
+def answer(n_parts: int, with_first: bool):
+    """A bucket's answers: which documents share which hashes with a smaller one (with_first: with any other)."""
+
     def run(t: pa.Table) -> pa.Table:
-        d, h = _opened(t)
-        is_first, _ = _first_of_each(d, h)
-        d, h = d[~is_first], h[~is_first]
-        order = np.argsort(d, kind="stable")
-        d, h = d[order], h[order]
-        return pa.Table.from_batches([_entries(d % n_parts, n_parts, d, h, "part")])
+        known = t.column("known").combine_chunks()
+        ready_d, ready_h = opened(t.filter(known))
+        d, h, first, shared = by_hash(*opened(t.filter(pc.invert(known))))
+        own = shared if with_first else shared & ~first
+        d, h = by_document(np.concatenate([ready_d, d[own]]), np.concatenate([ready_h, h[own]]))
+        return pa.Table.from_batches([entries(d % n_parts, n_parts, d, h, "part")])
 
     return run
 
 
 def _cut(width: int, keep_text: bool, block_bytes: int):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
-        doc, h = _opened(told)
+        doc, h = opened(told)
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
         out: list[list] = [[], [], [], [], [], []]
@@ -134,7 +153,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool =
     n_parts = parts_for(spark, n_bytes, part_bytes)
     n_buckets = parts_for(spark, 2 * n_bytes, part_bytes)
     sent = source.mapInArrow(_send(width, n_buckets, block_bytes), ENTRY)
-    told = sent.groupBy("bucket").applyInArrow(_count(n_parts), ENTRY.replace("bucket", "part"))
+    told = sent.groupBy("bucket").applyInArrow(answer(n_parts, with_first=False), TOLD)
     parts = source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts))
     return parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_cut(width, keep_text, block_bytes), OUT)
 

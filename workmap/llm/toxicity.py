@@ -23,7 +23,7 @@ from workmap.llm.common import blocks, table, utf8
 
 #: Most labelled rows that the lexicon and the trees are fitted on, and most terms of the lexicon.
 SAMPLE_ROWS, LEXICON_WORDS = 20_000, 200
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, SAMPLE_PARTS = 4 << 20, 12
 THRESHOLD = 0.7
 
 #: Words of the second person in the corpus' languages; characters that stand for letters.
@@ -32,6 +32,7 @@ LOOKALIKES = str.maketrans("013457@$!|+", "oieastasiit")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
+_LOOKALIKE = re.compile(r"[013457@$!|+]")
 _REPEAT = re.compile(r"(.)\1{2,}")
 #: Lengths of the word beginnings that may stand in the lexicon, as stems of inflected forms.
 STEMS = (4, 5, 6)
@@ -64,15 +65,20 @@ class Featurer(dict):
         self.rows: list[tuple] = []
 
     def strength(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
+        get = self.lexicon.get
+        found = get(word, 0.0)
+        for k in STEMS:
+            if len(word) > k:
+                found = max(found, get(word[:k] + "*", 0.0))
+        return found
 
     def __missing__(self, token: str) -> int:
         """(strength, strength only once obfuscation is undone, second person, obfuscated look, capitals, letters, other characters, exclamation)."""
-        words = plain_words(token)
+        core = token.strip(".,;:!?\"'()[]{}<>")
+        words = [core.lower()] if core.isalpha() else plain_words(token)
         strength = max(map(self.strength, words), default=0.0)
         letters = sum(map(len, words))
-        core = token.strip(".,;:!?\"'()[]{}<>")
-        odd = letters > 0 and (any(c in "013457@$!|+" for c in core[1:]) or bool(_INNER.search(core)) or bool(_REPEAT.search(core)))
+        odd = letters > 0 and (bool(_REPEAT.search(core)) or not core.isalpha() and (bool(_LOOKALIKE.search(core, 1)) or bool(_INNER.search(core))))
         hidden = self.strength(undone(token)) if odd and not strength else 0.0
         self.rows.append((strength, hidden, any(w in SECOND_PERSON for w in words), odd, len(token) > 1 and token.isupper(), letters, len(token) - letters, "!" in token))
         self[token] = len(self.rows) - 1
@@ -276,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
 
     A quarter of those rows calibrates the trees that the rest grows. Without rows of both labels every score is 0.
     """
-    sample = labelled_sample(docs, labels, most).persist()
+    sample = labelled_sample(docs, labels, most).repartition(SAMPLE_PARTS, "doc_id").persist()
     try:
         lexicon = lexicon_of(sample)
         rows = _featured(sample, lexicon).orderBy("doc_id", "x").collect()  # `most` rows of FEATURES numbers at most
