@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
+from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, ngram_jaccard, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
+        "op2_ngram_jaccard": ngram_jaccard.query,
         "op3_lm_score": lm_score.query,
         "op4_url_rules": url_rules.query,
         "op5_lattice_dedup": lattice_dedup.query,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op2_ngram_jaccard": ngram_jaccard.ORACLE,
         "op3_lm_score": lm_score.ORACLE,
         "op5_lattice_dedup": lattice_dedup.ORACLE,
         "op7_suffix_dedup": suffix_dedup.ORACLE,
