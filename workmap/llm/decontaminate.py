@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workmap.llm.common import table, utf8
+from workmap.llm.common import blocks, table, utf8
 
 #: Bytes that end a word: ASCII other than digits and letters.
 _GAPS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -246,6 +246,46 @@ def _mapper(phrases: Phrases, shard_bytes: int):
     return run
 
 
+def judge_rows(docs: DataFrame, benchmark: DataFrame, columns: list[str], width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """The columns of docs, text among them, with `contaminated`: each row judged where it is, without a join.
+
+    A benchmark of several blocks is judged on the hits of all of them; the rows then carry their spans from pass to pass.
+    """
+    source = docs.select(*columns).withColumn("_spans", F.array().cast(SPANS))
+    for block in _item_blocks(benchmark, block_bytes):
+        source = source.mapInArrow(_row_mapper(Phrases(block, width), shard_bytes, source.columns), source.schema)
+    n_words = F.size(F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _GAPS.decode("latin-1"), " " * len(_GAPS)), " "), lambda x: F.length(x) > 0))
+    n_hit = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
+    return source.withColumn("contaminated", F.when(n_hit == 0, False).otherwise(20 * n_hit >= n_words)).drop("_spans")
+
+
+def _row_mapper(phrases: Phrases, shard_bytes: int, names: list[str]):
+    text, spans = names.index("text"), names.index("_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(text))
+            data = data.tobytes()
+            for a, b in blocks(offsets, shard_bytes):
+                piece = batch.slice(a, b - a)
+                found = _search(phrases, [data[offsets[k] : offsets[k + 1]] for k in range(a, b)])
+                merged = [_union(old or [], new) for old, (_, new, _) in zip(piece.column(spans).to_pylist(), found, strict=True)]
+                columns = [pa.array(merged, piece.schema.field(spans).type) if k == spans else piece.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _union(a: list[dict], b: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for x in sorted(a + b, key=lambda x: x["first"]):
+        if out and x["first"] <= out[-1]["first"] + out[-1]["words"]:
+            out[-1] = {"first": out[-1]["first"], "words": max(out[-1]["words"], x["first"] + x["words"] - out[-1]["first"])}
+        else:
+            out.append(dict(x))
+    return out
+
+
 def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks of at most `most` bytes (one item at least), read one partition at a time."""
     block, size = [], 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from workmap.llm.common import U, Slices, blocks, covered, grouped, mix, pack, part_of, parts_for, runs, table, text_bytes, unpack, utf8
 from workmap.llm.substring_dedup import ENTRY, TOLD, answer, messages, opened
@@ -274,60 +275,92 @@ def _whole(text: bytes, gone: np.ndarray) -> np.ndarray:
     return np.repeat(all_gone, np.diff(np.r_[begin, n]))
 
 
-def _cut(width: int, keep_text: bool, characters: bool):
+def _gone(texts: pa.Table, told: pa.Table, width: int) -> Iterator[tuple[int | None, bytes, np.ndarray | None]]:
+    """(id, text, bytes that go) of each row."""
+    data, offsets = utf8(texts.column("text"))
+    ids = texts.column("doc_id").to_pylist()
+    keys = _doc_keys(data, offsets, np.array([i or 0 for i in ids], np.int64))
+    counts = unpack(told.column("counts"), np.int32)
+    told_keys = np.repeat(unpack(told.column("keys"), U), counts)
+    starts, sizes = unpack(told.column("starts"), np.int32), unpack(told.column("sizes"), np.uint8)
+    order = np.argsort(told_keys, kind="stable")
+    told_keys, starts, sizes = told_keys[order], starts[order].astype(np.int64), sizes[order].astype(np.int64)
+    lo, hi = np.searchsorted(told_keys, keys), np.searchsorted(told_keys, keys, side="right")
+    for k, doc in enumerate(ids):
+        text, gone = data[offsets[k] : offsets[k + 1]], None
+        if doc is not None and hi[k] > lo[k]:
+            step = np.zeros(len(text) + 1, np.int64)
+            own = slice(lo[k], hi[k])
+            np.add.at(step, starts[own], 1)
+            np.add.at(step, starts[own] + sizes[own] + width - 1, -1)
+            gone = np.cumsum(step[:-1]) > 0
+        yield doc, text.tobytes(), gone
+
+
+def _cut(width: int, keep_text: bool):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(7)]
-        if texts.num_rows:
-            data, offsets = utf8(texts.column("text"))
-            ids = texts.column("doc_id").to_pylist()
-            keys = _doc_keys(data, offsets, np.array([i or 0 for i in ids], np.int64))
-            counts = unpack(told.column("counts"), np.int32)
-            told_keys = np.repeat(unpack(told.column("keys"), U), counts)
-            starts, sizes = unpack(told.column("starts"), np.int32), unpack(told.column("sizes"), np.uint8)
-            order = np.argsort(told_keys, kind="stable")
-            told_keys, starts, sizes = told_keys[order], starts[order].astype(np.int64), sizes[order].astype(np.int64)
-            lo, hi = np.searchsorted(told_keys, keys), np.searchsorted(told_keys, keys, side="right")
-            for k, doc in enumerate(ids):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                n, spans, kept, removed = len(text), [], text, 0
-                if doc is not None and hi[k] > lo[k]:
-                    step = np.zeros(n + 1, np.int64)
-                    own = slice(lo[k], hi[k])
-                    np.add.at(step, starts[own], 1)
-                    np.add.at(step, starts[own] + sizes[own] + width - 1, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    if characters:
-                        gone = _whole(text, gone)
-                    edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                    spans = [{"first": int(s), "bytes": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    removed = n - len(kept)
-                for column, value in zip(out, (doc, n, removed, len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, spans), strict=True):
-                    column.append(value)
+        for doc, text, gone in _gone(texts, told, width) if texts.num_rows else ():
+            spans, kept = [], text
+            if gone is not None:
+                edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                spans = [{"first": int(s), "bytes": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+            for column, value in zip(out, (doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, spans), strict=True):
+                column.append(value)
         types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))]
         return pa.table([pa.array(c, ty) for c, ty in zip(out, types, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = True, characters: bool = False, block_bytes: int = 1 << 20, part_bytes: int = 12 << 20, sort_rows: int = 12_000) -> DataFrame:
+def _cut_text(width: int, names: list[str]):
+    """Rows with the rest of their text; characters that would go only in part stay."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
+        kept: list[str | None] = []
+        if texts.num_rows:
+            for was, (_, text, gone) in zip(texts.column("text").is_null().to_pylist(), _gone(texts, told, width), strict=True):
+                if gone is not None:
+                    text = np.frombuffer(text, np.uint8)[~_whole(text, gone)].tobytes()
+                kept.append(None if was else text.decode())
+        text = pa.array(kept, pa.string())
+        return pa.table([text if c == "text" else texts.column(c) for c in names], names=names)
+
+    return run
+
+
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = True, block_bytes: int = 1 << 20, part_bytes: int = 12 << 20, sort_rows: int = 12_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, null without keep_text), spans of each row of docs(doc_id, text).
 
     A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller doc_id; strings are
-    judged on the input. With `characters`, characters that would go only in part stay. A null text is empty; a row with a
-    null doc_id neither loses nor takes; rows with equal ids don't take from each other, and those with equal ids and texts
+    judged on the input. A null text is empty; a row with a null doc_id neither loses nor takes; rows with equal ids don't take from each other, and those with equal ids and texts
     get equal results. width is at most 255 + gram. Other columns aren't read.
     """
+    parts, found = _found(docs, [], width, gram, block_bytes, part_bytes, sort_rows)
+    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, keep_text), OUT)
+
+
+def cut_rows(docs: DataFrame, columns: list[str], width: int = WIDTH, gram: int = GRAM, block_bytes: int = 1 << 20, part_bytes: int = 12 << 20, sort_rows: int = 12_000) -> DataFrame:
+    """The columns of docs, doc_id and text among them, the text without repeated strings of whole characters and n_chars, if there, its length."""
+    extra = [c for c in columns if c not in ("doc_id", "text")]
+    parts, found = _found(docs, extra, width, gram, block_bytes, part_bytes, sort_rows)
+    schema = T.StructType([parts.schema[c] for c in columns])
+    out = parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut_text(width, columns), schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
+
+
+def _found(docs: DataFrame, extra: list[str], width: int, gram: int, block_bytes: int, part_bytes: int, sort_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their parts, and the repeated window starts of each part."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     n_bytes = text_bytes(source)
     n_parts, n_buckets = parts_for(spark, n_bytes, part_bytes), parts_for(spark, n_bytes, part_bytes)
-    have = source.mapInArrow(_send(width, gram, n_buckets, block_bytes), ENTRY)
+    have = source.select("doc_id", "text").mapInArrow(_send(width, gram, n_buckets, block_bytes), ENTRY)
     told = have.groupBy("bucket").applyInArrow(answer(n_parts, with_first=True), TOLD)
     parts = source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts))
     sent = parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_stretches(width, gram, n_buckets, block_bytes), SENT)
-    found = sent.groupBy("bucket").applyInArrow(_answer(width, sort_rows), FOUND)
-    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, keep_text, characters), OUT)
+    return parts, sent.groupBy("bucket").applyInArrow(_answer(width, sort_rows), FOUND)
 
 
 ORACLE = """

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from workmap.llm.common import blocks, table, utf8
 
@@ -300,23 +301,38 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     return Model(lexicon, forest)
 
 
+def _scorer(model: Model, threshold: float, names: list[str]):
+    """Adds score and predicted to batches whose last column is the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Featurer(model.lexicon)
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            _, offsets = utf8(text)
+            x = [f.features(text[a:b].to_pylist()) for a, b in blocks(offsets, BLOCK_BYTES)]
+            p = np.clip(model.forest.probability(np.concatenate(x)), 0.0, 1.0) if x else np.zeros(0)
+            columns = batch.columns if "text" in names else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out (fold 1), score in [0, 1], predicted (1 from the threshold on) of each row of docs(doc_id, text).
 
     Null and empty texts get the score of a text without words; rows that repeat get equal scores. Only doc_id and text are
     read, and the id only for the fold.
     """
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = source.mapInArrow(_scorer(model, threshold, ["doc_id"]), "doc_id long, score double, predicted int")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Featurer(model.lexicon)
-        for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            x = [f.features(batch.column(1)[a:b].to_pylist()) for a, b in blocks(offsets, BLOCK_BYTES)]
-            p = np.clip(model.forest.probability(np.concatenate(x)), 0.0, 1.0) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+def score_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id", "lang", "source", "n_chars")) -> DataFrame:
+    """The columns and text of docs with score and predicted, in one pass and without a join."""
+    source = docs.select(*columns, "text")
+    schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return source.mapInArrow(_scorer(model, threshold, [*columns, "text"]), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
