@@ -134,6 +134,18 @@ class Slices:
         return mix((self.sums[width:] - self.sums[:n]) * _powers(self.base, n, inverse=True) + U(width))
 
 
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """Hashes of slices that don't overlap, in the order of places; some hundred kB are worked on at a time."""
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        to = max(int(np.searchsorted(ends, lo + chunk, side="right")), at + 1)
+        out[at:to] = Slices(data[lo : int(ends[to - 1])]).of(starts[at:to] - lo, ends[at:to] - lo)
+        at = to
+    return out
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased; all other bytes stay."""
     out = data.copy()
@@ -164,7 +176,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        return Slices(self.data).of(self.starts, self.ends)
+        return slice_hashes(self.data, self.starts, self.ends)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, first word) of every run of `width` words of one text."""

@@ -133,7 +133,7 @@ def _dealt(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int, int]:
     return source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts)), n_parts, parts_for(docs.sparkSession, 2 * n_bytes, part_bytes)
 
 
-def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, part_bytes: int = 12 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, part_bytes: int = 8 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each row of docs(doc_id, text).
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A word with its order-1 words before it scores its

@@ -139,7 +139,7 @@ def _cut(width: int, keep_text: bool, block_bytes: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool = True, block_bytes: int = 6 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool = True, block_bytes: int = 3 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (null without keep_text), spans for each row of docs(doc_id, text).
 
     A word goes if a window of `width` words that covers it also starts in a document with a smaller doc_id; windows are
@@ -155,7 +155,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool =
     sent = source.mapInArrow(_send(width, n_buckets, block_bytes), ENTRY)
     told = sent.groupBy("bucket").applyInArrow(answer(n_parts, with_first=False), TOLD)
     parts = source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts))
-    return parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_cut(width, keep_text, block_bytes), OUT)
+    return parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_cut(width, keep_text, 1 << 20), OUT)
 
 
 ORACLE = """

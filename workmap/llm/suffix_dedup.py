@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workmap.llm.common import U, Slices, blocks, covered, grouped, mix, pack, part_of, parts_for, runs, table, text_bytes, unpack, utf8
+from workmap.llm.common import U, Slices, blocks, covered, grouped, mix, pack, part_of, parts_for, runs, slice_hashes, table, text_bytes, unpack, utf8
 from workmap.llm.substring_dedup import ENTRY, TOLD, answer, messages, opened
 from workmap.llm.suffix_sort import sorted_windows
 
@@ -101,7 +101,7 @@ class _Rows:
 
 def _doc_keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Tells rows with one id but different texts apart."""
-    return mix(Slices(data).of(offsets[:-1], offsets[1:]) + ids.astype(U))
+    return mix(slice_hashes(data, offsets[:-1], offsets[1:]) + ids.astype(U))
 
 
 def _isin(docs: np.ndarray, values: np.ndarray, told_docs: np.ndarray, told: np.ndarray) -> np.ndarray:
@@ -330,7 +330,7 @@ def _cut_text(width: int, names: list[str]):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = True, block_bytes: int = 1 << 20, part_bytes: int = 12 << 20, sort_rows: int = 12_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = True, block_bytes: int = 1 << 20, part_bytes: int = 8 << 20, sort_rows: int = 8_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, null without keep_text), spans of each row of docs(doc_id, text).
 
     A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller doc_id; strings are
@@ -341,7 +341,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, keep_text), OUT)
 
 
-def cut_rows(docs: DataFrame, columns: list[str], width: int = WIDTH, gram: int = GRAM, block_bytes: int = 1 << 20, part_bytes: int = 12 << 20, sort_rows: int = 12_000) -> DataFrame:
+def cut_rows(docs: DataFrame, columns: list[str], width: int = WIDTH, gram: int = GRAM, block_bytes: int = 1 << 20, part_bytes: int = 8 << 20, sort_rows: int = 8_000) -> DataFrame:
     """The columns of docs, doc_id and text among them, the text without repeated strings of whole characters and n_chars, if there, its length."""
     extra = [c for c in columns if c not in ("doc_id", "text")]
     parts, found = _found(docs, extra, width, gram, block_bytes, part_bytes, sort_rows)
