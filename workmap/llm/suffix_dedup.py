@@ -10,6 +10,7 @@ but differ, and reads equal windows off the suffix order; the smallest document
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from workmap.llm.substring_dedup import ENTRY, TOLD, answer, messages, opened
 from workmap.llm.suffix_sort import sorted_windows
 
 #: Bytes of a repeated string, bytes of an anchor.
-WIDTH, GRAM = 50, 24
-SENT = "bucket int, known boolean, part int, docs binary, keys binary, counts binary, anchors binary, stretches binary, starts binary, sizes binary, which binary, bytes binary"
+WIDTH, GRAM = 50, 20
+SENT = "bucket int, known boolean, part int, docs binary, keys binary, counts binary, starts binary, sizes binary, steps binary, anchors binary, bytes binary"
 FOUND = "part int, docs binary, keys binary, counts binary, starts binary, sizes binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<first:long,bytes:long>>"
 
@@ -86,16 +87,18 @@ class _Rows:
     """Rows of packed columns for entries that are in the order of documents."""
 
     def __init__(self):
-        self.columns: list[list] = [[] for _ in range(12)]
+        self.columns: list[list] = [[] for _ in range(11)]
 
-    def add(self, bucket: int, known: bool, part: int, docs, keys, anchors, stretches, starts, sizes, which, data) -> None:
+    def add(self, bucket: int, known: bool, part: int, docs, keys, starts, sizes, member, anchors, data: bytes) -> None:
+        """member: which of the row's distinct stretches an entry is; anchors and data are of those."""
         at = runs(keys)
-        row = (bucket, known, part, pack(docs[at[:-1]]), pack(keys[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(anchors), pack(stretches), pack(starts.astype(np.int32)), pack(sizes.astype(np.uint8)), pack(which.astype(np.int32)), data)
+        step = np.diff(member, prepend=0).astype(np.int32)
+        row = (bucket, known, part, pack(docs[at[:-1]]), pack(keys[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(starts.astype(np.int32)), pack(sizes.astype(np.uint8)), pack(step), pack(anchors), zlib.compress(data, 1))
         for column, value in zip(self.columns, row, strict=True):
             column.append(value)
 
     def table(self) -> pa.Table:
-        types = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 9]
+        types = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 8]
         return pa.table([pa.array(c, t) for c, t in zip(self.columns, types, strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
 
 
@@ -157,25 +160,21 @@ def _stretches(width: int, gram: int, n_buckets: int, block_bytes: int):
         least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
         asks = np.empty(len(docs), bool)
         asks[order] = d == least
-        firsts = np.zeros(len(docs), bool)
-        firsts[order[new]] = True  # one entry of each distinct stretch, of its smallest document, carries the bytes
-        holder = np.empty(len(docs), np.int64)
         u, back = np.unique(same, return_inverse=True)
         of = np.full(len(u), -1, np.int64)
         of[back[once]] = np.arange(len(once))
-        holder = of[back]
         bucket = (anchors % U(n_buckets)).astype(np.int64)
         none = np.zeros(0, np.int64)
         doc_order = np.lexsort((starts, keys, docs))
         ask = doc_order[asks[doc_order]]
         for k, i in grouped(bucket[ask], n_buckets, ask):
-            which = np.flatnonzero(firsts[i])
-            held = holder[i[which]]
-            place = np.concatenate([np.arange(at[x], at[x + 1]) for x in held.tolist()]) if len(held) else none
-            out.add(k, False, part, docs[i], keys[i], anchors[i], stretches[i], starts[i], sizes[i], which, data[place].tobytes())
+            u, one, member = np.unique(back[i], return_index=True, return_inverse=True)
+            held = of[u]
+            place = np.concatenate([np.arange(at[x], at[x + 1]) for x in held.tolist()])
+            out.add(k, False, part, docs[i], keys[i], starts[i], sizes[i], member, anchors[i[one]], data[place].tobytes())
         rest = doc_order[~asks[doc_order]]
         if len(rest):
-            out.add(int(part) % n_buckets, True, part, docs[rest], keys[rest], np.zeros(0, U), np.zeros(0, U), starts[rest], sizes[rest], none, b"")
+            out.add(int(part) % n_buckets, True, part, docs[rest], keys[rest], starts[rest], sizes[rest], none, np.zeros(0, U), b"")
         return out.table()
 
     return run
@@ -216,14 +215,19 @@ def _answer(width: int, most: int):
         if t.num_rows:
             counts = unpack(t.column("counts"), np.int32)
             docs, keys = np.repeat(unpack(t.column("docs"), np.int64), counts), np.repeat(unpack(t.column("keys"), U), counts)
-            anchors, stretches = unpack(t.column("anchors"), U), unpack(t.column("stretches"), U)
             starts, sizes = unpack(t.column("starts"), np.int32).astype(np.int64), unpack(t.column("sizes"), np.uint8).astype(np.int64)
-            per_row = np.array([len(x) // 8 for x in t.column("anchors").to_pylist()])
-            base = np.cumsum(per_row) - per_row
-            which_row = [np.frombuffer(x, np.int32) + b for x, b in zip(t.column("which").to_pylist(), base.tolist(), strict=True)]
+            per_row = np.array([len(x) for x in t.column("sizes").to_pylist()])
             part = np.repeat(np.asarray(t.column("part")), per_row)
-            which = np.concatenate(which_row)
-            data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
+            # the stretches of all rows, one after another, and which of them each entry is
+            anchors = unpack(t.column("anchors"), U)
+            n_own = np.array([len(x) // 8 for x in t.column("anchors").to_pylist()])
+            member = np.concatenate([np.cumsum(np.frombuffer(x, np.int32)) + b for x, b in zip(t.column("steps").to_pylist(), (np.cumsum(n_own) - n_own).tolist(), strict=True)])
+            data = np.frombuffer(b"".join(map(zlib.decompress, t.column("bytes").to_pylist())), np.uint8)
+            length = np.empty(len(anchors), np.int64)
+            length[member] = sizes + width - 1
+            at = np.concatenate([[0], np.cumsum(length)])
+            stretches = slice_hashes(data, at[:-1], at[1:])[member]
+            anchors = anchors[member]
             # classes of equal stretches
             order = np.lexsort((docs, stretches, anchors))
             a, s, d = anchors[order], stretches[order], docs[order]
@@ -231,16 +235,13 @@ def _answer(width: int, most: int):
             number = np.empty(len(order), np.int64)
             number[order] = np.cumsum(new) - 1
             first = np.flatnonzero(new)
-            anchor_of, least = a[first], d[first]
+            anchor_of, least, held = a[first], d[first], member[order][first]
             edge = runs(anchor_of)
             alone = np.repeat(np.diff(edge) == 1, np.diff(edge))
             # a window's smallest document; where all stretches of an anchor are equal it is the class's
             n_windows = sizes[order][first]
             window = np.concatenate([[0], np.cumsum(n_windows)])
             smallest = np.repeat(least, n_windows)
-            held = np.full(len(first), -1, np.int64)
-            held[number[which]] = np.arange(len(which))
-            at = np.concatenate([[0], np.cumsum(sizes[which] + width - 1)])
             differ = np.flatnonzero(~alone)
             if len(differ):
                 h = held[differ]
