@@ -24,12 +24,23 @@ TOLD = "part int, doc_ids binary, counts binary, hashes binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:int,words:int>>"
 
 
-def entries(key: np.ndarray, n: int, doc_ids: np.ndarray, hashes: np.ndarray, name: str, known: bool | None = None) -> pa.RecordBatch:
-    """Rows (key, the documents, how many hashes of each, the hashes) for hashes in the order of their documents."""
+def narrow(hashes: np.ndarray, width: int) -> bytes:
+    """The low bytes of hashes."""
+    return pack(hashes) if width == 8 else np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def entries(key: np.ndarray, n: int, doc_ids: np.ndarray, hashes: np.ndarray, name: str, known: bool | None = None, width: int = 8) -> pa.RecordBatch:
+    """Rows (key, the documents, how many hashes of each, the hashes by their low `width` bytes) for hashes in the order of their documents."""
     rows: list[list] = [[], [], [], []]
     for k, d, h in grouped(key, n, doc_ids, hashes):
         at = runs(d)
-        for column, value in zip(rows, (k, pack(d[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(h)), strict=True):
+        for column, value in zip(rows, (k, pack(d[at[:-1]]), pack(np.diff(at).astype(np.int32)), narrow(h, width)), strict=True):
             column.append(value)
     packed = [pa.array(x, pa.binary()) for x in rows[1:]]
     if known is None:
@@ -37,9 +48,9 @@ def entries(key: np.ndarray, n: int, doc_ids: np.ndarray, hashes: np.ndarray, na
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([known] * len(rows[0]), pa.bool_()), *packed], names=[name, "known", "doc_ids", "counts", "hashes"])
 
 
-def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def opened(t: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     docs = unpack(t.column("doc_ids"), np.int64)
-    return np.repeat(docs, unpack(t.column("counts"), np.int32)), unpack(t.column("hashes"), np.uint64)
+    return np.repeat(docs, unpack(t.column("counts"), np.int32)), widened(unpack(t.column("hashes"), np.uint8), width)
 
 
 def by_hash(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +71,18 @@ def by_document(d: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[order], h[order]
 
 
-def messages(docs: np.ndarray, hashes: np.ndarray, n_buckets: int, with_first: bool) -> Iterator[pa.RecordBatch]:
+def messages(docs: np.ndarray, hashes: np.ndarray, n_buckets: int, with_first: bool, width: int = 8) -> Iterator[pa.RecordBatch]:
     """A block's messages to the buckets: each hash once, with its smallest document; and what the block knows itself, that other documents of it share the hash, spread by document and only passed on. A hash that a third of all documents have is thus one entry for each block.
 
     with_first: the smallest document of a hash is told of the others, too.
     """
     d, h, first, shared = by_hash(docs, hashes)
     ask_d, ask_h = by_document(d[first], h[first])
-    yield entries((ask_h % np.uint64(n_buckets)).astype(np.int64), n_buckets, ask_d, ask_h, "bucket", False)
+    yield entries((ask_h % np.uint64(n_buckets)).astype(np.int64), n_buckets, ask_d, ask_h, "bucket", False, width)
     own = shared if with_first else shared & ~first
     if own.any():
         known_d, known_h = by_document(d[own], h[own])
-        yield entries(known_d % n_buckets, n_buckets, known_d, known_h, "bucket", True)
+        yield entries(known_d % n_buckets, n_buckets, known_d, known_h, "bucket", True, width)
 
 
 def _send(width: int, n_buckets: int, block_bytes: int):
@@ -88,16 +99,16 @@ def _send(width: int, n_buckets: int, block_bytes: int):
     return run
 
 
-def answer(n_parts: int, with_first: bool):
+def answer(n_parts: int, with_first: bool, width: int = 8):
     """A bucket's answers: which documents share which hashes with a smaller one (with_first: with any other)."""
 
     def run(t: pa.Table) -> pa.Table:
         known = t.column("known").combine_chunks()
-        ready_d, ready_h = opened(t.filter(known))
-        d, h, first, shared = by_hash(*opened(t.filter(pc.invert(known))))
+        ready_d, ready_h = opened(t.filter(known), width)
+        d, h, first, shared = by_hash(*opened(t.filter(pc.invert(known)), width))
         own = shared if with_first else shared & ~first
         d, h = by_document(np.concatenate([ready_d, d[own]]), np.concatenate([ready_h, h[own]]))
-        return pa.Table.from_batches([entries(d % n_parts, n_parts, d, h, "part")])
+        return pa.Table.from_batches([entries(d % n_parts, n_parts, d, h, "part", width=width)])
 
     return run
 

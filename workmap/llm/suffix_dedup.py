@@ -26,6 +26,9 @@ from workmap.llm.suffix_sort import sorted_windows
 
 #: Bytes of a repeated string, bytes of an anchor.
 WIDTH, GRAM = 50, 20
+#: Bytes of an anchor's hash in messages: what agrees by chance is told apart where the strings are sorted.
+HASH_BYTES = 6
+_LOW = U((1 << 8 * HASH_BYTES) - 1)
 SENT = "bucket int, known boolean, part int, docs binary, keys binary, counts binary, starts binary, sizes binary, steps binary, anchors binary, bytes binary"
 FOUND = "part int, docs binary, keys binary, counts binary, starts binary, sizes binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<first:long,bytes:long>>"
@@ -64,7 +67,7 @@ class Anchors:
         cut = np.r_[True, (own[1:] != own[:-1]) | (v[1:] != v[:-1] + 1)]
         at = np.flatnonzero(cut)
         self.first, self.size = v[at], np.diff(np.r_[at, len(v)])
-        self.anchor = h[own[at]]
+        self.anchor = h[own[at]] & _LOW
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
         # the stretch with its place around the anchor: what must agree for all its windows to
         self.stretch = mix(sums.of(self.first, self.first + self.size + width - 1) ^ ((own[at] - self.first).astype(U) << U(32)))
@@ -78,7 +81,7 @@ def _send(width: int, gram: int, n_buckets: int, block_bytes: int):
             ids = np.asarray(batch.column(0), dtype=np.int64)
             for a, b in blocks(offsets, block_bytes):
                 found = Anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, gram)
-                yield from messages(ids[a:b][found.doc], found.anchor, n_buckets, with_first=True)
+                yield from messages(ids[a:b][found.doc], found.anchor, n_buckets, with_first=True, width=HASH_BYTES)
 
     return run
 
@@ -120,7 +123,7 @@ def _stretches(width: int, gram: int, n_buckets: int, block_bytes: int):
             return out.table()
         part = key[0].as_py()
         texts = texts.filter(texts.column("doc_id").is_valid())
-        told_docs, told_hashes = opened(told)
+        told_docs, told_hashes = opened(told, HASH_BYTES)
         ids = np.asarray(texts.column("doc_id"), dtype=np.int64)
         data, offsets = utf8(texts.column("text"))
         chosen = np.flatnonzero(np.isin(ids, told_docs))
@@ -358,7 +361,7 @@ def _found(docs: DataFrame, extra: list[str], width: int, gram: int, block_bytes
     n_bytes = text_bytes(source)
     n_parts, n_buckets = parts_for(spark, n_bytes, part_bytes), parts_for(spark, n_bytes, part_bytes)
     have = source.select("doc_id", "text").mapInArrow(_send(width, gram, n_buckets, block_bytes), ENTRY)
-    told = have.groupBy("bucket").applyInArrow(answer(n_parts, with_first=True), TOLD)
+    told = have.groupBy("bucket").applyInArrow(answer(n_parts, with_first=True, width=HASH_BYTES), TOLD)
     parts = source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts))
     sent = parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_stretches(width, gram, n_buckets, block_bytes), SENT)
     return parts, sent.groupBy("bucket").applyInArrow(_answer(width, sort_rows), FOUND)
