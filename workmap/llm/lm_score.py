@@ -139,7 +139,7 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, part_
     Words are runs of other than ASCII white space, A-Z lower-cased. A word with its order-1 words before it scores its
     n-gram's count over its context's count, both in all rows but this one; where the n-gram is in no other row, the shorter
     one's score times `backoff`. A single word's context count is the number of words in the other rows; an unknown word's
-    share is one over that number plus one. log_score sums natural logarithms, 0 for null and empty texts, whose mean is
+    share is `backoff` over that number plus one. log_score sums natural logarithms, 0 for null and empty texts, whose mean is
     null. Equal rows score each other: each leaves out only itself. Other columns aren't read.
     """
     parts, _, n_buckets = _dealt(docs, part_bytes)

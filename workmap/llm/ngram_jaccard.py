@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workmap.llm.common import Slices, U, Words, ascii_lower, blocks, components, grouped, mix, pack, part_of, parts_for, runs, table, text_bytes, unpack, utf8, written
+from workmap.llm.common import Slices, U, Words, ascii_lower, blocks, components, grouped, mix, pack, parts_for, runs, table, text_bytes, unpack, utf8, written
 
 #: Words of a shingle; the threshold as a fraction.
 WIDTH, LEAST = 5, (4, 5)
@@ -28,7 +28,12 @@ HOMES, HOME_ROWS, GROUP_ROWS, COUNTERS = 3, 1000, 256, 1 << 20
 LEADERS = 48
 _SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0)]
 
-SKETCH = "doc_id long, n long, class long, homes array<long>, prefix binary"
+#: Bits of the filter that says which classes a pass over the texts may leave out; a fixed size, so it only leaves out less as the corpus grows.
+FILTER_BITS, PIECES = 1 << 26, 64
+
+SKETCH = "doc_id long, n long, class long, homes array<long>"
+PREFIX = "bucket int, classes binary, counts binary, tokens binary"
+SEAT = "bucket int, home long, sub int, class long, shingles binary"
 
 
 def needed(n, least: tuple[int, int] = LEAST):
@@ -36,6 +41,15 @@ def needed(n, least: tuple[int, int] = LEAST):
     return -(-n * least[0] // least[1])
 
 
+def common(n):
+    """How many of its prefix's shingles a set of n shares with the prefix of a linked set of the same size, at least."""
+    return 1 + n // 10
+
+
+def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
+    return min(n, n - needed(n, least) + common(n))
+
+
 def linked(both, a, b, least: tuple[int, int] = LEAST):
     return least[1] * both >= least[0] * (a + b - both)
 
@@ -76,74 +90,182 @@ def _counter(width: int, block_bytes: int):
             for a, b in blocks(offsets, block_bytes):
                 s = Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 total += np.bincount((s.hashes & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
-        step = COUNTERS // 64
-        for k in range(64):
-            piece = total[k * step : (k + 1) * step]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(pack(piece), 1)], pa.binary())], names=["piece", "counts"])
+        yield from _pieces(total)
 
     return run
 
 
+def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = COUNTERS // PIECES
+    for k in range(PIECES):
+        piece = total[k * step : (k + 1) * step]
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(pack(piece), 1)], pa.binary())], names=["piece", "counts"])
+
+
+def counters(pieces: DataFrame) -> np.ndarray:
+    """Sums of the tasks' counters: COUNTERS numbers, whatever the corpus."""
+    total = np.zeros(COUNTERS, np.int64)
+    step = COUNTERS // PIECES
+    for r in pieces.groupBy("piece").applyInArrow(_add, "piece int, counts binary").toLocalIterator():
+        total[r.piece * step : (r.piece + 1) * step] = np.frombuffer(r.counts, np.int64)
+    return total
+
+
 def _add(t: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // 64, np.int64)
+    total = np.zeros(COUNTERS // PIECES, np.int64)
     for x in t.column("counts"):
         total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
     return pa.table([t.column("piece")[:1], pa.array([pack(total)], pa.binary())], names=["piece", "counts"])
 
 
 def heaviness(docs: DataFrame, width: int, block_bytes: int) -> np.ndarray:
-    """For each of COUNTERS hashed counters, how many doublings its load is above four times the mean: a fixed size, whatever the corpus."""
-    pieces = docs.mapInArrow(_counter(width, block_bytes), "piece int, counts binary").groupBy("piece").applyInArrow(_add, "piece int, counts binary")
-    total = np.zeros(COUNTERS, np.int64)
-    step = COUNTERS // 64
-    for r in pieces.toLocalIterator():
-        total[r.piece * step : (r.piece + 1) * step] = np.frombuffer(r.counts, np.int64)
+    """For each of COUNTERS hashed counters, how many doublings its load is above four times the mean."""
+    total = counters(docs.mapInArrow(_counter(width, block_bytes), "piece int, counts binary"))
     bar = max(16.0, 4.0 * total.mean())
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / bar)), 0, 60).astype(np.uint8)
 
 
-def _sketcher(width: int, least: tuple[int, int], heavy: np.ndarray, block_bytes: int):
+class _Classes:
+    """The class of each text of a block (a digest of its set) and the minima that it may be grouped by."""
+
+    def __init__(self, s: Sets):
+        n = s.size
+        self.some = np.flatnonzero(n)
+        at = s.first[self.some]
+        self.digest = np.zeros(len(n), U)
+        self.homes = np.zeros((len(n), HOMES), U)
+        if len(self.some):
+            h = s.hashes
+            self.digest[self.some] = mix(np.add.reduceat(mix(h ^ _SEEDS[0]), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ _SEEDS[1]), at)) ^ n[self.some].astype(U))
+            for j in range(HOMES):
+                self.homes[self.some, j] = np.minimum.reduceat(h if j == 0 else mix(h ^ _SEEDS[j]), at) ^ U(j)
+
+
+def _sets(batch: pa.RecordBatch, width: int, block_bytes: int) -> Iterator[tuple[int, int, Sets, _Classes]]:
+    data, offsets = utf8(batch.column(1))
+    for a, b in blocks(offsets, block_bytes):
+        s = Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+        yield a, b, s, _Classes(s)
+
+
+def _sketcher(width: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets, block_bytes):
-                s = Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                n = s.size
-                some = np.flatnonzero(n)
-                at = s.first[some]
-                digest = np.zeros(len(n), U)
-                homes = np.zeros((len(n), HOMES), U)
-                if len(some):
-                    h = s.hashes
-                    digest[some] = mix(np.add.reduceat(mix(h ^ _SEEDS[0]), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ _SEEDS[1]), at)) ^ n[some].astype(U))
-                    for j in range(HOMES):
-                        homes[some, j] = np.minimum.reduceat(h if j == 0 else mix(h ^ _SEEDS[j]), at) ^ U(j)
-                prefixes = []
+            for a, b, s, c in _sets(batch, width, block_bytes):
+                homes = pa.array(list(c.homes.view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.size), pa.array(c.digest.view(np.int64)), homes], names=["doc_id", "n", "class", "homes"])
+
+    return run
+
+
+def _prefixer(width: int, least: tuple[int, int], heavy: np.ndarray, n_buckets: int, block_bytes: int):
+    """The rarest shingles of each class of a block, so many that linked sets have `common` of them in common; packed by the shingle's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            for _, _, s, c in _sets(batch, width, block_bytes):
                 rank = (heavy[(s.hashes & U(COUNTERS - 1)).astype(np.int64)].astype(U) << U(57)) | (s.hashes >> U(7))
-                for k in range(len(n)):
-                    p = int(n[k] - needed(n[k], least) + 1) if n[k] else 0
-                    own = s.of(k)
-                    prefixes.append(pack(own[np.argpartition(rank[s.first[k] : s.first[k + 1]], p - 1)[:p]] if 0 < p < len(own) else own))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(n), pa.array(digest.view(np.int64)), pa.array(list(homes.view(np.int64)), pa.list_(pa.int64())), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n", "class", "homes", "prefix"],
-                )
+                _, once = np.unique(c.digest[c.some], return_index=True)
+                prefixes, classes = [], []
+                for k in c.some[once].tolist():
+                    own, n = s.of(k), int(s.size[k])
+                    p = prefix_size(n, least)
+                    prefixes.append(own[np.argpartition(rank[s.first[k] : s.first[k + 1]], p - 1)[:p]] if p < n else own)
+                    classes.append(np.full(len(prefixes[-1]), c.digest[k]))
+                rows: list[list] = [[], [], [], []]
+                if classes:
+                    tokens, ids = np.concatenate(prefixes), np.concatenate(classes).view(np.int64)
+                    for b, cc, h in grouped((tokens % U(n_buckets)).astype(np.int64), n_buckets, ids, tokens):
+                        at = runs(cc)
+                        for column, value in zip(rows, (b, pack(cc[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(h)), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "classes", "counts", "tokens"])
 
     return run
 
 
-def _set_maker(width: int, block_bytes: int):
+def _bits(t: pa.Table) -> pa.Table:
+    step = FILTER_BITS // PIECES
+    bits = np.zeros(step, bool)
+    bits[np.asarray(t.column("bit")) % step] = True
+    return pa.table([t.column("piece")[:1], pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+
+
+def class_filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each hashed class: of FILTER_BITS bits, whatever the number of classes."""
+    step = FILTER_BITS // PIECES
+    bit = classes.select(F.pmod("class", F.lit(FILTER_BITS)).cast("long").alias("bit")).distinct()
+    pieces = bit.withColumn("piece", F.floor(F.col("bit") / step).cast("int")).groupBy("piece").applyInArrow(_bits, "piece int, bits binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        out[r.piece * step // 8 : (r.piece + 1) * step // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out
+
+
+def _may_be(filter_: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    at = digest.view(np.int64) % FILTER_BITS
+    return (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _passed(s: Sets, c: _Classes, filter_: np.ndarray) -> np.ndarray:
+    """One text of each class of a block that the filter lets through."""
+    _, once = np.unique(c.digest[c.some], return_index=True)
+    rows = c.some[once]
+    return rows[_may_be(filter_, c.digest[rows])]
+
+
+def _set_maker(width: int, filter_: np.ndarray, block_bytes: int):
+    """(class, shingles) of the classes that the filter lets through, each once for a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets, block_bytes):
-                s = Sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([pack(s.of(k)) for k in range(b - a)], pa.binary())], names=["class", "shingles"])
+            batch = batch.filter(batch.column(0).is_valid())
+            for _, _, s, c in _sets(batch, width, block_bytes):
+                rows = _passed(s, c, filter_)
+                yield pa.RecordBatch.from_arrays([pa.array(c.digest[rows].view(np.int64)), pa.array([pack(s.of(k)) for k in rows.tolist()], pa.binary())], names=["class", "shingles"])
+
+    return run
+
+
+def _seater(width: int, filter_: np.ndarray, popular: np.ndarray, buckets: int, block_bytes: int):
+    """Seats of the classes that the filter lets through: in the most popular of their homes, a large home in several rooms, some of its classes in all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            for _, _, s, c in _sets(batch, width, block_bytes):
+                rows = _passed(s, c, filter_)
+                load = popular[(c.homes[rows] & U(COUNTERS - 1)).astype(np.int64)]
+                best = load.argmax(1)
+                home, load = c.homes[rows, best], load[np.arange(len(rows)), best]
+                out: list[list] = [[], [], [], [], []]
+                for k, h, n in zip(rows.tolist(), home.tolist(), load.tolist(), strict=True):
+                    if n < 2:
+                        continue
+                    rooms = -(-n // HOME_ROWS)
+                    mine = int(mix(c.digest[k : k + 1])[0])
+                    for room in range(rooms) if rooms > 1 and mine % max(1, n // 4) == 0 else (mine % rooms,):
+                        spread = int(mix(np.array([h ^ room * 0x9E3779B9], U))[0])
+                        for column, value in zip(out, (spread % buckets, h, room, int(c.digest[k]), pack(s.of(k))), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int32()), pa.array(np.array(out[1], U).view(np.int64)), pa.array(out[2], pa.int32()), pa.array(np.array(out[3], U).view(np.int64)), pa.array(out[4], pa.binary())],
+                    names=["bucket", "home", "sub", "class", "shingles"],
+                )
 
     return run
 
 
+def _home_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int32)
+    for batch in batches:
+        home = np.asarray(batch.column(0).flatten()).view(U)
+        total += np.bincount((home & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+    yield from _pieces(total)
+
+
 class _Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -202,68 +324,82 @@ def _joined_homes(least: tuple[int, int]):
 
 
 def _opened_groups(least: tuple[int, int]):
-    """Links between queries and the members of the groups that they are sent to."""
+    """Links between queries and the members of the groups that they are sent to; rows (bucket, grp, is_query, class, shingles)."""
 
-    def run(key: tuple[pa.Scalar, ...], members: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
-        if members.num_rows and queries.num_rows:
-            group, mine = np.asarray(members.column("grp")), np.asarray(members.column("class"))
-            sets = members.column("shingles").to_pylist()
-            wanted, asks = np.asarray(queries.column("grp")), np.asarray(queries.column("class"))
-            asked = queries.column("shingles").to_pylist()
-            order, back = np.argsort(group, kind="stable"), np.argsort(wanted, kind="stable")
-            at, to = runs(group[order]), wanted[back]
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = order[a:b]
-                lo, hi = np.searchsorted(to, [group[own[0]], group[own[0]] + 1]) if group[own[0]] < np.iinfo(np.int64).max else (np.searchsorted(to, group[own[0]]), len(to))
-                if lo == hi:
-                    continue
-                shingles = [np.frombuffer(sets[k], U) for k in own.tolist()]
-                size = np.array([len(s) for s in shingles], np.int64)
-                everything = np.concatenate(shingles)
-                starts = np.concatenate([[0], np.cumsum(size)])[:-1]
-                union = np.unique(everything)
-                for q in back[lo:hi].tolist():
-                    query = np.frombuffer(asked[q], U)
-                    place = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                    if (union[place] == query).sum() < needed(len(query), least):
-                        continue  # no member can be linked: the group stays closed
-                    place = np.minimum(np.searchsorted(query, everything), len(query) - 1)
-                    both = np.add.reduceat((query[place] == everything).astype(np.int64), starts)
-                    found = np.flatnonzero(linked(both, size, len(query), least))
-                    links += [(int(asks[q]), int(mine[own[k]])) for k in found[:1].tolist()]  # one member joins the query to the group's component
+        group, ids, ask = np.asarray(t.column("grp")), np.asarray(t.column("class")), np.asarray(t.column("is_query"))
+        sets = t.column("shingles").to_pylist()
+        order = np.lexsort((ask, group))
+        at = runs(group[order])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = order[a:b]
+            members, queries = own[~ask[own]], own[ask[own]]
+            if not len(members) or not len(queries):
+                continue
+            shingles = [np.frombuffer(sets[k], U) for k in members.tolist()]
+            size = np.array([len(s) for s in shingles], np.int64)
+            everything = np.concatenate(shingles)
+            starts = np.concatenate([[0], np.cumsum(size)])[:-1]
+            union = np.unique(everything)
+            for q in queries.tolist():
+                query = np.frombuffer(sets[q], U)
+                place = np.minimum(np.searchsorted(union, query), len(union) - 1)
+                if (union[place] == query).sum() < needed(len(query), least):
+                    continue  # no member can be linked: the group stays closed
+                place = np.minimum(np.searchsorted(query, everything), len(query) - 1)
+                both = np.add.reduceat((query[place] == everything).astype(np.int64), starts)
+                found = np.flatnonzero(linked(both, size, len(query), least))
+                links += [(int(ids[q]), int(ids[members[k]])) for k in found[:1].tolist()]  # one member joins the query to the group's component
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _packed(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = unpack(batch.column(1), U)
-            n = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
-            ids = np.repeat(np.asarray(batch.column(0)), n)
-            rows: list[list] = [[], [], [], []]
-            for b, c, h in grouped((tokens % U(n_buckets)).astype(np.int64), n_buckets, ids, tokens):
-                at = runs(c)
-                for column, value in zip(rows, (b, pack(c[at[:-1]]), pack(np.diff(at).astype(np.int32)), pack(h)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "classes", "counts", "tokens"])
-
-    return run
-
-
 def _shared(t: pa.Table) -> pa.Table:
     """(token, class) where several classes have the token."""
     classes = np.repeat(unpack(t.column("classes"), np.int64), unpack(t.column("counts"), np.int32))
     tokens = unpack(t.column("tokens"), np.int64)
-    order = np.argsort(tokens, kind="stable")
+    order = np.lexsort((classes, tokens))
     tokens, classes = tokens[order], classes[order]
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])] if len(tokens) else np.zeros(0, bool)
+    tokens, classes = tokens[once], classes[once]
     at = runs(tokens)
     some = np.repeat(np.diff(at) > 1, np.diff(at))
     return pa.table([pa.array(tokens[some]), pa.array(classes[some])], names=["token", "class"])
 
 
+def _sent(t: pa.Table) -> pa.Table:
+    """The token-group matrix of a bucket: which groups have which tokens, and so which queries go to which groups.
+
+    Of two components the smaller one's classes ask (of equal ones the first); rows (token, class, comp, rows, grp).
+    """
+    token, cls, comp, rows, grp = (np.asarray(t.column(c)) for c in ("token", "class", "comp", "rows", "grp"))
+    order = np.lexsort((comp, token))
+    token, cls, comp, rows, grp = token[order], cls[order], comp[order], rows[order], grp[order]
+    at = runs(token)
+    lo, hi = at[:-1], at[1:] - 1
+    several = comp[lo] != comp[hi]
+    queries: list[np.ndarray] = []
+    groups: list[np.ndarray] = []
+    for a, b in zip(lo[several].tolist(), (hi[several] + 1).tolist(), strict=True):
+        _, one = np.unique(grp[a:b], return_index=True)
+        c, n, g = comp[a:b][one], rows[a:b][one], grp[a:b][one]
+        for at_ in range(a, b, 512):
+            mine, theirs = slice(at_, min(at_ + 512, b)), (None, slice(None))
+            larger = (c[theirs] != comp[mine, None]) & ((n[theirs] > rows[mine, None]) | ((n[theirs] == rows[mine, None]) & (c[theirs] > comp[mine, None])))
+            q, k = np.nonzero(larger)
+            queries.append(cls[mine][q])
+            groups.append(g[k])
+    if not queries:
+        return pa.table([pa.array([], pa.int64())] * 3, names=["class", "grp", "tokens"])
+    q, g = np.concatenate(queries), np.concatenate(groups)
+    order = np.lexsort((g, q))
+    q, g = q[order], g[order]
+    at = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
+    return pa.table([pa.array(q[at]), pa.array(g[at]), pa.array(np.diff(np.r_[at, len(q)]).astype(np.int64))], names=["class", "grp", "tokens"])
+
+
 def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, block_bytes: int = 2 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id, text): documents linked directly or through others.
 
@@ -277,58 +413,42 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     n_bytes = text_bytes(source)
     n_buckets = parts_for(spark, n_bytes // 3, part_bytes)
     heavy = heaviness(source, width, block_bytes)
-    sketch = written(source.mapInArrow(_sketcher(width, least, heavy, block_bytes), SKETCH))
+    sketch = written(source.mapInArrow(_sketcher(width, block_bytes), SKETCH))
     full = sketch.where("n > 0 and doc_id is not null")
-    # classes: one row each, with the homes and the prefix of any of its documents
-    classes = written(full.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("homes").alias("homes"), F.first("prefix").alias("prefix")))
     # shingles that several classes have among their rarest ones
-    shared = written(classes.select("class", "prefix").mapInArrow(_packed(n_buckets), "bucket int, classes binary, counts binary, tokens binary").groupBy("bucket").applyInArrow(_shared, "token long, class long"))
-    touched = shared.select("class").distinct()
-    # first groups: the most popular of a class's minima
-    home = classes.join(touched, "class", "left_semi").select("class", F.explode("homes").alias("home"))
-    popular = home.groupBy("home").agg(F.count("*").alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("rows > 1")
-    own = home.join(popular, "home").groupBy("class").agg(F.max(F.struct("rows", "home", "lo", "hi")).alias("h")).select("class", "h.*")
-    subs = F.ceil(F.col("rows") / HOME_ROWS).cast("int")
-    spread = F.array(F.pmod(F.xxhash64("class"), subs).cast("int"))
-    leader = (F.col("class") == F.col("lo")) | (F.col("class") == F.col("hi"))
-    seats = own.select("class", "home", F.explode(F.when(leader, F.sequence(F.lit(0), subs - 1)).otherwise(spread)).alias("sub"))
-    # sets of the classes that share anything, from their smallest documents
-    holders = full.select("doc_id", "class").join(classes.select("class", "least").join(touched, "class", "left_semi"), "class").where("doc_id = least").select("doc_id", "class").distinct()
-    texts = source.join(holders, "doc_id").select("class", "text", "doc_id")
-    sets = written(texts.select("class", "text").mapInArrow(_set_maker(width, block_bytes), "class long, shingles binary").join(classes.select("class", "n"), "class").where(F.octet_length("shingles") == F.col("n") * 8).select("class", "n", "shingles").dropDuplicates(["class"]))
-    n_sets = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = parts_for(spark, 8 * n_sets, part_bytes)
-    seated = seats.join(sets, "class").withColumn("bucket", F.pmod(F.xxhash64("home", "sub"), F.lit(buckets)).cast("int"))
-    links = written(seated.select("bucket", "home", "sub", "class", "shingles").groupBy("bucket").applyInArrow(_joined_homes(least), "a long, b long"))
+    shared = written(source.mapInArrow(_prefixer(width, least, heavy, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long"))
+    touched = written(shared.groupBy("class").agg(F.count("*").alias("tokens")))
+    # first groups: the most popular of a class's minima, by counters of a fixed size
+    popular = counters(full.groupBy("class").agg(F.first("homes").alias("homes")).join(touched, "class", "left_semi").select("homes").mapInArrow(_home_counter, "piece int, counts binary"))
+    buckets = parts_for(spark, n_bytes, part_bytes)
+    seated = source.mapInArrow(_seater(width, class_filter(touched), popular, buckets, block_bytes), SEAT)
+    links = written(seated.groupBy("bucket").applyInArrow(_joined_homes(least), "a long, b long"))
     joined = components(links).withColumnsRenamed({"id": "class", "component": "comp"})
-    placed = written(touched.join(joined, "class", "left").select("class", F.coalesce("comp", "class").alias("comp")))
+    sizes_of = full.groupBy("class").agg(F.first("n").alias("n"))
+    placed = touched.join(sizes_of, "class").join(joined, "class", "left").select("class", "n", F.coalesce("comp", "class").alias("comp"))
     # groups of the matrix: blocks of a component
     sizes = placed.groupBy("comp").agg(F.count("*").alias("rows"))
-    placed = placed.join(sizes, "comp").withColumn("grp", F.xxhash64("comp", F.pmod(F.xxhash64("class"), F.ceil(F.col("rows") / GROUP_ROWS))))
-    postings = shared.join(placed, "class")
-    across = shared.join(placed.select("class", "comp"), "class").groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    open_ = written(postings.join(across, "token"))
-    matrix = open_.select("token", "comp", "rows", "grp").distinct()
-    asks = open_.select("token", "class", F.col("comp").alias("own"), F.col("rows").alias("own_rows"))
-    # of two components the smaller one's classes ask
-    smaller = (F.col("own") != F.col("comp")) & ((F.col("own_rows") < F.col("rows")) | ((F.col("own_rows") == F.col("rows")) & (F.col("own") < F.col("comp"))))
-    sent = written(asks.join(matrix, "token").where(smaller).select("class", "grp").distinct())
-    wanted = placed.join(sent.select("grp").distinct(), "grp", "left_semi")
-    in_bucket = F.pmod(F.col("grp"), F.lit(buckets)).cast("int")
-    members = wanted.select("class", "grp").join(sets.select("class", "shingles"), "class").withColumn("bucket", in_bucket)
-    queries = sent.join(sets.select("class", "shingles"), "class").withColumn("bucket", in_bucket)
-    # both sides read the sets: new names tell their columns apart
-    members, queries = (x.select("bucket", "class", "grp", "shingles").toDF("bucket", "class", "grp", "shingles") for x in (members, queries))
-    more = members.groupBy("bucket").cogroup(queries.groupBy("bucket")).applyInArrow(_opened_groups(least), "a long, b long")
+    placed = written(placed.join(sizes, "comp").withColumn("grp", F.xxhash64("comp", F.pmod(F.xxhash64("class"), F.ceil(F.col("rows") / GROUP_ROWS)))))
+    postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
+    # a query goes to a group whose union has enough of its prefix: what it must share with the smallest set that it can be linked with
+    smallest_mate = F.ceil(F.col("n") * least[0] / least[1])
+    hits = postings.select("bucket", "token", "class", "comp", "rows", "grp").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
+    bound = hits.groupBy("class", "grp").agg(F.sum("tokens").alias("tokens")).join(placed.select("class", "n"), "class")
+    sent = written(bound.where(F.col("tokens") >= 1 + F.floor(smallest_mate / 10)).select("class", "grp"))
+    members = placed.join(sent.select("grp").distinct(), "grp", "left_semi").select("class", "grp", F.lit(False).alias("is_query"))
+    calls = written(members.unionByName(sent.select("class", "grp", F.lit(True).alias("is_query"))))
+    sets = source.mapInArrow(_set_maker(width, class_filter(calls), block_bytes), "class long, shingles binary")
+    opened = calls.join(sets, "class").withColumn("bucket", F.pmod("grp", F.lit(buckets)).cast("int"))
+    more = opened.groupBy("bucket").applyInArrow(_opened_groups(least), "a long, b long")
     # rows with one id in several classes are one node
-    twice = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").join(full.select("doc_id", F.col("class").alias("b")), "doc_id").select("a", "b")
+    ids = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
+    twice = ids.join(full.select("doc_id", F.col("class").alias("b")), "doc_id").select("a", "b")
     linked_ = components(links.unionByName(more).unionByName(twice)).withColumnsRenamed({"id": "class", "component": "comp"})
-    of_class = classes.select("class", "least").join(linked_, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    of_class = full.groupBy("class").agg(F.min("doc_id").alias("least")).join(linked_, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = of_class.join(smallest, "comp").select("class", "component_id")
     rows = sketch.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    out = rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = """
