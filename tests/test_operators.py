@@ -175,10 +175,10 @@ def test_commit_listing_and_paths(spark):
 
 def test_repository_is_read_without_secrets(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\ny = 2\n")
-    (tmp_path / ".env").write_text("KEY=1")
+    (tmp_path / "local.env").write_text("KEY=1")
     (tmp_path / "run").write_text("#!/usr/bin/env python3\n")
     got = {r.path: (r.language, r.loc, r.hash is not None) for r in readers.repository(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": ("python", 2, True), ".env": (None, None, False), "run": ("python", 1, True)}
+    assert got == {"a.py": ("python", 2, True), "local.env": (None, None, False), "run": ("python", 1, True)}
 
 
 def test_bootstrap_holds_the_mean(spark):

@@ -113,7 +113,7 @@ def is_secret(path: Column) -> Column:
 
 
 def repository(spark: SparkSession, root: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """(path, bytes, language, flags, hash, loc) of the files under a folder; secrets are listed and never opened, nor are files over most_bytes."""
+    """(path, bytes, language, flags, hash, loc) of the files under a folder; secrets are listed and never opened, nor are files over most_bytes. Spark lists no files whose names begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace(F.col("path"), r"^file:/*", "/")
     path = F.substr(at, F.lit(len(root.rstrip("/")) + 2))
