@@ -118,7 +118,7 @@ def _score(order: int, n_buckets: int, n_words: int, backoff: float, block_bytes
             penalty[open_ & ~known] += np.log(backoff)
         unseen = np.flatnonzero(~known)
         value[unseen] = penalty[unseen] - np.log(rest[unseen] + 1.0)
-        sums = np.bincount(p.doc, value, p.n_docs)
+        sums = np.bincount(p.doc, value, p.n_docs).astype(float)  # whole numbers where there are no words
         empty = p.counts == 0
         mean = np.divide(sums, p.counts, out=np.zeros(p.n_docs), where=~empty)
         return pa.table([texts.column("doc_id"), pa.array(p.counts.astype(np.int64)), pa.array(sums), pa.array(mean, mask=empty)], names=names)
