@@ -66,7 +66,7 @@ def tokens_of(host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most_tokens: int = MOST_TOKENS, most_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(rule_id, tokens, confidence, support) of combinations that go with bad pages, from labelled(id, tokens, bad).
 
-    Fitted on at most `most_rows` rows, taken by a hash of the id. Tokens in half of the rows or more say little and are left
+    Fitted on at most `most_rows` rows, taken by a hash of the id. Tokens in nine tenths of the rows or more say little and are left
     out before mining, which bounds combinations. A rule stays only if no part of it is as sure.
     """
     spark = labelled.sparkSession
@@ -76,7 +76,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
         if not n:
             return empty
-        common = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= n / 2).select(F.collect_list("t")).first()[0]
+        common = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= n * 0.9).select(F.collect_list("t")).first()[0]
         kept = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
         items = sample.select(F.concat(kept, F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
         found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
