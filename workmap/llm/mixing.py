@@ -54,7 +54,7 @@ def _targets(cells: DataFrame, name: str, given: Mapping[str, float] | None, fla
         raised = own.withColumn("g", wanted[F.col(name)].cast("double"))
         free = max(0.0, 1.0 - sum(given.values()))
         rest = raised.where("g is null").agg(F.sum("w").alias("rest"))
-        raised = raised.crossJoin(F.broadcast(rest)).withColumn("p", F.coalesce("g", F.col("w") / F.col("rest") * F.lit(free)))
+        raised = raised.crossJoin(F.broadcast(rest)).withColumn("p", F.coalesce("g", F.try_divide("w", "rest") * F.lit(free), F.lit(0.0)))
     total = raised.agg(F.sum("p").alias("total"))  # one row
     return raised.crossJoin(F.broadcast(total)).select(name, F.when(F.col("total") > 0, F.col("p") / F.col("total")).otherwise(0.0).alias("target"))
 
