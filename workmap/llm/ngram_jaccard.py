@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets are one class. Classes are first put into groups of likely similar ones
 (by the minima of hashed shingles), in which links join them into components. Blocks of a component's
-classes are then the groups of the matrix: a query class goes to the groups that one of its rarest shingles
-occurs in, each group's union of shingles bounds the overlap that the query can have with any member, and
-only groups whose bound reaches the threshold are opened and their members compared. Pairs inside a
-component need no comparing, so nothing is emitted for the pairs of a large group of copies.
+classes, and of classes by themselves that have a minimum in common, are then the groups of the matrix: a
+query class goes to the groups that enough of its rarest shingles occur in, each group's union of shingles
+bounds the overlap that the query can have with any member, and only groups whose bound reaches the threshold
+are opened and their members compared. Pairs inside a component need no comparing, so nothing is emitted for
+the pairs of a large group of copies, and a passage that many documents share costs one row a query and group.
 """
 
 from __future__ import annotations
@@ -258,6 +259,19 @@ def _seater(width: int, filter_: np.ndarray, popular: np.ndarray, buckets: int,
     return run
 
 
+def _seat_finder(popular: np.ndarray):
+    """(class, n, home): the most popular of the minima of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes = np.asarray(batch.column(2).flatten()).view(U).reshape(-1, HOMES)
+            best = popular[(homes & U(COUNTERS - 1)).astype(np.int64)].argmax(1)
+            home = homes[np.arange(len(homes)), best].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home)], names=["class", "n", "home"])
+
+    return run
+
+
 def _home_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int32)
     for batch in batches:
@@ -324,7 +338,10 @@ def _joined_homes(least: tuple[int, int]):
 
 
 def _opened_groups(least: tuple[int, int]):
-    """Links between queries and the members of the groups that they are sent to; rows (bucket, grp, is_query, class, shingles)."""
+    """Links between queries and the members of the groups that they are sent to; rows (bucket, grp, is_query, class, shingles).
+
+    Of a group's links a spanning forest is given, so there are fewer than its members and queries.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
@@ -342,6 +359,8 @@ def _opened_groups(least: tuple[int, int]):
             everything = np.concatenate(shingles)
             starts = np.concatenate([[0], np.cumsum(size)])[:-1]
             union = np.unique(everything)
+            place_of = {x: k for k, x in enumerate(np.unique(ids[own]).tolist())}
+            forest = _Union(len(place_of))
             for q in queries.tolist():
                 query = np.frombuffer(sets[q], U)
                 place = np.minimum(np.searchsorted(union, query), len(union) - 1)
@@ -349,8 +368,11 @@ def _opened_groups(least: tuple[int, int]):
                     continue  # no member can be linked: the group stays closed
                 place = np.minimum(np.searchsorted(query, everything), len(query) - 1)
                 both = np.add.reduceat((query[place] == everything).astype(np.int64), starts)
-                found = np.flatnonzero(linked(both, size, len(query), least))
-                links += [(int(ids[q]), int(ids[members[k]])) for k in found[:1].tolist()]  # one member joins the query to the group's component
+                mine = int(ids[q])
+                for k in np.flatnonzero(linked(both, size, len(query), least)).tolist():
+                    other = int(ids[members[k]])
+                    if forest.join(place_of[mine], place_of[other]):
+                        links.append((mine, other))
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     return run
@@ -372,7 +394,8 @@ def _shared(t: pa.Table) -> pa.Table:
 def _sent(t: pa.Table) -> pa.Table:
     """The token-group matrix of a bucket: which groups have which tokens, and so which queries go to which groups.
 
-    Of two components the smaller one's classes ask (of equal ones the first); rows (token, class, comp, rows, grp).
+    Of two components the smaller one's classes ask (of equal ones the first): a class asks a group if one of the group's
+    classes with the token has a larger component than its own. Rows (token, class, comp, rows, grp).
     """
     token, cls, comp, rows, grp = (np.asarray(t.column(c)) for c in ("token", "class", "comp", "rows", "grp"))
     order = np.lexsort((comp, token))
@@ -383,8 +406,9 @@ def _sent(t: pa.Table) -> pa.Table:
     queries: list[np.ndarray] = []
     groups: list[np.ndarray] = []
     for a, b in zip(lo[several].tolist(), (hi[several] + 1).tolist(), strict=True):
-        _, one = np.unique(grp[a:b], return_index=True)
-        c, n, g = comp[a:b][one], rows[a:b][one], grp[a:b][one]
+        by = np.lexsort((comp[a:b], rows[a:b], grp[a:b])) + a
+        last = by[np.r_[grp[by[1:]] != grp[by[:-1]], True]]  # of each group the class with the largest component
+        c, n, g = comp[last], rows[last], grp[last]
         for at_ in range(a, b, 512):
             mine, theirs = slice(at_, min(at_ + 512, b)), (None, slice(None))
             larger = (c[theirs] != comp[mine, None]) & ((n[theirs] > rows[mine, None]) | ((n[theirs] == rows[mine, None]) & (c[theirs] > comp[mine, None])))
@@ -419,16 +443,19 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     shared = written(source.mapInArrow(_prefixer(width, least, heavy, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long"))
     touched = written(shared.groupBy("class").agg(F.count("*").alias("tokens")))
     # first groups: the most popular of a class's minima, by counters of a fixed size
-    popular = counters(full.groupBy("class").agg(F.first("homes").alias("homes")).join(touched, "class", "left_semi").select("homes").mapInArrow(_home_counter, "piece int, counts binary"))
+    sizes_of = written(full.groupBy("class").agg(F.first("n").alias("n"), F.first("homes").alias("homes")).join(touched, "class", "left_semi"))
+    popular = counters(sizes_of.select("homes").mapInArrow(_home_counter, "piece int, counts binary"))
     buckets = parts_for(spark, n_bytes, part_bytes)
     seated = source.mapInArrow(_seater(width, class_filter(touched), popular, buckets, block_bytes), SEAT)
     links = written(seated.groupBy("bucket").applyInArrow(_joined_homes(least), "a long, b long"))
     joined = components(links).withColumnsRenamed({"id": "class", "component": "comp"})
-    sizes_of = full.groupBy("class").agg(F.first("n").alias("n"))
-    placed = touched.join(sizes_of, "class").join(joined, "class", "left").select("class", "n", F.coalesce("comp", "class").alias("comp"))
-    # groups of the matrix: blocks of a component
+    seats = sizes_of.select("class", "n", "homes").mapInArrow(_seat_finder(popular), "class long, n long, home long")
+    placed = seats.join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    # groups of the matrix: blocks of a component, or of what has a home in common but no component
     sizes = placed.groupBy("comp").agg(F.count("*").alias("rows"))
-    placed = written(placed.join(sizes, "comp").withColumn("grp", F.xxhash64("comp", F.pmod(F.xxhash64("class"), F.ceil(F.col("rows") / GROUP_ROWS)))))
+    placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp")).otherwise(F.xxhash64("home", F.lit(0)))))
+    many = placed.groupBy("place").agg(F.count("*").alias("mates"))
+    placed = written(placed.join(many, "place").withColumn("grp", F.xxhash64("place", F.pmod(F.xxhash64("class"), F.ceil(F.col("mates") / GROUP_ROWS)))).select("class", "n", "comp", "rows", "grp"))
     postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
     # a query goes to a group whose union has enough of its prefix: what it must share with the smallest set that it can be linked with
     smallest_mate = F.ceil(F.col("n") * least[0] / least[1])
