@@ -59,11 +59,12 @@ def _targets(cells: DataFrame, name: str, given: Mapping[str, float] | None, fla
     return raised.crossJoin(F.broadcast(total)).select(name, F.when(F.col("total") > 0, F.col("p") / F.col("total")).otherwise(0.0).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN, keep_every: int = 2) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN, keep_every: int = 1) -> DataFrame:
     """cells(*MARGINS, weight) with `factor`: what each cell's weight is multiplied by so that its margins come to the targets.
 
     targets has shares by value for a margin; a margin without has the corpus' own shares raised to the power `flatten`.
-    Cells of weight 0 have factor 1. The scaled weights sum to the input's.
+    Cells of weight 0 have factor 1. The scaled weights sum to the input's. A margin's step has its cells twice in the plan,
+    so the plan doubles with each step until the cells are written, every `keep_every` rounds.
     """
     targets = targets or {}
     cells = written(cells)
