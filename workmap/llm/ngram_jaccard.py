@@ -11,6 +11,7 @@ the pairs of a large group of copies, and a passage that many documents share co
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +52,11 @@ def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
     return min(n, n - needed(n, least) + common(n))
 
 
+def size_step(least: tuple[int, int] = LEAST) -> float:
+    """The logarithm of the width of a size range, so wide that linked sets are at most two ranges apart: a little over half of the greatest ratio of their sizes."""
+    return 0.55 * math.log(least[1] / least[0])
+
+
 def linked(both, a, b, least: tuple[int, int] = LEAST):
     return least[1] * both >= least[0] * (a + b - both)
 
@@ -121,9 +127,9 @@ def _add(t: pa.Table) -> pa.Table:
 
 
 def heaviness(docs: DataFrame, width: int, block_bytes: int) -> np.ndarray:
-    """For each of COUNTERS hashed counters, how many doublings its load is above four times the mean."""
+    """For each of COUNTERS hashed counters, how many doublings its load is above what chance gives around the mean."""
     total = counters(docs.mapInArrow(_counter(width, block_bytes), "piece int, counts binary"))
-    bar = max(16.0, 4.0 * total.mean())
+    bar = max(16.0, total.mean() + 6.0 * np.sqrt(total.mean()))
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / bar)), 0, 60).astype(np.uint8)
 
 
@@ -395,11 +401,12 @@ def _sent(t: pa.Table) -> pa.Table:
     """The token-group matrix of a bucket: which groups have which tokens, and so which queries go to which groups.
 
     Of two components the smaller one's classes ask (of equal ones the first): a class asks a group if one of the group's
-    classes with the token has a larger component than its own. Rows (token, class, comp, rows, grp).
+    classes with the token has a larger component than its own, and sizes are near enough. Rows (token, class, comp, rows,
+    grp, span).
     """
-    token, cls, comp, rows, grp = (np.asarray(t.column(c)) for c in ("token", "class", "comp", "rows", "grp"))
+    token, cls, comp, rows, grp, span = (np.asarray(t.column(c)) for c in ("token", "class", "comp", "rows", "grp", "span"))
     order = np.lexsort((comp, token))
-    token, cls, comp, rows, grp = token[order], cls[order], comp[order], rows[order], grp[order]
+    token, cls, comp, rows, grp, span = token[order], cls[order], comp[order], rows[order], grp[order], span[order]
     at = runs(token)
     lo, hi = at[:-1], at[1:] - 1
     several = comp[lo] != comp[hi]
@@ -408,11 +415,11 @@ def _sent(t: pa.Table) -> pa.Table:
     for a, b in zip(lo[several].tolist(), (hi[several] + 1).tolist(), strict=True):
         by = np.lexsort((comp[a:b], rows[a:b], grp[a:b])) + a
         last = by[np.r_[grp[by[1:]] != grp[by[:-1]], True]]  # of each group the class with the largest component
-        c, n, g = comp[last], rows[last], grp[last]
+        c, n, g, s = comp[last], rows[last], grp[last], span[last]
         for at_ in range(a, b, 512):
             mine, theirs = slice(at_, min(at_ + 512, b)), (None, slice(None))
             larger = (c[theirs] != comp[mine, None]) & ((n[theirs] > rows[mine, None]) | ((n[theirs] == rows[mine, None]) & (c[theirs] > comp[mine, None])))
-            q, k = np.nonzero(larger)
+            q, k = np.nonzero(larger & (np.abs(s[theirs] - span[mine, None]) <= 2))
             queries.append(cls[mine][q])
             groups.append(g[k])
     if not queries:
@@ -451,15 +458,16 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     joined = components(links).withColumnsRenamed({"id": "class", "component": "comp"})
     seats = sizes_of.select("class", "n", "homes").mapInArrow(_seat_finder(popular), "class long, n long, home long")
     placed = seats.join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    # groups of the matrix: blocks of a component, or of what has a home in common but no component
+    # groups of the matrix: blocks of a component, or of what has a home in common but no component, of one range of sizes
+    placed = placed.withColumn("span", F.floor(F.log(F.col("n").cast("double")) / size_step(least)).cast("int"))
     sizes = placed.groupBy("comp").agg(F.count("*").alias("rows"))
-    placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp")).otherwise(F.xxhash64("home", F.lit(0)))))
+    placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp", "span")).otherwise(F.xxhash64("home", "span", F.lit(0)))))
     many = placed.groupBy("place").agg(F.count("*").alias("mates"))
-    placed = written(placed.join(many, "place").withColumn("grp", F.xxhash64("place", F.pmod(F.xxhash64("class"), F.ceil(F.col("mates") / GROUP_ROWS)))).select("class", "n", "comp", "rows", "grp"))
+    placed = written(placed.join(many, "place").withColumn("grp", F.xxhash64("place", F.pmod(F.xxhash64("class"), F.ceil(F.col("mates") / GROUP_ROWS)))).select("class", "n", "comp", "rows", "grp", "span"))
     postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
     # a query goes to a group whose union has enough of its prefix: what it must share with the smallest set that it can be linked with
     smallest_mate = F.ceil(F.col("n") * least[0] / least[1])
-    hits = postings.select("bucket", "token", "class", "comp", "rows", "grp").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
+    hits = postings.select("bucket", "token", "class", "comp", "rows", "grp", "span").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
     bound = hits.groupBy("class", "grp").agg(F.sum("tokens").alias("tokens")).join(placed.select("class", "n"), "class")
     sent = written(bound.where(F.col("tokens") >= 1 + F.floor(smallest_mate / 10)).select("class", "grp"))
     members = placed.join(sent.select("grp").distinct(), "grp", "left_semi").select("class", "grp", F.lit(False).alias("is_query"))
