@@ -385,7 +385,7 @@ def _opened_groups(least: tuple[int, int]):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """(token, class) where several classes have the token."""
+    """(token, class, weight) where several classes have a token; tokens that the same classes have are one, with their number as its weight."""
     classes = np.repeat(unpack(t.column("classes"), np.int64), unpack(t.column("counts"), np.int32))
     tokens = unpack(t.column("tokens"), np.int64)
     order = np.lexsort((classes, tokens))
@@ -393,25 +393,34 @@ def _shared(t: pa.Table) -> pa.Table:
     once = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])] if len(tokens) else np.zeros(0, bool)
     tokens, classes = tokens[once], classes[once]
     at = runs(tokens)
-    some = np.repeat(np.diff(at) > 1, np.diff(at))
-    return pa.table([pa.array(tokens[some]), pa.array(classes[some])], names=["token", "class"])
+    n = np.diff(at)
+    if not len(tokens):
+        return pa.table([pa.array([], pa.int64())] * 3, names=["token", "class", "weight"])
+    lists = mix(np.add.reduceat(mix(classes.astype(U) ^ _SEEDS[0]), at[:-1]) ^ n.astype(U))
+    _, first, weight = np.unique(lists, return_index=True, return_counts=True)
+    keep, weights = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
+    keep[first], weights[first] = True, weight
+    keep &= n > 1
+    some = np.repeat(keep, n)
+    return pa.table([pa.array(np.repeat(lists, n)[some].view(np.int64)), pa.array(classes[some]), pa.array(np.repeat(weights, n)[some])], names=["token", "class", "weight"])
 
 
 def _sent(t: pa.Table) -> pa.Table:
     """The token-group matrix of a bucket: which groups have which tokens, and so which queries go to which groups.
 
     Of two components the smaller one's classes ask (of equal ones the first): a class asks a group if one of the group's
-    classes with the token has a larger component than its own, and sizes are near enough. Rows (token, class, comp, rows,
-    grp, span).
+    classes with the token has a larger component than its own, and sizes are near enough. Rows (token, class, weight,
+    comp, rows, grp, span).
     """
-    token, cls, comp, rows, grp, span = (np.asarray(t.column(c)) for c in ("token", "class", "comp", "rows", "grp", "span"))
-    order = np.lexsort((comp, token))
-    token, cls, comp, rows, grp, span = token[order], cls[order], comp[order], rows[order], grp[order], span[order]
+    columns = [np.asarray(t.column(c)) for c in ("token", "class", "weight", "comp", "rows", "grp", "span")]
+    order = np.lexsort((columns[3], columns[0]))
+    token, cls, weight, comp, rows, grp, span = (x[order] for x in columns)
     at = runs(token)
     lo, hi = at[:-1], at[1:] - 1
     several = comp[lo] != comp[hi]
     queries: list[np.ndarray] = []
     groups: list[np.ndarray] = []
+    weights: list[np.ndarray] = []
     for a, b in zip(lo[several].tolist(), (hi[several] + 1).tolist(), strict=True):
         by = np.lexsort((comp[a:b], rows[a:b], grp[a:b])) + a
         last = by[np.r_[grp[by[1:]] != grp[by[:-1]], True]]  # of each group the class with the largest component
@@ -422,13 +431,14 @@ def _sent(t: pa.Table) -> pa.Table:
             q, k = np.nonzero(larger & (np.abs(s[theirs] - span[mine, None]) <= 2))
             queries.append(cls[mine][q])
             groups.append(g[k])
+            weights.append(np.full(len(q), weight[a]))
     if not queries:
         return pa.table([pa.array([], pa.int64())] * 3, names=["class", "grp", "tokens"])
-    q, g = np.concatenate(queries), np.concatenate(groups)
+    q, g, w = np.concatenate(queries), np.concatenate(groups), np.concatenate(weights)
     order = np.lexsort((g, q))
-    q, g = q[order], g[order]
+    q, g, w = q[order], g[order], w[order]
     at = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
-    return pa.table([pa.array(q[at]), pa.array(g[at]), pa.array(np.diff(np.r_[at, len(q)]).astype(np.int64))], names=["class", "grp", "tokens"])
+    return pa.table([pa.array(q[at]), pa.array(g[at]), pa.array(np.add.reduceat(w, at) if len(at) else w)], names=["class", "grp", "tokens"])
 
 
 def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, block_bytes: int = 2 << 20, part_bytes: int = 12 << 20) -> DataFrame:
@@ -447,8 +457,9 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     sketch = written(source.mapInArrow(_sketcher(width, block_bytes), SKETCH))
     full = sketch.where("n > 0 and doc_id is not null")
     # shingles that several classes have among their rarest ones
-    shared = written(source.mapInArrow(_prefixer(width, least, heavy, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long"))
-    touched = written(shared.groupBy("class").agg(F.count("*").alias("tokens")))
+    rare = source.mapInArrow(_prefixer(width, least, heavy, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long, weight long")
+    shared = written(rare.groupBy("token", "class").agg(F.sum("weight").alias("weight")))
+    touched = written(shared.select("class").distinct())
     # first groups: the most popular of a class's minima, by counters of a fixed size
     sizes_of = written(full.groupBy("class").agg(F.first("n").alias("n"), F.first("homes").alias("homes")).join(touched, "class", "left_semi"))
     popular = counters(sizes_of.select("homes").mapInArrow(_home_counter, "piece int, counts binary"))
@@ -467,7 +478,7 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
     # a query goes to a group whose union has enough of its prefix: what it must share with the smallest set that it can be linked with
     smallest_mate = F.ceil(F.col("n") * least[0] / least[1])
-    hits = postings.select("bucket", "token", "class", "comp", "rows", "grp", "span").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
+    hits = postings.select("bucket", "token", "class", "weight", "comp", "rows", "grp", "span").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
     bound = hits.groupBy("class", "grp").agg(F.sum("tokens").alias("tokens")).join(placed.select("class", "n"), "class")
     sent = written(bound.where(F.col("tokens") >= 1 + F.floor(smallest_mate / 10)).select("class", "grp"))
     members = placed.join(sent.select("grp").distinct(), "grp", "left_semi").select("class", "grp", F.lit(False).alias("is_query"))
