@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class. Classes are first put into groups of likely similar ones
 (by the minima of hashed shingles), in which links join them into components. Blocks of a component's
-classes, and of classes by themselves that have a minimum in common, are then the groups of the matrix: a
+classes, and of classes by themselves that have a widely shared shingle in common, are then the groups of the matrix: a
 query class goes to the groups that enough of its rarest shingles occur in, each group's union of shingles
 bounds the overlap that the query can have with any member, and only groups whose bound reaches the threshold
 are opened and their members compared. Pairs inside a component need no comparing, so nothing is emitted for
@@ -166,17 +166,16 @@ def _sketcher(width: int, block_bytes: int):
     return run
 
 
-def _prefixer(width: int, least: tuple[int, int], heavy: np.ndarray, n_buckets: int, block_bytes: int):
+def _prefixer(width: int, least: tuple[int, int], heavy: np.ndarray, chosen: np.ndarray, n_buckets: int, block_bytes: int):
     """The rarest shingles of each class of a block, so many that linked sets have `common` of them in common; packed by the shingle's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for _, _, s, c in _sets(batch, width, block_bytes):
+            for a, b, s, c in _sets(batch, width, block_bytes):
                 rank = (heavy[(s.hashes & U(COUNTERS - 1)).astype(np.int64)].astype(U) << U(57)) | (s.hashes >> U(7))
-                _, once = np.unique(c.digest[c.some], return_index=True)
                 prefixes, classes = [], []
-                for k in c.some[once].tolist():
+                for k in _passed(c, _ids(batch, a, b), chosen).tolist():
                     own, n = s.of(k), int(s.size[k])
                     p = prefix_size(n, least)
                     prefixes.append(own[np.argpartition(rank[s.first[k] : s.first[k + 1]], p - 1)[:p]] if p < n else own)
@@ -200,10 +199,10 @@ def _bits(t: pa.Table) -> pa.Table:
     return pa.table([t.column("piece")[:1], pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["piece", "bits"])
 
 
-def class_filter(classes: DataFrame) -> np.ndarray:
-    """A bit for each hashed class: of FILTER_BITS bits, whatever the number of classes."""
+def class_filter(classes: DataFrame, key: str = "class") -> np.ndarray:
+    """A bit for each hashed key: of FILTER_BITS bits, whatever the number of classes."""
     step = FILTER_BITS // PIECES
-    bit = classes.select(F.pmod("class", F.lit(FILTER_BITS)).cast("long").alias("bit")).distinct()
+    bit = classes.select(F.pmod(F.expr(key), F.lit(FILTER_BITS)).cast("long").alias("bit")).distinct()
     pieces = bit.withColumn("piece", F.floor(F.col("bit") / step).cast("int")).groupBy("piece").applyInArrow(_bits, "piece int, bits binary")
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in pieces.toLocalIterator():
@@ -216,34 +215,40 @@ def _may_be(filter_: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _passed(s: Sets, c: _Classes, filter_: np.ndarray) -> np.ndarray:
-    """One text of each class of a block that the filter lets through."""
-    _, once = np.unique(c.digest[c.some], return_index=True)
-    rows = c.some[once]
-    return rows[_may_be(filter_, c.digest[rows])]
+def _ids(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
+    return np.asarray(batch.column(0)[a:b]).astype(np.int64)
+
+
+def _passed(c: _Classes, ids: np.ndarray, chosen: np.ndarray, filter_: np.ndarray | None = None) -> np.ndarray:
+    """Of the texts of a block that represent their classes, by the filter of pairs of class and id, one for each class that the other filter lets through."""
+    rows = c.some[_may_be(chosen, c.digest[c.some] ^ ids[c.some].view(U))]
+    if filter_ is not None:
+        rows = rows[_may_be(filter_, c.digest[rows])]
+    _, once = np.unique(c.digest[rows], return_index=True)
+    return rows[once]
 
 
-def _set_maker(width: int, filter_: np.ndarray, block_bytes: int):
-    """(class, shingles) of the classes that the filter lets through, each once for a block."""
+def _set_maker(width: int, filter_: np.ndarray, chosen: np.ndarray, block_bytes: int):
+    """(class, shingles) of the classes that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for _, _, s, c in _sets(batch, width, block_bytes):
-                rows = _passed(s, c, filter_)
+            for a, b, s, c in _sets(batch, width, block_bytes):
+                rows = _passed(c, _ids(batch, a, b), chosen, filter_)
                 yield pa.RecordBatch.from_arrays([pa.array(c.digest[rows].view(np.int64)), pa.array([pack(s.of(k)) for k in rows.tolist()], pa.binary())], names=["class", "shingles"])
 
     return run
 
 
-def _seater(width: int, filter_: np.ndarray, popular: np.ndarray, buckets: int, block_bytes: int):
+def _seater(width: int, filter_: np.ndarray, chosen: np.ndarray, popular: np.ndarray, buckets: int, block_bytes: int):
     """Seats of the classes that the filter lets through: in the most popular of their homes, a large home in several rooms, some of its classes in all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for _, _, s, c in _sets(batch, width, block_bytes):
-                rows = _passed(s, c, filter_)
+            for a, b, s, c in _sets(batch, width, block_bytes):
+                rows = _passed(c, _ids(batch, a, b), chosen, filter_)
                 load = popular[(c.homes[rows] & U(COUNTERS - 1)).astype(np.int64)]
                 best = load.argmax(1)
                 home, load = c.homes[rows, best], load[np.arange(len(rows)), best]
@@ -265,19 +270,6 @@ def _seater(width: int, filter_: np.ndarray, popular: np.ndarray, buckets: int,
     return run
 
 
-def _seat_finder(popular: np.ndarray):
-    """(class, n, home): the most popular of the minima of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            homes = np.asarray(batch.column(2).flatten()).view(U).reshape(-1, HOMES)
-            best = popular[(homes & U(COUNTERS - 1)).astype(np.int64)].argmax(1)
-            home = homes[np.arange(len(homes)), best].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home)], names=["class", "n", "home"])
-
-    return run
-
-
 def _home_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int32)
     for batch in batches:
@@ -385,7 +377,7 @@ def _opened_groups(least: tuple[int, int]):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """(token, class, weight) where several classes have a token; tokens that the same classes have are one, with their number as its weight."""
+    """(token, class, weight, n) where several classes, n of them, have a token; tokens that the same classes have are one, with their number as its weight."""
     classes = np.repeat(unpack(t.column("classes"), np.int64), unpack(t.column("counts"), np.int32))
     tokens = unpack(t.column("tokens"), np.int64)
     order = np.lexsort((classes, tokens))
@@ -395,14 +387,15 @@ def _shared(t: pa.Table) -> pa.Table:
     at = runs(tokens)
     n = np.diff(at)
     if not len(tokens):
-        return pa.table([pa.array([], pa.int64())] * 3, names=["token", "class", "weight"])
+        return pa.table([pa.array([], pa.int64())] * 4, names=["token", "class", "weight", "n"])
     lists = mix(np.add.reduceat(mix(classes.astype(U) ^ _SEEDS[0]), at[:-1]) ^ n.astype(U))
     _, first, weight = np.unique(lists, return_index=True, return_counts=True)
     keep, weights = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
     keep[first], weights[first] = True, weight
     keep &= n > 1
     some = np.repeat(keep, n)
-    return pa.table([pa.array(np.repeat(lists, n)[some].view(np.int64)), pa.array(classes[some]), pa.array(np.repeat(weights, n)[some])], names=["token", "class", "weight"])
+    columns = [np.repeat(lists, n)[some].view(np.int64), classes[some], np.repeat(weights, n)[some], np.repeat(n, n)[some].astype(np.int64)]
+    return pa.table([pa.array(c) for c in columns], names=["token", "class", "weight", "n"])
 
 
 def _sent(t: pa.Table) -> pa.Table:
@@ -456,23 +449,27 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     heavy = heaviness(source, width, block_bytes)
     sketch = written(source.mapInArrow(_sketcher(width, block_bytes), SKETCH))
     full = sketch.where("n > 0 and doc_id is not null")
+    # the text with the smallest id represents its class, so that copies aren't sent again from every block
+    chosen = class_filter(full.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class ^ doc_id")
     # shingles that several classes have among their rarest ones
-    rare = source.mapInArrow(_prefixer(width, least, heavy, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long, weight long")
-    shared = written(rare.groupBy("token", "class").agg(F.sum("weight").alias("weight")))
+    rare = source.mapInArrow(_prefixer(width, least, heavy, chosen, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long, weight long, n long")
+    shared = written(rare.groupBy("token", "class").agg(F.sum("weight").alias("weight"), F.max("n").alias("n")))
     touched = written(shared.select("class").distinct())
     # first groups: the most popular of a class's minima, by counters of a fixed size
     sizes_of = written(full.groupBy("class").agg(F.first("n").alias("n"), F.first("homes").alias("homes")).join(touched, "class", "left_semi"))
     popular = counters(sizes_of.select("homes").mapInArrow(_home_counter, "piece int, counts binary"))
     buckets = parts_for(spark, n_bytes, part_bytes)
-    seated = source.mapInArrow(_seater(width, class_filter(touched), popular, buckets, block_bytes), SEAT)
+    seated = source.mapInArrow(_seater(width, class_filter(touched), chosen, popular, buckets, block_bytes), SEAT)
     links = written(seated.groupBy("bucket").applyInArrow(_joined_homes(least), "a long, b long"))
     joined = components(links).withColumnsRenamed({"id": "class", "component": "comp"})
-    seats = sizes_of.select("class", "n", "homes").mapInArrow(_seat_finder(popular), "class long, n long, home long")
-    placed = seats.join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    # groups of the matrix: blocks of a component, or of what has a home in common but no component, of one range of sizes
+    placed = sizes_of.select("class", "n").join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    # the shingle that most classes share with a class: what a common passage brings together
+    passage = shared.groupBy("class").agg(F.max(F.struct("n", "token")).alias("top")).select("class", F.col("top.token").alias("passage"))
+    placed = placed.join(passage, "class")
+    # groups of the matrix: blocks of a component, or of what has a passage in common but no component, of one range of sizes
     placed = placed.withColumn("span", F.floor(F.log(F.col("n").cast("double")) / size_step(least)).cast("int"))
     sizes = placed.groupBy("comp").agg(F.count("*").alias("rows"))
-    placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp", "span")).otherwise(F.xxhash64("home", "span", F.lit(0)))))
+    placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp", "span")).otherwise(F.xxhash64("passage", "span", F.lit(0)))))
     many = placed.groupBy("place").agg(F.count("*").alias("mates"))
     placed = written(placed.join(many, "place").withColumn("grp", F.xxhash64("place", F.pmod(F.xxhash64("class"), F.ceil(F.col("mates") / GROUP_ROWS)))).select("class", "n", "comp", "rows", "grp", "span"))
     postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
@@ -483,7 +480,7 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     sent = written(bound.where(F.col("tokens") >= 1 + F.floor(smallest_mate / 10)).select("class", "grp"))
     members = placed.join(sent.select("grp").distinct(), "grp", "left_semi").select("class", "grp", F.lit(False).alias("is_query"))
     calls = written(members.unionByName(sent.select("class", "grp", F.lit(True).alias("is_query"))))
-    sets = source.mapInArrow(_set_maker(width, class_filter(calls), block_bytes), "class long, shingles binary")
+    sets = source.mapInArrow(_set_maker(width, class_filter(calls), chosen, block_bytes), "class long, shingles binary")
     opened = calls.join(sets, "class").withColumn("bucket", F.pmod("grp", F.lit(buckets)).cast("int"))
     more = opened.groupBy("bucket").applyInArrow(_opened_groups(least), "a long, b long")
     # rows with one id in several classes are one node
