@@ -24,8 +24,8 @@ from workmap.llm.common import Slices, U, Words, ascii_lower, blocks, components
 
 #: Words of a shingle; the threshold as a fraction.
 WIDTH, LEAST = 5, (4, 5)
-#: Minima that a class may be grouped by; classes of a first group and of a group of the matrix; counters of the frequency sketch.
-HOMES, HOME_ROWS, GROUP_ROWS, COUNTERS = 3, 1000, 256, 1 << 20
+#: Minima that a class may be grouped by; classes of a first group, of a group of the matrix and of its queries at a time; counters of the frequency sketch.
+HOMES, HOME_ROWS, GROUP_ROWS, QUERY_ROWS, COUNTERS = 3, 1000, 256, 128, 1 << 20
 #: Leaders that a first group tries before it leaves what is apart to the matrix.
 LEADERS = 48
 _SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0)]
@@ -377,7 +377,7 @@ def _opened_groups(least: tuple[int, int]):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """(token, class, weight, n) where several classes, n of them, have a token; tokens that the same classes have are one, with their number as its weight."""
+    """(token, class, weight, holders, lead) where several classes have a token, with their number and the first of them; tokens that the same classes have are one, with their number as its weight."""
     classes = np.repeat(unpack(t.column("classes"), np.int64), unpack(t.column("counts"), np.int32))
     tokens = unpack(t.column("tokens"), np.int64)
     order = np.lexsort((classes, tokens))
@@ -387,15 +387,154 @@ def _shared(t: pa.Table) -> pa.Table:
     at = runs(tokens)
     n = np.diff(at)
     if not len(tokens):
-        return pa.table([pa.array([], pa.int64())] * 4, names=["token", "class", "weight", "n"])
+        return pa.table([pa.array([], pa.int64())] * 5, names=["token", "class", "weight", "holders", "lead"])
     lists = mix(np.add.reduceat(mix(classes.astype(U) ^ _SEEDS[0]), at[:-1]) ^ n.astype(U))
     _, first, weight = np.unique(lists, return_index=True, return_counts=True)
     keep, weights = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
     keep[first], weights[first] = True, weight
     keep &= n > 1
     some = np.repeat(keep, n)
-    columns = [np.repeat(lists, n)[some].view(np.int64), classes[some], np.repeat(weights, n)[some], np.repeat(n, n)[some].astype(np.int64)]
-    return pa.table([pa.array(c) for c in columns], names=["token", "class", "weight", "n"])
+    of_token = (lists.view(np.int64), weights, n.astype(np.int64), classes[at[:-1]])
+    token, weight, holders, lead = (np.repeat(x, n)[some] for x in of_token)
+    return pa.table([pa.array(c) for c in (token, classes[some], weight, holders, lead)], names=["token", "class", "weight", "holders", "lead"])
+
+
+def _sent(t: pa.Table) -> pa.Table:
+    """Which classes ask which groups, by the tokens of a bucket: rows (token, is_query, class, weight, comp, rows, grp, span).
+
+    Of two components the smaller one's classes ask (of equal ones the first): a class asks a group if one of the group's
+    classes with the token has a larger component than its own, and sizes are near enough.
+    """
+    columns = [np.asarray(t.column(c)) for c in ("token", "is_query", "class", "weight", "comp", "rows", "grp", "span")]
+    order = np.lexsort((columns[1], columns[0]))
+    token, ask, cls, weight, comp, rows, grp, span = (x[order] for x in columns)
+    at = runs(token)
+    n_groups = np.add.reduceat((~ask).astype(np.int64), at[:-1]) if len(token) else np.zeros(0, np.int64)
+    queries, groups, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), n_groups.tolist(), strict=True):
+        theirs = slice(a, a + k)
+        for x in range(a + k, b, QUERY_ROWS):
+            mine = slice(x, min(x + QUERY_ROWS, b))
+            c, n = comp[mine, None], rows[mine, None]
+            larger = (rows[theirs] > n) | ((rows[theirs] == n) & (comp[theirs] > c))
+            q, g = np.nonzero(larger & (comp[theirs] != c) & (np.abs(span[theirs] - span[mine, None]) <= 2))
+            queries.append(cls[mine][q])
+            groups.append(grp[theirs][g])
+            weights.append(np.full(len(q), weight[a]))
+    q, g, w = np.concatenate(queries), np.concatenate(groups), np.concatenate(weights)
+    order = np.lexsort((g, q))
+    q, g, w = q[order], g[order], w[order]
+    at = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])]) if len(q) else np.zeros(0, np.int64)
+    return pa.table([pa.array(q[at]), pa.array(g[at]), pa.array(np.add.reduceat(w, at) if len(at) else w)], names=["class", "grp", "tokens"])
+
+
+def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        self.parts -= 1
+        return True
+
+
+def _joined_homes(least: tuple[int, int]):
+    """Links inside first groups: leaders are compared with all members that are not joined to them yet."""
+
+    def of_group(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        n = len(ids)
+        size = np.array([len(s) for s in sets], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        everything = np.concatenate(sets)
+        u, links = _Union(n), []
+        order = np.argsort(size, kind="stable")[::-1].tolist()
+        for leader in order[: LEADERS if n > LEADERS else n]:
+            if u.parts == 1:
+                break
+            own = sets[leader]
+            place = np.searchsorted(own, everything)
+            both = np.add.reduceat((own[np.minimum(place, len(own) - 1)] == everything).astype(np.int64), at[:-1])
+            for k in np.flatnonzero(linked(both, size, size[leader], least)).tolist():
+                if k != leader and u.join(leader, k):
+                    links.append((int(ids[leader]), int(ids[k])))
+        return links
+
+    def run(t: pa.Table) -> pa.Table:
+        key = np.asarray(t.column("home")).astype(U) ^ mix(np.asarray(t.column("sub")).astype(U))
+        ids, raw = np.asarray(t.column("class")), t.column("shingles").to_pylist()
+        order = np.argsort(key, kind="stable")
+        at = runs(key[order])
+        links: list[tuple[int, int]] = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a > 1:
+                own = order[a:b]
+                links += of_group(ids[own], [np.frombuffer(raw[k], U) for k in own.tolist()])
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _opened_groups(least: tuple[int, int]):
+    """Links between queries and the members of the groups that they are sent to; rows (bucket, grp, is_query, class, shingles).
+
+    Of a group's links a spanning forest is given, so there are fewer than its members and queries.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        group, ids, ask = np.asarray(t.column("grp")), np.asarray(t.column("class")), np.asarray(t.column("is_query"))
+        sets = t.column("shingles").to_pylist()
+        order = np.lexsort((ask, group))
+        at = runs(group[order])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = order[a:b]
+            members, queries = own[~ask[own]], own[ask[own]]
+            if not len(members) or not len(queries):
+                continue
+            shingles = [np.frombuffer(sets[k], U) for k in members.tolist()]
+            size = np.array([len(s) for s in shingles], np.int64)
+            everything = np.concatenate(shingles)
+            starts = np.concatenate([[0], np.cumsum(size)])[:-1]
+            union = np.unique(everything)
+            place_of = {x: k for k, x in enumerate(np.unique(ids[own]).tolist())}
+            forest = _Union(len(place_of))
+            for q in queries.tolist():
+                query = np.frombuffer(sets[q], U)
+                place = np.minimum(np.searchsorted(union, query), len(union) - 1)
+                if (union[place] == query).sum() < needed(len(query), least):
+                    continue  # no member can be linked: the group stays closed
+                place = np.minimum(np.searchsorted(query, everything), len(query) - 1)
+                both = np.add.reduceat((query[place] == everything).astype(np.int64), starts)
+                mine = int(ids[q])
+                for k in np.flatnonzero(linked(both, size, len(query), least)).tolist():
+                    other = int(ids[members[k]])
+                    if forest.join(place_of[mine], place_of[other]):
+                        links.append((mine, other))
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """(token, class, weight, holders, lead) where several classes have a token, with their number and the first of them; tokens that the same classes have are one, with their number as its weight."""
+    classes = np.repeat(unpack(t.column("classes"), np.int64), unpack(t.column("counts"), np.int32))
+    tokens = unpack(t.column("tokens"), np.int64)
+    order = np.lexsort((classes, tokens))
+    tokens, classes = tokens[order], classes[order]
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])] if len(tokens) else np.zeros(0, bool)
+    tokens, classes = tokens[once], classes[once]
+    at = runs(tokens)
+    n = np.diff(at)
+    if not len(tokens):
+        return pa.table([pa.array([], pa.int64())] * 5, names=["token", "class", "weight", "holders", "lead"])
+    lists = mix(np.add.reduceat(mix(classes.astype(U) ^ _SEEDS[0]), at[:-1]) ^ n.astype(U))
+    _, first, weight = np.unique(lists, return_index=True, return_counts=True)
+    keep, weights = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
+    keep[first], weights[first] = True, weight
+    keep &= n > 1
+    some = np.repeat(keep, n)
+    of_token = (lists.view(np.int64), weights, n.astype(np.int64), classes[at[:-1]])
+    token, weight, holders, lead = (np.repeat(x, n)[some] for x in of_token)
+    return pa.table([pa.array(c) for c in (token, classes[some], weight, holders, lead)], names=["token", "class", "weight", "holders", "lead"])
 
 
 def _sent(t: pa.Table) -> pa.Table:
@@ -452,8 +591,8 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     # the text with the smallest id represents its class, so that copies aren't sent again from every block
     chosen = class_filter(full.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class ^ doc_id")
     # shingles that several classes have among their rarest ones
-    rare = source.mapInArrow(_prefixer(width, least, heavy, chosen, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long, weight long, n long")
-    shared = written(rare.groupBy("token", "class").agg(F.sum("weight").alias("weight"), F.max("n").alias("n")))
+    rare = source.mapInArrow(_prefixer(width, least, heavy, chosen, n_buckets, block_bytes), PREFIX).groupBy("bucket").applyInArrow(_shared, "token long, class long, weight long, holders long, lead long")
+    shared = written(rare.groupBy("token", "class").agg(F.sum("weight").alias("weight"), F.max("holders").alias("holders"), F.max("lead").alias("lead")))
     touched = written(shared.select("class").distinct())
     # first groups: the most popular of a class's minima, by counters of a fixed size
     sizes_of = written(full.groupBy("class").agg(F.first("n").alias("n"), F.first("homes").alias("homes")).join(touched, "class", "left_semi"))
@@ -464,7 +603,7 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     joined = components(links).withColumnsRenamed({"id": "class", "component": "comp"})
     placed = sizes_of.select("class", "n").join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     # the shingle that most classes share with a class: what a common passage brings together
-    passage = shared.groupBy("class").agg(F.max(F.struct("n", "token")).alias("top")).select("class", F.col("top.token").alias("passage"))
+    passage = shared.groupBy("class").agg(F.max(F.struct("holders", "token")).alias("top")).select("class", F.col("top.token").alias("passage"))
     placed = placed.join(passage, "class")
     # groups of the matrix: blocks of a component, or of what has a passage in common but no component, of one range of sizes
     placed = placed.withColumn("span", F.floor(F.log(F.col("n").cast("double")) / size_step(least)).cast("int"))
@@ -472,10 +611,17 @@ def join(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, bl
     placed = written(placed.join(sizes, "comp").withColumn("place", F.when(F.col("rows") > 1, F.xxhash64("comp", "span")).otherwise(F.xxhash64("passage", "span", F.lit(0)))))
     many = placed.groupBy("place").agg(F.count("*").alias("mates"))
     placed = written(placed.join(many, "place").withColumn("grp", F.xxhash64("place", F.pmod(F.xxhash64("class"), F.ceil(F.col("mates") / GROUP_ROWS)))).select("class", "n", "comp", "rows", "grp", "span"))
-    postings = shared.join(placed, "class").withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int"))
+    postings = shared.join(placed.drop("n"), "class")
+    # the token-group matrix; queries of a common token are dealt to rooms, and tokens of one passage (with one first class) meet in the same rooms
+    rooms = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.col("holders") / QUERY_ROWS).cast("double")))).cast("int")
+    matrix = postings.groupBy("token", "grp").agg(F.max(F.struct("rows", "comp", "span", "weight", "holders", "lead")).alias("best")).select("token", "grp", "best.*")
+    offers = matrix.withColumn("room", F.explode(F.sequence(F.lit(0), rooms - 1))).withColumn("class", F.lit(0).cast("long")).withColumn("is_query", F.lit(False))
+    asks = postings.withColumn("room", F.pmod(F.xxhash64("class"), rooms).cast("int")).withColumn("is_query", F.lit(True))
+    bucket = F.pmod(F.xxhash64("lead", "room"), F.lit(n_buckets)).cast("int")
+    met = asks.unionByName(offers).select(bucket.alias("bucket"), "token", "is_query", "class", "weight", "comp", "rows", "grp", "span")
     # a query goes to a group whose union has enough of its prefix: what it must share with the smallest set that it can be linked with
     smallest_mate = F.ceil(F.col("n") * least[0] / least[1])
-    hits = postings.select("bucket", "token", "class", "weight", "comp", "rows", "grp", "span").groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
+    hits = met.groupBy("bucket").applyInArrow(_sent, "class long, grp long, tokens long")
     bound = hits.groupBy("class", "grp").agg(F.sum("tokens").alias("tokens")).join(placed.select("class", "n"), "class")
     sent = written(bound.where(F.col("tokens") >= 1 + F.floor(smallest_mate / 10)).select("class", "grp"))
     members = placed.join(sent.select("grp").distinct(), "grp", "left_semi").select("class", "grp", F.lit(False).alias("is_query"))
