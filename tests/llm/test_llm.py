@@ -300,6 +300,22 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.remove_repeated_bytes(docs.limit(0)).count() == 0
 
 
+def test_a_short_text_at_the_head_of_a_block_hides_no_windows(spark):
+    r = random.Random(12)
+    for heads in ([10], [30], [48], [49], [0, 7, 3, 0], [20, 45]):
+        passage = "".join(r.choice("abcdefgh") for _ in range(90))
+        rows = [(k, "z" * n) for k, n in enumerate(heads)] + [(100, passage), (101, passage[:60] + "y" * 40)]
+        data = "".join(t for _, t in rows).encode()
+        offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+        found = suffix_dedup.Anchors(np.frombuffer(data, np.uint8), offsets, 50, 20)
+        starts = [x for a, n in zip(found.first.tolist(), found.size.tolist(), strict=True) for x in range(a, a + n)]
+        assert starts == [a + k for a, (_, t) in zip(offsets.tolist(), rows, strict=False) for k in range(len(t) - 49)]
+    # the copy's first bytes go though a short text is before it in the block
+    df = spark.createDataFrame([(1, "z" * 10), (3, passage), (2, passage[:60])], "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept.decode()) for x in suffix_dedup.remove_repeated_bytes(df).collect()}
+    assert got == {1: (0, 0, "z" * 10), 2: (0, 0, passage[:60]), 3: (60, 1, passage[60:])}
+
+
 def test_substring_dedup(spark, docs):
     rows = corpus()
     texts = [words(t) for _, t, *_ in rows]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workmap.llm.common import U, Slices, blocks, covered, grouped, mix, pack, part_of, parts_for, runs, slice_hashes, table, text_bytes, unpack, utf8
+from workmap.llm.common import U, Slices, blocks, grouped, mix, pack, part_of, parts_for, runs, slice_hashes, table, text_bytes, unpack, utf8
 from workmap.llm.substring_dedup import ENTRY, TOLD, answer, messages, opened
 from workmap.llm.suffix_sort import sorted_windows
 
@@ -55,11 +55,10 @@ class Anchors:
             least = np.minimum(least[: len(least) - (span - wide)], least[span - wide :])
         owner = (least[:n] & U(0xFFFFFFFF)).astype(np.int64)
         inner = offsets[1:-1]
-        inside = np.ones(n, bool)
-        if len(inner):
-            inside = ~covered(np.maximum(inner - width + 1, 0), width - 1, len(data))[:n]
-            for b in inner[inner < width - 1].tolist():  # near the beginning the stretch is cut
-                inside[max(0, b - width + 1) : b] = False
+        step = np.zeros(len(data) + 1, np.int64)  # of a border b exactly the starts from b - width + 1 to b - 1 cross it
+        np.add.at(step, np.maximum(inner - width + 1, 0), 1)
+        np.add.at(step, inner, -1)
+        inside = np.cumsum(step[:n]) == 0
         v = np.flatnonzero(inside)
         if not len(v):
             return
