@@ -220,6 +220,23 @@ def test_lattice(spark):
     assert lattice_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_near_the_threshold_are_found(spark):
+    """Planted pairs of cosine 0.90 to 0.91, and vectors of a rarer length."""
+    r = np.random.default_rng(11)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in r.normal(size=(2, 600, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = r.uniform(0.9001, 0.91, (600, 1))
+    v = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    true = int((v @ v.T >= 0.9).sum()) - len(v)
+    rare = r.normal(size=8)
+    rows = [(k, x) for k, x in enumerate(v.tolist())] + [(5000, rare.tolist()), (5001, (rare + 0.01).tolist()), (5002, (-rare).tolist()), (5003, [1.0] * 5)]
+    got = {x.vec_id: x for x in lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert true >= 1200
+    assert 0.99 * true <= sum(got[k].n_links for k in range(len(v))) <= true
+    assert [(got[k].n_links, got[k].component_id) for k in range(5000, 5004)] == [(1, 5000), (1, 5000), (0, 5002), (0, 5003)]
+
+
 def brute_segmentation(text, pieces, unknown):
     """Best score and the pieces of the segmentation that the tie rule keeps, by the definition."""
     best = {0: (0.0, 0)}

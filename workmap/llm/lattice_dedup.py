@@ -9,6 +9,7 @@ place only, so a group's links are counted where they are found and never listed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from workmap.llm.common import U, components, mix, parts_for, runs, table, written
 
 #: Tables, cells probed besides the home cell, width of the projection in units of the lattice, rows of a dense block.
-TABLES, PROBES, WIDTH, BLOCK = 8, 3, 1.15, 1024
+TABLES, PROBES, WIDTH, BLOCK = 16, 3, 1.3, 1024
 
 
 def roots() -> np.ndarray:
@@ -231,21 +232,8 @@ def _small(cells, least, groups, at, size, table_, home, ids, copies, cell, x):
             yield ids[both], links, list(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
-    """vec_id, n_links, component_id of each row of vectors(vec_id, embedding): links are pairs found with cosine of `least` or more.
-
-    Equal vectors are one class and count as linked with each other. Vectors that are null, zero, or hold null or non-finite
-    components link with nothing, as do those of another length than the most common. Rows with equal ids are one vector each
-    but one node of a component. A row without an id takes no part. Other columns aren't read.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
-    clean = rows.where(F.coalesce(good, F.lit(False)))
-    most = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if most is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dims = most.n
+def _of_length(clean: DataFrame, dims: int, least: float, tables: int, probes: int, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unit vectors, classes of equal ones, and links found of vectors that all have one length."""
 
     def unit(batches):
         for batch in batches:
@@ -255,12 +243,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "unit"])
 
-    units = clean.where(F.size("v") == dims).mapInArrow(unit, "vec_id long, unit binary")
+    units = clean.mapInArrow(unit, "vec_id long, unit binary")
     classes = written(units.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     cells = Cells(dims, tables, probes, width)
-    n_parts = parts_for(spark, classes.count() * tables * (1 + probes) * (dims * 8 + 40), 32 << 20)
+    n_parts = parts_for(clean.sparkSession, classes.count() * tables * (1 + probes) * (dims * 8 + 40), 32 << 20)
     spread = classes.select("id", "copies", "unit").mapInArrow(_spread(cells, dims), "cell long, t int, is_home boolean, id long, copies long, unit binary")
     found = written(spread.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(_compare(cells, dims, least, BLOCK), "id long, links long, other long"))
+    return units, classes, found
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
+    """vec_id, n_links, component_id of each row of vectors(vec_id, embedding): links are pairs found with cosine of `least` or more.
+
+    Equal vectors are one class and count as linked with each other. Vectors that are null, zero, or hold null or non-finite
+    components link with nothing, vectors of one length only with each other. Rows with equal ids are one vector each
+    but one node of a component. A row without an id takes no part. Other columns aren't read.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
+    clean = rows.where(F.coalesce(good, F.lit(False)))
+    lengths = clean.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect()
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    each = [_of_length(clean.where(F.size("v") == x.n), x.n, least, tables, probes, width) for x in lengths]
+    units, classes, found = (reduce(DataFrame.unionByName, x) for x in zip(*each, strict=True))
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.where("other is not null").selectExpr("id a", "other b"))
     of_class = classes.join(links, "id", "left").join(comps, "id", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
