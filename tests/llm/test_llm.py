@@ -169,6 +169,13 @@ def test_lm_scores(spark, docs):
         assert multiset((x.doc_id, x.n_words, round(x.log_score, 4) + 0.0) for x in got) == multiset((d, n, float(v) + 0.0) for d, n, v in expected)
 
 
+def test_lm_scores_are_of_trigrams_unless_told(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (3, "x b c"), (4, "x b d")]
+    got = {x.doc_id: x.log_score for x in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # of the other rows' 9 words one is a; b is after the one a there; c after the one a b, not after two of the three b
+    assert got[1] == pytest.approx(np.log(1 / 9) + np.log(1 / 1) + np.log(1 / 1))
+
+
 def test_url_rules(spark):
     urls = ["http://Blog.Example.ORG/es/1", "https://example.org/en/12?x=1", "https://example.org/en/2", "https://a.example.com/fr/", "x://com/de/1#t", "https://examplecom/de/", "no url", None, "http://a://b/c", "http://example.org", "http://example.org?es/", "http://bad.net/en/spam/1"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(100 + k, "http://bad.net/en/spam/x") for k in range(30)] + [(200 + k, "http://good.net/en/fine/x") for k in range(30)], "page_id long, url string")

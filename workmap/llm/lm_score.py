@@ -133,7 +133,7 @@ def _dealt(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int, int]:
     return source.withColumn("part", part_of(F.col("doc_id"), F.col("text"), n_parts)), n_parts, parts_for(docs.sparkSession, 2 * n_bytes, part_bytes)
 
 
-def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, part_bytes: int = 8 << 20, block_bytes: int = 1 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, part_bytes: int = 8 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each row of docs(doc_id, text).
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A word with its order-1 words before it scores its
@@ -187,5 +187,41 @@ select w.doc_id, len(w)::bigint n_words, round(coalesce(v, 0), 4) log_score, rou
 """
 
 
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    """Of order 2, as its SQL is."""
+    return _rounded(score_documents(table(spark, sf_dir, "documents"), order=2))
+
+
+ORACLE_TRIGRAMS = """
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+t as (select doc_id, len(w) n_words, unnest(w) x, unnest(range(1, len(w) + 1)) i from w),
+p as (select *, lag(x) over (partition by doc_id order by i) y, lag(x, 2) over (partition by doc_id order by i) z from t),
+total as (select sum(len(w)) n from w),
+one as (select x, count(*) c from t group by 1),
+one_own as (select doc_id, x, count(*) c from t group by 1, 2),
+two as (select y, x, count(*) c from p where y is not null group by 1, 2),
+two_own as (select doc_id, y, x, count(*) c from p where y is not null group by 1, 2, 3),
+three as (select z, y, x, count(*) c from p where z is not null group by 1, 2, 3),
+three_own as (select doc_id, z, y, x, count(*) c from p where z is not null group by 1, 2, 3, 4),
+s as (
+  select p.doc_id, n - n_words rest, p.y is not null has, p.z is not null has3, coalesce(three.c - three_own.c, 0) c3, zo.c - zw.c czy, coalesce(two.c - two_own.c, 0) c2, yo.c - yw.c cy, xo.c - xw.c cx
+  from p cross join total
+  left join three on three.z = p.z and three.y = p.y and three.x = p.x left join three_own on three_own.doc_id = p.doc_id and three_own.z = p.z and three_own.y = p.y and three_own.x = p.x
+  left join two zo on zo.y = p.z and zo.x = p.y left join two_own zw on zw.doc_id = p.doc_id and zw.y = p.z and zw.x = p.y
+  left join two on two.y = p.y and two.x = p.x left join two_own on two_own.doc_id = p.doc_id and two_own.y = p.y and two_own.x = p.x
+  left join one yo on yo.x = p.y left join one_own yw on yw.doc_id = p.doc_id and yw.x = p.y
+  join one xo on xo.x = p.x join one_own xw on xw.doc_id = p.doc_id and xw.x = p.x),
+v as (select doc_id, sum(case when has3 and c3 > 0 then ln(c3) - ln(czy)
+  else (case when has3 then ln(0.4::double) else 0 end) + case when has and c2 > 0 then ln(c2) - ln(cy)
+  else (case when has then ln(0.4::double) else 0 end) + case when cx > 0 then ln(cx) - ln(rest) else (ln(0.4::double)) - ln(rest + 1.0) end end end) v from s group by 1)
+select w.doc_id, len(w)::bigint n_words, round(coalesce(v, 0), 4) log_score, round(v / len(w), 6) mean_log_score from w left join v using (doc_id)
+"""
+
+
+def query_trigrams(spark, sf_dir: str) -> DataFrame:
+    """Of the operator's own order."""
+    return _rounded(score_documents(table(spark, sf_dir, "documents")))
