@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from workmap.functions import scalar
 from workmap.operators import activity, cochange, graph, learn, records
+from workmap.plans import QUERIES, SQL, adapters
 from workmap.sources import readers
 
 
@@ -56,6 +57,20 @@ def test_cochange(spark):
     assert {r.src: r.confidence for r in links.collect()} == {10: pytest.approx(0.75 / 1.75), 20: 1.0}
 
 
+def test_mass_commits_are_skipped_whole(spark):
+    changes = spark.createDataFrame([(c, f) for c, n in ((1, 30), (2, 31), (3, 7)) for f in range(n)] + [(1, 0)], "commit long, file long")
+    commits = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "commit long, seq long")
+    got = cochange.commit_files(changes, commits, adapters.DEFAULT_FILES).groupBy("seq").count()
+    assert rows(got, "seq", "count") == [(10, 30), (30, 7)]
+
+
+def test_whole_queries_keep_orders_of_many_parts(spark):
+    d = "/root/testdata/sf0.001"
+    distinct = adapters.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    assert QUERIES["whole_cochange_file_commits"](spark, d).agg(F.sum("commits")).first()[0] == distinct.count()
+    assert "<= 30)" in SQL["whole_cochange_pairs"] and "<= 6)" in SQL["cochange_pairs"]
+
+
 def test_numbering_has_no_gaps(spark):
     r = random.Random(1)
     data = [(i, r.randrange(5), r.randrange(50)) for i in range(300)]

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import epoch_ms
 from workmap.operators import activity, cochange
+from workmap.plans.registry import QUERIES, SQL
 
-MAX_FILES = 6
+#: Files of a commit: the most in the queries' SQL, and the reference's default, which the whole_ queries have.
+MAX_FILES, DEFAULT_FILES = 6, 30
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,9 +22,9 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return cochange.numbered(o, F.trunc(F.col("at").cast("date"), "month"), ["at", "commit"]).select("commit", "seq")
 
 
-def commit_files(spark: SparkSession, d: str) -> DataFrame:
+def commit_files(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
-    return cochange.commit_files(changes, commits(spark, d), MAX_FILES)
+    return cochange.commit_files(changes, commits(spark, d), max_files)
 
 
 def anchor(files: DataFrame):
@@ -40,6 +42,14 @@ pc as (select x.f fa, y.f fb, count(*) n, sum(pow(0.5, (a - x.seq) / 500.0)) w,
 """
 
 
+def whole(f):
+    """Registers a query once more, as whole_ and its name, with commits of up to the reference's default of files, in its SQL as well."""
+    name, cut = f.__name__, f"having count(*) <= {MAX_FILES})"
+    QUERIES[f"whole_{name}"] = lambda spark, d: f(spark, d, DEFAULT_FILES)
+    SQL[f"whole_{name}"] = SQL[name].replace(cut, f"having count(*) <= {DEFAULT_FILES})")
+    return f
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """(seq, session, ts, kind, node, value)"""
     kind = F.when(F.col("event_type").isin("view", "click"), "read").when(F.col("event_type") == "purchase", "edit").when(F.col("event_type") == "error", "check").otherwise("prompt")
@@ -84,12 +94,12 @@ oc as (select session, task, case when max(case when kind = 'edit' then (ts, seq
 """
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
     """(src, dst, type, w, last_seq): structural edges from suppliers to parts by the best flag, co-change ones from partners."""
     flag = F.col("l_returnflag")
     w = F.when(flag == "A", 1.0).when(flag == "N", 0.8).otherwise(0.6)
     s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") + 10_000_000).alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(w).alias("w")).where("src is not null")
-    f = commit_files(spark, d)
+    f = commit_files(spark, d, max_files)
     a = anchor(f)
     p = cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f, a))
     return s.select("src", "dst", F.lit("structural").alias("type"), "w", F.lit(0).cast("long").alias("last_seq")).unionByName(p.select("src", "dst", F.lit("cochange").alias("type"), F.round("confidence", 9).alias("w"), F.lit(0).cast("long").alias("last_seq")))

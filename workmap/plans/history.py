@@ -6,40 +6,45 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import prefixes, scale_mode
 from workmap.operators import cochange
-from workmap.plans.adapters import COMMITS, PARTNERS, anchor, commit_files, table
+from workmap.plans.adapters import COMMITS, MAX_FILES, PARTNERS, anchor, commit_files, table, whole
 from workmap.plans.registry import query
 
 
+@whole
 @query(f"with {COMMITS} select f file, n commits, round(w, 6) weighted from fc")
-def cochange_file_commits(spark, d):
-    f = commit_files(spark, d)
+def cochange_file_commits(spark, d, max_files=MAX_FILES):
+    f = commit_files(spark, d, max_files)
     return cochange.file_commits(f, anchor(f)).withColumn("weighted", F.round("weighted", 6))
 
 
+@whole
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
-def cochange_pairs(spark, d):
-    f = commit_files(spark, d)
+def cochange_pairs(spark, d, max_files=MAX_FILES):
+    f = commit_files(spark, d, max_files)
     return cochange.pair_commits(f, anchor(f)).withColumn("weighted", F.round("weighted", 6))
 
 
+@whole
 @query(f"with {PARTNERS} select src, dst, round(conf, 6) confidence, n commits, place::int place from pk")
-def cochange_edges(spark, d):
-    f = commit_files(spark, d)
+def cochange_edges(spark, d, max_files=MAX_FILES):
+    f = commit_files(spark, d, max_files)
     a = anchor(f)
     return cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f, a)).withColumn("confidence", F.round("confidence", 6))
 
 
+@whole
 @query(f"with {COMMITS}, w as (select p_partkey f from part where p_size = 7) select fa file_a, fb file_b, n commits from pc where fa in (select f from w) union select fa, fb, n from pc where fb in (select f from w)")
-def cochange_partners_of(spark, d):
-    f = commit_files(spark, d)
+def cochange_partners_of(spark, d, max_files=MAX_FILES):
+    f = commit_files(spark, d, max_files)
     wanted = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("file"))
     return cochange.partners_of(cochange.pair_commits(f, anchor(f)).select("file_a", "file_b", "commits"), wanted)
 
 
+@whole
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
-def cochange_merge(spark, d):
+def cochange_merge(spark, d, max_files=MAX_FILES):
     """Two minings, of even and of odd commits, add up to the whole."""
-    f = commit_files(spark, d)
+    f = commit_files(spark, d, max_files)
     a = anchor(f)
     halves = [cochange.pair_commits(f.where(F.col("seq") % 2 == k), a) for k in (0, 1)]
     return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"]).withColumn("weighted", F.round("weighted", 6))
