@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from workmap.functions import scalar
 from workmap.operators import activity, cochange, graph, learn, records
-from workmap.plans import QUERIES, SQL, adapters
+from workmap.plans import QUERIES, SQL, adapters, ranking
 from workmap.sources import readers
 
 
@@ -113,6 +113,16 @@ def test_rank_by_pushing_mass(spark):
     assert all(got.get(k, 0.0) == pytest.approx(v, abs=1e-12) for k, v in enumerate(score))
 
 
+def test_whole_ranking_leaves_little_mass(spark, monkeypatch):
+    """Of a long path all but a thousandth of the mass is spread, and nodes beyond six steps have rows."""
+    path = spark.createDataFrame([(k, k + 1, "cochange", 1.0, 0) for k in range(40)], "src long, dst long, type string, w double, last_seq long")
+    seed = spark.createDataFrame([(0, 1)], "p_partkey long, p_size int")
+    monkeypatch.setattr(ranking, "edges", lambda *_: path)
+    monkeypatch.setattr(ranking, "table", lambda *_: seed)
+    got = {x.node: x.score for x in QUERIES["whole_ppr_scores"](spark, "").collect()}
+    assert 7 in got and 1 - sum(got.values()) <= 1e-3
+
+
 def test_strongest_of_either_end(spark):
     links = spark.createDataFrame([(1, 2, 9.0), (1, 3, 8.0), (1, 4, 7.0), (4, 5, 1.0)], "a long, b long, weight double")
     assert rows(graph.strongest(links, 1), "a", "b") == [(1, 2), (1, 3), (1, 4), (4, 5)]

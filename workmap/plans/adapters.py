@@ -42,11 +42,14 @@ pc as (select x.f fa, y.f fb, count(*) n, sum(pow(0.5, (a - x.seq) / 500.0)) w,
 """
 
 
+def whole_sql(sql: str) -> str:
+    return sql.replace(f"having count(*) <= {MAX_FILES})", f"having count(*) <= {DEFAULT_FILES})")
+
+
 def whole(f):
     """Registers a query once more, as whole_ and its name, with commits of up to the reference's default of files, in its SQL as well."""
-    name, cut = f.__name__, f"having count(*) <= {MAX_FILES})"
-    QUERIES[f"whole_{name}"] = lambda spark, d: f(spark, d, DEFAULT_FILES)
-    SQL[f"whole_{name}"] = SQL[name].replace(cut, f"having count(*) <= {DEFAULT_FILES})")
+    QUERIES[f"whole_{f.__name__}"] = lambda spark, d: f(spark, d, DEFAULT_FILES)
+    SQL[f"whole_{f.__name__}"] = whole_sql(SQL[f.__name__])
     return f
 
 

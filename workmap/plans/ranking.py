@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workmap.operators import graph, learn, records
-from workmap.plans.adapters import EDGES, MAX_FILES, edges, table, whole
+from workmap.plans.adapters import DEFAULT_FILES, EDGES, MAX_FILES, edges, table, whole, whole_sql
 from workmap.plans.registry import query
 
 WEIGHED = EDGES + """,
@@ -34,18 +34,30 @@ def graph_by_files(spark, d, max_files=MAX_FILES):
     return graph.by_files(w, of).withColumn("w", F.round("w", 4))
 
 
-_ROUNDS = 6
-PPR = WEIGHED + """, sh as materialized (select src, dst, w / sum(w) over (partition by src) p from g), m0 as (select p_partkey node, 1.0::double / count(*) over () mass from part where p_size = 1)""" + "".join(
-    f", m{k} as materialized (select dst node, sum(mass * p * 0.5) mass from m{k - 1} join sh on src = node group by 1)" for k in range(1, _ROUNDS + 1)
-)
+#: Rounds in the query's SQL; and those after which at most 0.5**21 of the mass is left, where the reference asks for 1e-3.
+_ROUNDS, _WHOLE_ROUNDS = 6, 20
 
 
-@whole
-@query(f"with {PPR} select node, round(sum(mass * 0.5), 6) score from ({' union all '.join(f'select * from m{k}' for k in range(_ROUNDS + 1))}) group by 1")
-def ppr_scores(spark, d, max_files=MAX_FILES):
+def _ppr_sql(rounds: int) -> str:
+    mass = "".join(f", m{k} as materialized (select dst node, sum(mass * p * 0.5) mass from m{k - 1} join sh on src = node group by 1)" for k in range(1, rounds + 1))
+    seeds = ", sh as materialized (select src, dst, w / sum(w) over (partition by src) p from g), m0 as (select p_partkey node, 1.0::double / count(*) over () mass from part where p_size = 1)"
+    return f"with {WEIGHED}{seeds}{mass} select node, round(sum(mass * 0.5), 6) score from ({' union all '.join(f'select * from m{k}' for k in range(rounds + 1))}) group by 1"
+
+
+def _ppr(spark, d, max_files, rounds):
     g = _weighed(spark, d, max_files).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("weight"))
-    return graph.spread(g, seeds, rounds=_ROUNDS).withColumn("score", F.round("score", 6))
+    return graph.spread(g, seeds, rounds=rounds).withColumn("score", F.round("score", 6))
+
+
+@query(_ppr_sql(_ROUNDS))
+def ppr_scores(spark, d):
+    return _ppr(spark, d, MAX_FILES, _ROUNDS)
+
+
+@query(whole_sql(_ppr_sql(_WHOLE_ROUNDS)))
+def whole_ppr_scores(spark, d):
+    return _ppr(spark, d, DEFAULT_FILES, _WHOLE_ROUNDS)
 
 
 LINKS = EDGES + ", ln_ as (select least(src, dst) a, greatest(src, dst) b, max(w) weight from ed where type = 'cochange' group by 1, 2)"
