@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.functions.scalar import idf_coverage, idf_ranking, identifier_tokens
@@ -10,10 +10,20 @@ from workmap.functions.scalar import idf_coverage, idf_ranking, identifier_token
 K1, B = 1.2, 0.75
 
 
+def term_counts(docs: DataFrame, ident: str, tokens: Column) -> DataFrame:
+    """(doc, term, tf, length) of rows whose `ident` is unique: terms are counted inside their row, so nothing is shuffled."""
+    rows = docs.select(F.col(ident).alias("doc"), F.array_sort(tokens).alias("t")).withColumn("length", F.size("t"))
+    # in a sorted list a term's run begins where it differs from the one before; its length is the distance to the next beginning
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("length"), F.lit(1)) - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.withColumn("b", begins)
+    ends = F.concat(F.slice("b", 2, F.size("b")), F.array(F.col("length")))
+    runs = F.zip_with("b", ends, lambda b, e: F.struct(F.get("t", b).alias("term"), (e - b).cast("long").alias("tf")))
+    return rows.select("doc", "length", F.explode(runs).alias("r")).where("r.tf > 0").select("doc", "r.term", "r.tf", "length")
+
+
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(doc, term, tf, length): aggregated where the documents are before any shuffle."""
-    tokens = docs.select(F.col(ident).alias("doc"), identifier_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
-    return tokens.select("doc", "length", F.explode("tokens").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "length")
+    """(doc, term, tf, length) of the identifier words of a text."""
+    return term_counts(docs, ident, identifier_tokens(F.col(text)))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
