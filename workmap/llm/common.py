@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Without that setting a local master gets a temporary one; on a cluster there is none to guess."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="workmap-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -45,7 +47,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/workmap/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    path = getattr(df, "written_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parts_for(spark: SparkSession, n_bytes: int, target: int = 12 << 20) -> int:
@@ -223,17 +236,52 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- components
+def stars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars around the smallest node that they reach there; written out after every `most` nodes."""
+    parent: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (p := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent.setdefault(p, p)
+        return i
+
+    def emit() -> pa.RecordBatch:
+        pairs = [(i, top(i)) for i in list(parent)]
+        pairs = [(i, p) for i, p in pairs if i != p]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) >= most:
+            yield emit()
+            parent = {}
+    yield emit()
+
+
+#: Links of a task that makes stars of them.
+STAR_ROWS = 1 << 16
+
+
+def _starred(links: DataFrame, rows: int) -> DataFrame:
+    """The links as stars: each task's share of them, which is bounded, is joined up before any shuffle."""
+    return written(links.coalesce(max(1, -(-rows // STAR_ROWS))).mapInArrow(stars, "a long, b long"))
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in links(a, b): the smallest id that it can reach.
 
-    Alternating large-star and small-star steps; each round's links are a written table, and no
-    step gathers a component anywhere. Links are pre-aggregated and de-duplicated, so a hot node
-    has one row per neighbour that remains, and stars shrink every round.
+    Each task's share of the links is made stars first, which is all there is to do where one task's share holds them all. Then
+    large-star and small-star steps alternate; each round's links are a written table, and no step gathers a component anywhere.
+    Links are pre-aggregated and de-duplicated, so a hot node has one row per neighbour that remains, and stars shrink every round.
     """
-    spark = links.sparkSession
-    now = written(links.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    once = written(links.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    rows = once.count()
+    now = _starred(once, rows)
     seen = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if rows > STAR_ROWS else 0):
         both = now.unionByName(now.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: a's larger neighbours go to a's least
@@ -241,12 +289,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a's smaller neighbours and a itself go to the least of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").selectExpr("b a", "m b").where("a <> b").unionByName(small_least.selectExpr("a", "m b")).distinct()
-        now = written(small)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, now = now, _starred(small, rows)
+        discard(before)
+        mark = (rows := now.count(), now.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
         if mark == seen:
             break
         seen = mark
     else:
-        raise RuntimeError("components did not settle")
+        if rows > STAR_ROWS:
+            raise RuntimeError("components did not settle")
     ends = now.selectExpr("b id", "b component").distinct()
     return now.selectExpr("a id", "b component").unionByName(ends)
