@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import collapsed_hash, count_lines, estimate_tokens, identifier_tokens, jaccard
 from workmap.operators import search
+from workmap.operators.scratch import checkpointed
 from workmap.plans.adapters import table
 from workmap.plans.registry import query
 
@@ -26,7 +27,9 @@ def _queries(spark, d):
 
 @query(f"with {POSTINGS} select term, df from df")
 def token_df(spark, d):
-    return search.document_frequency(search.postings(table(spark, d, "documents"), "doc_id", "text"))
+    """Each document's distinct words, counted: one partial aggregate and one shuffle."""
+    terms = table(spark, d, "documents").select(F.explode(F.array_distinct(identifier_tokens(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"""with {POSTINGS}, rare as (select query, term, df, row_number() over (partition by query order by df, term) k from qt join df using (term) where df <= (select greatest(ceil(n_rows * 0.05), 20) from st) qualify k <= 24),
@@ -34,12 +37,9 @@ s as (select query, doc, round(sum(greatest(ln((n_rows - df + 0.5) / (df + 0.5))
 select query, doc, score, row_number() over (partition by query order by score desc, doc)::int place from s qualify place <= 50""")
 def bm25_top(spark, d):
     """The best documents of each item by its rarest words; words in over 5 % of the documents (and over 20) are not looked up."""
-    post = search.postings(table(spark, d, "documents"), "doc_id", "text")
-    stats = table(spark, d, "documents").select(F.size(identifier_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("rows"), F.avg("n").alias("mean_length"))
-    df = search.document_frequency(post)
-    most = stats.select(F.greatest(F.ceil(F.col("rows") * 0.05), F.lit(20)).alias("most"))
-    rare = _queries(spark, d).join(df, "term").crossJoin(F.broadcast(most)).where("df <= most")
-    rare = rare.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))).where("k <= 24").select("query", "term")
+    docs = table(spark, d, "documents")
+    post = checkpointed(search.postings(docs, "doc_id", "text"))
+    rare, stats = search.rare_terms(post, _queries(spark, d), search.text_stats(post, docs))
     return search.bm25(post, rare, stats, 50).select("query", "doc", "score", "place")
 
 
@@ -49,7 +49,8 @@ m as (select query, doc, sum(idf) matched from po join i using (term) group by 1
 select query, doc, round(least(matched / whole, 1.0), 6) coverage from m join w using (query) where round(least(matched / whole, 1.0), 6) >= 0.4""")
 def lexical_coverage(spark, d):
     docs = table(spark, d, "documents")
-    return search.coverage(search.postings(docs, "doc_id", "text"), _queries(spark, d), docs.count()).where("coverage >= 0.4")
+    post = checkpointed(search.postings(docs, "doc_id", "text"))
+    return search.coverage(post, _queries(spark, d), search.text_stats(post, docs)).where("coverage >= 0.4")
 
 
 @query("""with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) w from conversations),
