@@ -1,6 +1,6 @@
 """Queries over the driver's tables: mappings, plans and the SQL that each must equal."""
 
-from workmap.plans import activity, history, metering, ranking, retrieval, store, store_coordination, store_learning, streams, text
+from workmap.plans import activity, advice, history, metering, ranking, resolution, retrieval, store, store_coordination, store_learning, streams, text
 from workmap.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "activity", "history", "metering", "ranking", "retrieval", "store", "store_coordination", "store_learning", "streams", "text"]
+__all__ = ["QUERIES", "SQL", "activity", "advice", "history", "metering", "ranking", "resolution", "retrieval", "store", "store_coordination", "store_learning", "streams", "text"]

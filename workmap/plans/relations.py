@@ -124,8 +124,10 @@ def relations_sql(sql: str) -> str:
         else:
             base, distinct, columns = _RELATIONS[n]
             parts.append(f"{n} as (select {'distinct ' if distinct else ''}{', '.join(f'{e} as {c}' for c, e in columns.items())} from {base})")
-    body = re.sub(r"^\s*with ", ", ", sql) if re.match(r"\s*with ", sql) else " " + sql
-    return f"with {', '.join(parts)}{body}" if parts else sql
+    if not parts:
+        return sql
+    own = re.match(r"\s*with (recursive )?", sql)
+    return f"with {own[1] or '' if own else ''}{', '.join(parts)}{', ' + sql[own.end():] if own else ' ' + sql}"
 
 
 def statement(sql: str):
