@@ -9,6 +9,7 @@ a fixed hash of their id with calibrated probabilities.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from workmap.llm.common import table, written
 
 MARGINS = ("source", "lang", "topic")
-#: Rounds of scaling; a share of the corpus' weight to draw; the power that flattens the corpus' own margins.
-ROUNDS, SHARE, FLATTEN = 8, 0.8, 0.8
+#: Most rounds of scaling; how little factors move once they have settled; a share of the corpus' weight to draw; the power that flattens the corpus' own margins.
+ROUNDS, CLOSE, SHARE, FLATTEN = 40, 1e-9, 0.8, 0.8
 
 
 def topic_of(text: Column) -> Column:
@@ -59,27 +60,40 @@ def _targets(cells: DataFrame, name: str, given: Mapping[str, float] | None, fla
     return raised.crossJoin(F.broadcast(total)).select(name, F.when(F.col("total") > 0, F.col("p") / F.col("total")).otherwise(0.0).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN, keep_every: int = 1) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN, close: float = CLOSE) -> DataFrame:
     """cells(*MARGINS, weight) with `factor`: what each cell's weight is multiplied by so that its margins come to the targets.
 
     targets has shares by value for a margin; a margin without has the corpus' own shares raised to the power `flatten`.
-    Cells of weight 0 have factor 1. The scaled weights sum to the input's. A margin's step has its cells twice in the plan,
-    so the plan doubles with each step until the cells are written, every `keep_every` rounds.
+    Cells of weight 0 have factor 1. The scaled weights sum to the input's. A cell's factor is the product of one factor for
+    each of its margins' values: a step sums the cells under the other margins' factors and writes the margin's new ones, a row
+    for each value, so no plan grows with the rounds. Rounds end when no factor moves by more than `close` of itself, or
+    after `rounds`.
     """
     targets = targets or {}
     cells = written(cells)
-    # small constants: one row each
-    total = cells.agg(F.sum("weight").alias("all"))
-    goals = {m: written(_targets(cells, m, targets.get(m), flatten).crossJoin(F.broadcast(total)).select(m, (F.col("target") * F.col("all")).alias("goal"))) for m in MARGINS}
-    now = cells.withColumn("scaled", F.col("weight").cast("double"))
-    for k in range(rounds):
+    total = cells.agg(F.sum("weight").alias("all"))  # one row
+    goals = {m: written(_targets(cells, m, targets.get(m), flatten).crossJoin(F.broadcast(total)).select(m, (F.col("target") * F.col("all")).alias("goal"), F.lit(1.0).alias(f"f_{m}"))) for m in MARGINS}
+    factors = {m: goals[m].select(m, f"f_{m}") for m in MARGINS}
+
+    def under(*margins: str) -> DataFrame:
+        df = cells
+        for m in margins:
+            df = df.join(factors[m].select(m, f"f_{m}"), m)
+        return df
+
+    for _ in range(rounds):
+        moved = []
         for m in MARGINS:
-            sums = now.groupBy(m).agg(F.sum("scaled").alias("s")).join(goals[m], m)
-            factor = sums.select(m, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(1.0).alias("f"))
-            now = now.join(factor, m).withColumn("scaled", F.col("scaled") * F.col("f")).drop("f")
-        if (k + 1) % keep_every == 0 or k == rounds - 1:
-            now = written(now)
-    return now.withColumn("factor", F.when(F.col("weight") > 0, F.col("scaled") / F.col("weight")).otherwise(1.0)).drop("scaled")
+            a, b = (o for o in MARGINS if o != m)
+            sums = under(a, b).groupBy(m).agg(F.sum(F.col("weight") * F.col(f"f_{a}") * F.col(f"f_{b}")).alias("s"))
+            old = factors[m].select(m, F.col(f"f_{m}").alias("old"))
+            new = sums.join(goals[m].select(m, "goal"), m).join(old, m).select(m, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(1.0).alias(f"f_{m}"), "old")
+            factors[m] = written(new)
+            moved.append(factors[m].select(F.abs(F.try_divide(f"f_{m}", "old") - 1).alias("move")))
+        if (reduce(DataFrame.unionByName, moved).agg(F.max("move")).first()[0] or 0.0) <= close:
+            break
+    product = F.col(f"f_{MARGINS[0]}") * F.col(f"f_{MARGINS[1]}") * F.col(f"f_{MARGINS[2]}")
+    return under(*MARGINS).select(*MARGINS, "weight", F.when(F.col("weight") > 0, product).otherwise(1.0).alias("factor"))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -143,7 +157,8 @@ from d join f using (source, lang, topic)
 """
 
 
-ORACLE = _oracle()
+#: So many rounds that factors have settled to more places than are compared.
+ORACLE = _oracle(20)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
