@@ -10,7 +10,6 @@ walking to sampled suffix positions. Documents are only mapped, never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,9 @@ SCHEMA = T.StructType(
     ]
 )
 
+#: Between passes, rows keep their text.
+CARRIED = T.StructType([SCHEMA["doc_id"], T.StructField("text", T.StringType()), SCHEMA["spans"], SCHEMA["items"]])
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
@@ -216,31 +218,38 @@ def _search(phrases: Phrases, texts: list[bytes]) -> Iterator[tuple[int, list, l
         yield counts[d], [{"first": s, "words": e - s} for s, e in spans], items
 
 
-def _mapper(phrases: Phrases, shard_bytes: int):
+def _mapper(phrases: Phrases, shard_bytes: int, first: bool, last: bool):
+    """One pass over rows of (doc_id, text), or of (doc_id, text, spans, items) with what earlier passes found; the last one leaves the text out."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(SCHEMA)
+    schema = to_arrow_schema(SCHEMA if last else CARRIED)
+    spans_type, items_type = schema.field("spans").type, schema.field("items").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
+        rows: list[tuple] = []
         texts: list[bytes] = []
         size = 0
 
-        def flush():
-            rows = list(_search(phrases, texts))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], schema.field(2).type), pa.array([r[2] for r in rows], schema.field(3).type)], schema=schema)
+        def flush() -> pa.RecordBatch:
+            found = list(_search(phrases, texts))
+            spans = [_union(old[1] or [], new[1]) if not first else new[1] for old, new in zip(rows, found, strict=True)]
+            items = [sorted({*(old[2] or []), *new[2]}) if not first else new[2] for old, new in zip(rows, found, strict=True)]
+            ids = pa.array([r[0] for r in rows], pa.int64())
+            between = pa.array([x[0] for x in found], pa.int64()) if last else pa.array(texts, pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([ids, between, pa.array(spans, spans_type), pa.array(items, items_type)], schema=schema)
 
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             data = data.tobytes()
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                ids.append(d)
+            columns = [batch.column(0).to_pylist(), *([[None] * batch.num_rows] * 2 if first else [batch.column(k).to_pylist() for k in (2, 3)])]
+            for i, row in enumerate(zip(*columns, strict=True)):
+                rows.append(row)
                 texts.append(data[offsets[i] : offsets[i + 1]])
                 size += len(texts[-1])
                 if size >= shard_bytes:
                     yield flush()
-                    ids, texts, size = [], [], 0
-        if ids:
+                    rows, texts, size = [], [], 0
+        if rows:
             yield flush()
 
     return run
@@ -287,9 +296,9 @@ def _union(a: list[dict], b: list[dict]) -> list[dict]:
 
 
 def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of at most `most` bytes (one item at least), read one partition at a time."""
+    """The benchmark in blocks of at most `most` bytes (one item at least), sorted in one task that may spill, and streamed."""
     block, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("text is not null").coalesce(1).sortWithinPartitions("item_id", "text").toLocalIterator():
         text = text.encode()
         if block and size + len(text) > most:
             yield block
@@ -302,26 +311,17 @@ def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, by
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, spans (of words, merged, to remove), items: what test items occur in each row of docs(doc_id, text).
 
-    The benchmark goes to executors in blocks of block_bytes, whatever its size; each block is one pass over docs. Null or
+    The benchmark goes to executors in blocks of block_bytes, whatever its size; each block is one pass over the rows, which
+    carry what earlier passes found, so rows are never matched up again. Null or
     empty texts have no words, spans or items. An item without words is in nothing; one with a null id is called "null".
     Rows that repeat are judged each on their own; columns other than doc_id and text are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = (source.mapInArrow(_mapper(Phrases(block, width), shard_bytes), SCHEMA) for block in _item_blocks(benchmark, block_bytes))
-    return reduce(_merged, passes)
-
-
-def _merged(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Spans and items of two passes over the same rows."""
-    w = "row_number() over (partition by doc_id, n_words order by to_json(spans), to_json(items))"
-    both = left.selectExpr("doc_id", "n_words", "spans", "items", f"{w} k").unionByName(right.selectExpr("doc_id", "n_words", "spans", "items", f"{w} k"))
-    joined = both.groupBy("doc_id", "n_words", "k").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    step = """aggregate(s, cast(array() as array<struct<first:int,words:int>>), (acc, x) ->
-      case when size(acc) > 0 and x.first <= element_at(acc, -1).first + element_at(acc, -1).words
-      then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'words',
-        cast(greatest(element_at(acc, -1).words, x.first + x.words - element_at(acc, -1).first) as int))))
-      else concat(acc, array(x)) end)"""
-    return joined.selectExpr("doc_id", "n_words", f"{step} spans", "items")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks_ = list(_item_blocks(benchmark, block_bytes))
+    for k, block in enumerate(blocks_):
+        last = k == len(blocks_) - 1
+        rows = rows.mapInArrow(_mapper(Phrases(block, width), shard_bytes, k == 0, last), SCHEMA if last else CARRIED)
+    return rows
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ d as (select doc_id, n, unnest(range(1, len(w) - n + 2)) k, w from w cross join
 g as (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') g from d),
 hit as (select distinct g.doc_id, g.k, g.n, i.item_id from g join i on g.g = i.g and g.n = i.n),
 cover as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k, k + n)) p from hit) group by 1),
-items as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from hit) group by 1)
+items as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, coalesce(item_id::varchar, 'null') item_id from hit) group by 1)
 select w.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from w left join cover using (doc_id) left join items using (doc_id)
