@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workmap.llm.common import table
+from workmap.llm.common import table, written
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 #: Mining: share of labelled pages with a combination and a bad label, share of bad ones among those with the combination,
-#: how much more often bad than all pages, most tokens of a rule, most labelled pages, most rules sent to executors at once.
-SUPPORT, CONFIDENCE, LIFT, MOST_TOKENS, SAMPLE_ROWS, MOST_RULES = 0.002, 0.3, 1.5, 3, 50_000, 20_000
+#: how much more often bad than all pages, most tokens of a rule, most labelled pages, most tokens of a page that it is fitted on.
+SUPPORT, CONFIDENCE, LIFT, MOST_TOKENS, SAMPLE_ROWS, FIT_TOKENS = 0.002, 0.3, 1.5, 3, 50_000, 16
 _BAD = "\u0000bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,46 +63,41 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(domains, words, folders, kind))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most_tokens: int = MOST_TOKENS, most_rows: int = SAMPLE_ROWS) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most_tokens: int = MOST_TOKENS, most_rows: int = SAMPLE_ROWS, fit_tokens: int = FIT_TOKENS) -> DataFrame:
     """(rule_id, tokens, confidence, support) of combinations that go with bad pages, from labelled(id, tokens, bad).
 
-    Fitted on at most `most_rows` rows, taken by a hash of the id. Tokens in nine tenths of the rows or more say little and are left
-    out before mining, which bounds combinations. A rule stays only if no part of it is as sure.
+    Fitted on at most `most_rows` rows, taken by a hash of the id, and on the first `fit_tokens` tokens of each, which bounds the
+    combinations of a long path that many pages have. Tokens in nine tenths of the rows or more say little and are left out
+    before mining. Every rule of enough support, confidence and lift stays but those of which a part is as sure. A rule's id
+    is a hash of its tokens.
     """
     spark = labelled.sparkSession
-    sample = labelled.where("size(tokens) > 0 and bad is not null").orderBy(F.xxhash64("id"), "id").limit(most_rows).persist()
-    try:
-        n = sample.count()
-        empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-        if not n:
-            return empty
-        common = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= n * 0.9).select(F.collect_list("t")).first()[0]
-        kept = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
-        items = sample.select(F.concat(kept, F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-        found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-        rules = found.where(F.array_contains("consequent", _BAD) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        rules = rules.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), "tokens").limit(MOST_RULES).collect()  # the bound on what is sent
-    finally:
-        sample.unpersist()
-    best: dict[frozenset, float] = {}
-    rows = []
-    for r in rules:
-        own = frozenset(r.tokens)
-        if any(other <= own and c >= r.confidence for other, c in best.items()) if len(best) < 2_000 else own in best:
-            continue
-        best[own] = r.confidence
-        rows.append((len(rows), list(r.tokens), r.confidence, r.support))
-    return spark.createDataFrame(rows, empty.schema) if rows else empty
+    sample = written(labelled.where("size(tokens) > 0 and bad is not null").orderBy(F.xxhash64("id"), "id").limit(most_rows))
+    n = sample.count()
+    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
+    if not n:
+        return empty
+    common = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= n * 0.9).select(F.collect_list("t")).first()[0]
+    kept = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
+    items = sample.select(F.concat(F.slice(kept, 1, fit_tokens), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
+    rules = written(found.where(F.array_contains("consequent", _BAD) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    # every smaller combination of a rule's tokens, and whether it is a rule that is as sure
+    bits = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2)
+    part = F.expr("filter(tokens, (x, i) -> shiftright(bits, i) & 1 = 1)")
+    smaller = rules.where(F.size("tokens") > 1).withColumn("bits", F.explode(bits)).select("tokens", "confidence", part.alias("part"))
+    surer = smaller.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("tokens").distinct()
+    return written(rules.join(surer, "tokens", "left_anti").select(F.xxhash64(F.array_join("tokens", "\n")).alias("rule_id"), "tokens", "confidence", "support"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, rule_id, confidence) of the surest rule that each row of urls(key, tokens) matches, by the inverted index of rules.
 
-    The index is small (MOST_RULES rules of MOST_TOKENS tokens) and broadcast; only URLs with one of its tokens go on, as one
-    row per URL and rule, counted where they are.
+    The index goes to where the URLs are if Spark finds it small enough to broadcast, else both meet by token. Only URLs with one
+    of its tokens go on, as one row for each URL and rule.
     """
     index = rules.select("rule_id", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    hits = urls.select("key", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    hits = urls.select("key", F.explode("tokens").alias("token")).join(index, "token")
     full = hits.groupBy("key", "rule_id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).where("n = need")
     best = F.max_by(F.struct("rule_id", "confidence"), F.struct("confidence", -F.col("rule_id")))
     return full.groupBy("key").agg(best.alias("m")).select("key", "m.rule_id", "m.confidence")
