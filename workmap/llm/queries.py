@@ -14,7 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.query,
         "op2_ngram_jaccard": ngram_jaccard.query,
         "op3_lm_score": lm_score.query,
-        "op3_lm_score_trigrams": lm_score.query_trigrams,
+        "op3_lm_score_bigrams": lm_score.query_bigrams,
         "op4_url_rules": url_rules.query,
         "op5_lattice_dedup": lattice_dedup.query,
         "op6_token_count": token_count.query,
@@ -30,7 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op2_ngram_jaccard": ngram_jaccard.ORACLE,
         "op3_lm_score": lm_score.ORACLE,
-        "op3_lm_score_trigrams": lm_score.ORACLE_TRIGRAMS,
+        "op3_lm_score_bigrams": lm_score.ORACLE_BIGRAMS,
         "op5_lattice_dedup": lattice_dedup.ORACLE,
         "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
