@@ -226,7 +226,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(doc_id, text, toxic) of at most `most` labelled rows outside fold 1, by a hash of the id; a document labelled more than once is toxic if any label says so."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = y.where(fold(F.col("doc_id")) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    # one row for each id, however often documents have it: the sample stays bounded
+    return own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def lexicon_of(sample: DataFrame, most: int = LEXICON_WORDS) -> dict[str, float]:
