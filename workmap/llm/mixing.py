@@ -117,7 +117,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     """
     d = described(docs)
     cells = d.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight"))
-    factors = rake(cells, targets, rounds, flatten).select(*MARGINS, "factor")
+    factors = written(rake(cells, targets, rounds, flatten).select(*MARGINS, "factor"))
     probability = F.least(F.lit(1.0), F.lit(float(share)) * F.col("factor"))
     return d.join(factors, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "factor", probability.alias("probability"), (draw_of(F.col("doc_id")) < probability).alias("kept"))
 
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 def mix_rows(docs: DataFrame, columns: list[str], targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, rounds: int = ROUNDS, flatten: float = FLATTEN) -> DataFrame:
     """The columns of docs with topic, n_tokens, factor, probability and kept."""
     cells = described(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight"))
-    factors = rake(cells, targets, rounds, flatten).select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "factor")
+    factors = written(rake(cells, targets, rounds, flatten).select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "factor"))
     d = docs.select(*columns).withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(F.col("text")), "n_tokens": tokens_of(F.col("text"))})
     probability = F.least(F.lit(1.0), F.lit(float(share)) * F.col("factor"))
     joined = d.join(factors, [f"_{m}" for m in MARGINS])
