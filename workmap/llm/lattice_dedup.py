@@ -1,9 +1,11 @@
 """Embedding near-duplicates by lattice hashing.
 
 Unit vectors are projected at random to eight dimensions in several tables and decoded to points of the E8
-lattice. A vector is at home in its point's cell and probes the cells of the next nearest points; pairs that
-meet in a cell are compared by cosine in double precision. A pair that meets more than once counts in one
-place only, so a group's links are counted where they are found and never listed.
+lattice. A vector is at home in its point's cell and probes the cells of the next nearest points. What meets in cells
+are ids with a sketch of 128 signs, never vectors; pairs of which the sketches are near enough fetch their two vectors once
+and are compared by cosine in double precision. Cells with many such pairs, as a large group of near copies makes, are dealt
+out in pairs of blocks instead; there links are counted where they are found, each pair in the first cell that it shares, and
+only a spanning forest of them is given out.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 
 from workmap.llm.common import U, components, mix, parts_for, runs, table, written
 
-#: Tables, cells probed besides the home cell, width of the projection in units of the lattice, rows of a dense block.
-TABLES, PROBES, WIDTH, BLOCK = 16, 3, 1.3, 1024
+#: Tables, cells probed besides the home cell, width of the projection in units of the lattice.
+TABLES, PROBES, WIDTH = 10, 3, 1.3
+#: Signs in which sketches of a pair may differ: 18 of 128 do at cosine 0.9 and over 38 in one pair of two million; of unrelated vectors 64 do.
+APART = 38
+#: Rows of a cell that are compared in its task, pairs a row above which a cell counts as dense, rows of a block of a dense cell.
+CELL_ROWS, DENSE, BLOCK = 1 << 15, 16, 1024
 
 
 def roots() -> np.ndarray:
@@ -86,154 +92,201 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _spread(cells: Cells, dims: int):
+    """(cell, slot, id, s0, s1): slot says in which table a vector has the cell, and whether as its home (the first of the table's slots)."""
+    each = 1 + cells.probes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(2), dims)
-            n = np.arange(batch.num_rows)
+            x = _matrix(batch.column(3), dims)
             for t in range(cells.tables):
                 home, probed = cells.keys(x, t)
-                at = np.concatenate([n, np.repeat(n, cells.probes)])
-                key = np.concatenate([home, probed.ravel()]).view(np.int64)
-                is_home = np.arange(len(at)) < len(n)
-                at_ = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.full(len(at), t, np.int32)), pa.array(is_home), batch.column(0).take(at_), batch.column(1).take(at_), batch.column(2).take(at_)],
-                    names=["cell", "t", "is_home", "id", "copies", "unit"],
-                )
+                key = np.concatenate([home[:, None], probed], 1).ravel().view(np.int64)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), each))
+                slot = np.tile(np.arange(t * each, (t + 1) * each, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(slot), *(batch.column(k).take(at) for k in (0, 1, 2))], names=["cell", "slot", "id", "s0", "s1"])
 
     return run
 
 
-def _meeting(cells: Cells, x: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, key: np.ndarray) -> np.ndarray:
-    """Whether cell `key` of table t is the first place where vectors a and b (rows of x) meet: lowest table, then lowest key."""
-    first = np.ones(len(a), bool)
-    used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = back[: len(a)], back[len(a) :]
-    for s in range(t + 1):
-        home, probed = cells.keys(x[used], s)
-        at_a = (home[ia] == home[ib]) | (probed[ib] == home[ia][:, None]).any(1)  # they meet in a's home cell
-        at_b = (home[ia] == home[ib]) | (probed[ia] == home[ib][:, None]).any(1)
-        if s < t:
-            first &= ~(at_a | at_b)
-        else:
-            lowest = np.minimum(np.where(at_a, home[ia], ~U(0)), np.where(at_b, home[ib], ~U(0)))
-            first &= key == lowest
-    return first
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many signs each sketch of a (two numbers each) differs from each of b."""
+    return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+
 
+def _sweep(each: int, apart: int, cell_rows: int, dense: int, chunk: int = 512):
+    """Cells one after another, in partitions sorted by cell: pairs (a, b) whose sketches are near, or the rows (a, cell, slot) of a dense cell.
 
-def _compare(cells: Cells, dims: int, least: float, block: int):
-    """Counts links cell by cell in partitions that are sorted by cell: (id, links, other, a linked id of a spanning forest)."""
+    A cell of more rows than cell_rows is dense; its rows go on as they come, so no task holds more.
+    """
 
-    def group(ids, copies, home, x, t, key):
+    def near(home: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         order = np.argsort(~home, kind="stable")
-        ids, copies, x, n_home = ids[order], copies[order], x[order], int(home.sum())
-        parent = np.arange(len(ids))
-
-        def top(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        links = np.zeros(len(ids), np.int64)
-        forest: list[tuple[int, int]] = []
-        for i in range(0, n_home, block):
-            for j in range(i, len(ids), block):
-                near = np.argwhere(x[i : min(i + block, n_home)] @ x[j : j + block].T >= least)
-                a, b = near[:, 0] + i, near[:, 1] + j
-                keep = (a < b) & (ids[a] != ids[b])
-                a, b = a[keep], b[keep]
-                if not len(a):
-                    continue
-                keep = _meeting(cells, x, a, b, t, np.full(len(a), key, U))
-                a, b = a[keep], b[keep]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = top(p), top(q)
-                    if p != q:
-                        parent[p] = q
-                        forest.append((p, q))
-        some = np.flatnonzero(links)
-        return ids[some], links[some], [(ids[p], ids[q]) for p, q in forest]
+        n_home, ids, sketch = int(home.sum()), ids[order], sketch[order]
+        found_a, found_b, many = [], [], 0
+        for i in range(0, n_home, chunk):
+            for j in range(i, len(ids), 8 * chunk):
+                p, q = np.nonzero(_apart(sketch[i : min(i + chunk, n_home)], sketch[j : j + 8 * chunk]) <= apart)
+                p, q = p + i, q + j
+                keep = (p < q) & (ids[p] != ids[q])
+                found_a.append(ids[p[keep]])
+                found_b.append(ids[q[keep]])
+                many += len(found_a[-1])
+            if many > dense * len(ids):
+                return None
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def rows(a, b, cell, slot) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cell, pa.int64()), pa.array(slot, pa.int32())], names=["a", "b", "cell", "slot"])
+
+    def dense_rows(t: pa.Table) -> pa.RecordBatch:
+        return rows(t.column("id").combine_chunks(), [None] * t.num_rows, t.column("cell").combine_chunks(), t.column("slot").combine_chunks())
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, slot, ids = (np.asarray(t.column(c)) for c in ("cell", "slot", "id"))
+        sketch = np.stack([np.asarray(t.column(c)).view(U) for c in ("s0", "s1")], 1)
+        at = runs(cell)
+        homes = np.add.reduceat((slot % each == 0).astype(np.int64), at[:-1])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero((np.diff(at) > 1) & (homes > 0)).tolist():
+            s = slice(at[k], at[k + 1])
+            pairs = near(slot[s] % each == 0, ids[s], sketch[s])
+            if pairs is None:
+                yield dense_rows(t.slice(at[k], at[k + 1] - at[k]))
+            else:
+                out_a.append(pairs[0])
+                out_b.append(pairs[1])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        yield rows(a, b, [None] * len(a), [None] * len(a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(t: pa.Table):
-            cell = np.asarray(t.column("cell"))
-            at = runs(cell)
-            size = np.diff(at)
-            table_, home, ids, copies = (np.asarray(t.column(c)) for c in ("t", "is_home", "id", "copies"))
-            homes = np.add.reduceat(home.astype(np.int64), at[:-1])
-            out: list[list] = [[], [], []]
-            wanted = np.flatnonzero((size > 1) & (homes > 0))
-            if len(wanted):
-                x = _matrix(t.column("unit").combine_chunks() if t.column("unit").num_chunks != 1 else t.column("unit").chunk(0), dims)
-            small = wanted[size[wanted] <= 64]
-            for a, b, forest in _small(cells, least, small, at, size, table_, home, ids, copies, cell, x) if len(small) else ():
-                out[0] += a.tolist()
-                out[1] += b.tolist()
-                out[2] += forest
-            for g in wanted[size[wanted] > 64].tolist():
-                s = slice(at[g], at[g + 1])
-                a, b, forest = group(ids[s], copies[s], home[s], x[s], int(table_[at[g]]), cell[at[g] : at[g] + 1].view(U)[0])
-                out[0] += a.tolist()
-                out[1] += b.tolist()
-                out[2] += forest
-            n, m = len(out[0]), len(out[2])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0] + [p for p, _ in out[2]], pa.int64()), pa.array(out[1] + [0] * m, pa.int64()), pa.array([None] * n + [q for _, q in out[2]], pa.int64())],
-                names=["id", "links", "other"],
-            )
-
+        n_held, open_cell = 0, None  # the cell whose rows go on as they come
         for batch in batches:
+            cell = np.asarray(batch.column(0))
+            if open_cell is not None and len(cell):
+                go = int(np.searchsorted(cell != open_cell, True))
+                if go:
+                    yield dense_rows(pa.Table.from_batches([batch.slice(0, go)]))
+                if go < len(cell):
+                    open_cell = None
+                batch = batch.slice(go)
             if not batch.num_rows:
                 continue
             held.append(batch)
+            n_held += batch.num_rows
+            if n_held < cell_rows:
+                continue
             t = pa.Table.from_batches(held)
-            cell = np.asarray(t.column("cell"))
-            at = runs(cell)
-            if t.num_rows >= 20_000 and len(at) > 2:  # all groups but the last are whole
-                yield flush(t.slice(0, at[-2]))
-                held = t.slice(at[-2]).combine_chunks().to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            at = runs(np.asarray(t.column("cell")))
+            if len(at) > 2:  # all cells but the last are whole
+                yield from whole(t.slice(0, at[-2]))
+            last = t.slice(at[-2])
+            if last.num_rows >= cell_rows:
+                yield dense_rows(last)
+                open_cell, held, n_held = int(last.column("cell")[0].as_py()), [], 0
+            else:
+                held, n_held = last.combine_chunks().to_batches(), last.num_rows
+        if n_held:
+            yield from whole(pa.Table.from_batches(held))
+
+    return run
+
+
+def _verify(dims: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _matrix(batch.column(2), dims), _matrix(batch.column(3), dims)
+            near = np.flatnonzero(np.einsum("ij,ij->i", x, y) >= least) if batch.num_rows else []
+            yield batch.select([0, 1]).take(pa.array(near, pa.int64()))
 
     return run
 
 
-def _small(cells, least, groups, at, size, table_, home, ids, copies, cell, x):
-    """Links of many small cells at once, one table after another."""
-    for t in np.unique(table_[at[groups]]).tolist():
-        own = groups[table_[at[groups]] == t]
-        for lo in range(0, len(own), 2000):
-            g = own[lo : lo + 2000]
-            n = size[g]
-            # all pairs (i, j) of places of each cell
-            pairs = n * n
-            which = np.repeat(np.arange(len(g)), pairs)
-            k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-            i, j = k // n[which], k % n[which]
-            a, b = at[g][which] + i, at[g][which] + j
-            keep = (i < j) & (home[a] | home[b]) & (ids[a] != ids[b])
+def _compare(cells: Cells, dims: int, least: float):
+    """Links of a pair of blocks of a dense cell, counted where they are found: rows (id, links, other), of which `other` belongs to a spanning forest.
+
+    A pair counts in the first dense cell that it shares with either at home: lowest table, then lowest key.
+    """
+    each = 1 + cells.probes
+
+    def keys(x: np.ndarray, mask: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a table's slots, and which of them are of dense cells."""
+        home, probed = cells.keys(x, t)
+        own = np.concatenate([home[:, None], probed], 1)
+        return own, (mask[:, None] >> np.arange(t * each, (t + 1) * each)) & 1 == 1
+
+    def first(x: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, cell: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for s in range(t + 1):
+            own, dense = keys(x, mask, s)
+            lowest, met = np.full(len(a), ~U(0)), np.zeros(len(a), bool)
+            for i in range(each):
+                for j in range(each):
+                    if i and j:
+                        continue  # neither is at home
+                    both = dense[a, i] & dense[b, j] & (own[a, i] == own[b, j])
+                    met |= both
+                    lowest = np.where(both, np.minimum(lowest, own[a, i]), lowest)
+            out &= ~met if s < t else lowest == cell
+        return out
+
+    def run(t: pa.Table) -> pa.Table:
+        block, side, slot, ids, copies, mask = (np.asarray(t.column(c)) for c in ("i", "block", "slot", "id", "copies", "mask"))
+        x, cell, same = _matrix(t.column("unit"), dims), np.asarray(t.column("cell")).view(U), np.asarray(t.column("j")) == block
+        order = np.lexsort((side, np.asarray(t.column("j")), block, cell))
+        key = np.stack([cell, block.astype(U), np.asarray(t.column("j")).astype(U)], 1)[order]
+        at = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+        out: list[list] = [[], [], []]
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            if same[own[0]]:
+                left = right = own
+            else:
+                left, right = own[side[own] == block[own]], own[side[own] != block[own]]
+            if not len(left) or not len(right):
+                continue
+            p, q = np.nonzero(x[left] @ x[right].T >= least)
+            a, b = left[p], right[q]
+            keep = ((slot[a] % each == 0) | (slot[b] % each == 0)) & (ids[a] != ids[b]) & (~same[own[0]] | (ids[a] < ids[b]))
             a, b = a[keep], b[keep]
-            near = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + 20_000]], x[b[s : s + 20_000]]) >= least for s in range(0, len(a), 20_000)]) if len(a) else np.zeros(0, bool)
-            a, b = a[near], b[near]
             if not len(a):
                 continue
-            keep = _meeting(cells, x, a, b, t, cell[a].view(U))
-            a, b = a[keep], b[keep]
-            both, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-            links = np.bincount(back, np.concatenate([copies[b], copies[a]]), len(both)).astype(np.int64) if len(both) else np.zeros(0, np.int64)
-            # a forest: each vector with its first partner in the cell keeps the cell's links connected only as far as they are, so all distinct pairs of small cells stay
-            yield ids[both], links, list(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
+            used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+            ia, ib = back[: len(a)], back[len(a) :]
+            keep = first(x[used], mask[used], ia, ib, int(slot[own[0]]) // each, cell[a])
+            ia, ib = ia[keep], ib[keep]
+            links = np.bincount(ia, copies[used][ib], len(used)) + np.bincount(ib, copies[used][ia], len(used))
+            some = np.flatnonzero(links)
+            out[0] += ids[used][some].tolist()
+            out[1] += links[some].astype(np.int64).tolist()
+            out[2] += [None] * len(some)
+            parent = np.arange(len(used))
+
+            def top(k, parent=parent):
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            # one link a row suffices for most of the forest; the rest are looked through in order
+            for u, v in zip(ia.tolist(), ib.tolist(), strict=True):
+                u, v = top(u), top(v)
+                if u != v:
+                    parent[u] = v
+                    out[0].append(int(ids[used][u]))
+                    out[1].append(0)
+                    out[2].append(int(ids[used][v]))
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["id", "links", "other"])
 
+    return run
 
-def _of_length(clean: DataFrame, dims: int, least: float, tables: int, probes: int, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Unit vectors, classes of equal ones, and links found of vectors that all have one length."""
+
+def _of_length(clean: DataFrame, dims: int, least: float, tables: int, probes: int, width: float, apart: int, cell_rows: int, dense: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unit vectors, classes of equal ones, and links found (id, links, other) of vectors that all have one length."""
+    signs = np.random.default_rng(64).standard_normal((dims, 128))
 
     def unit(batches):
         for batch in batches:
@@ -243,21 +296,61 @@ def _of_length(clean: DataFrame, dims: int, least: float, tables: int, probes: i
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "unit"])
 
-    units = clean.mapInArrow(unit, "vec_id long, unit binary")
-    classes = written(units.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    cells = Cells(dims, tables, probes, width)
-    n_parts = parts_for(clean.sparkSession, classes.count() * tables * (1 + probes) * (dims * 8 + 40), 32 << 20)
-    spread = classes.select("id", "copies", "unit").mapInArrow(_spread(cells, dims), "cell long, t int, is_home boolean, id long, copies long, unit binary")
-    found = written(spread.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(_compare(cells, dims, least, BLOCK), "id long, links long, other long"))
-    return units, classes, found
-
+    def sketch(batches):
+        for batch in batches:
+            bits = np.packbits(_matrix(batch.column(2), dims) @ signs > 0, axis=1).view(np.int64).reshape(-1, 2) if batch.num_rows else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, k].copy()) for k in (0, 1)), batch.column(2), batch.column(1), batch.column(3)], names=["id", "s0", "s1", "unit", "copies", "key"])
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
+    spark = clean.sparkSession
+    units = clean.mapInArrow(unit, "vec_id long, unit binary").withColumn("key", F.md5("unit"))
+    grouped = units.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    classes = written(grouped.select("id", "copies", "unit", "key").mapInArrow(sketch, "id long, s0 long, s1 long, unit binary, copies long, key string"))
+    cells = Cells(dims, tables, probes, width)
+    each = 1 + probes
+    n_parts = parts_for(spark, classes.count() * tables * each * 32, 16 << 20)
+    spread = classes.select("id", "s0", "s1", "unit").mapInArrow(_spread(cells, dims), "cell long, slot int, id long, s0 long, s1 long")
+    swept = written(spread.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(_sweep(each, apart, cell_rows, dense), "a long, b long, cell long, slot int"))
+    vectors = classes.select("id", "unit", "copies")
+    # pairs of sketches that are near: each fetches its vectors once
+    pairs = swept.where("cell is null").select("a", "b").distinct()
+    fetched = pairs.join(vectors.select(F.col("id").alias("a"), F.col("unit").alias("u")), "a").join(vectors.select(F.col("id").alias("b"), F.col("unit").alias("v")), "b").select("a", "b", "u", "v")
+    links = written(fetched.mapInArrow(_verify(dims, least), "a long, b long"))
+    # dense cells in pairs of blocks
+    rows = swept.where("cell is not null").select(F.col("a").alias("id"), "cell", "slot")
+    masks = rows.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, slot))").alias("mask"), F.collect_list(F.struct("cell", "slot")).alias("cells"))
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("cell", "slot", "id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(masks.select("id", "mask"), "id").join(vectors, "id")
+    room = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(1 << 20)).cast("int")
+    counted = dealt.withColumn("room", room).groupBy("room").applyInArrow(_compare(cells, dims, least), "id long, links long, other long")
+    # a pair that shares a dense cell is counted there
+    held = masks.select("id", "cells")
+    both = links.join(held.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
+    shared = both.where(F.exists("x", lambda p: F.exists("y", lambda q: (p["cell"] == q["cell"]) & ((p["slot"] % each == 0) | (q["slot"] % each == 0))))).select("a", "b")
+    single = written(links.join(shared, ["a", "b"], "left_anti"))
+    copies = classes.select("id", "copies")
+    ways = single.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(single.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    of_pairs = ways.join(copies.select(F.col("id").alias("other"), "copies"), "other").select("id", F.col("copies").alias("links"), "other")
+    return units.select("vec_id", "key"), classes.select("id", "copies", "key"), counted.unionByName(of_pairs)
+
+
+def near_duplicates(
+    vectors: DataFrame,
+    least: float = 0.9,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    width: float = WIDTH,
+    apart: int = APART,
+    cell_rows: int = CELL_ROWS,
+    dense: int = DENSE,
+    block: int = BLOCK,
+) -> DataFrame:
     """vec_id, n_links, component_id of each row of vectors(vec_id, embedding): links are pairs found with cosine of `least` or more.
 
     Equal vectors are one class and count as linked with each other. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, vectors of one length only with each other. Rows with equal ids are one vector each
-    but one node of a component. A row without an id takes no part. Other columns aren't read.
+    but one node of a component. A row without an id takes no part. Other columns aren't read. cell_rows, dense and block
+    steer costs and never results; tables * (1 + probes) is at most 64.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
@@ -265,12 +358,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES
     lengths = clean.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect()
     if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    each = [_of_length(clean.where(F.size("v") == x.n), x.n, least, tables, probes, width) for x in lengths]
+    each = [_of_length(clean.where(F.size("v") == x.n), x.n, least, tables, probes, width, apart, cell_rows, dense, block) for x in lengths]
     units, classes, found = (reduce(DataFrame.unionByName, x) for x in zip(*each, strict=True))
-    links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
+    found = written(found)
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.where("other is not null").selectExpr("id a", "other b"))
-    of_class = classes.join(links, "id", "left").join(comps, "id", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of_row = units.join(of_class, "unit").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    of_class = classes.join(links, "id", "left").join(comps, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    of_row = units.join(of_class, "key").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return rows.select("vec_id").join(of_row, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
