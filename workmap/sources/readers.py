@@ -61,11 +61,11 @@ def utc_ms(text: Column) -> Column:
 def commits_of_listing(listing: DataFrame, value: str = "value") -> DataFrame:
     """(oid, parents, at, path, renamed_from) of a log listing: records between NULs, `oid parents|seconds` and then lines of `status<TAB>path[<TAB>new path]`."""
     rec = listing.select(F.explode(F.split(value, "\u0000")).alias("r")).where(F.length(F.trim("r")) > 0)
-    lines = rec.select(F.filter(F.split(F.trim("r"), "\n"), lambda x: x != "").alias("l")).select(F.col("l")[0].alias("head"), F.explode_outer(F.slice("l", 2, 1_000_000)).alias("change"))
+    lines = rec.select(F.filter(F.split(F.trim("r"), "\n"), lambda x: x != "").alias("l")).select(F.col("l")[0].alias("head"), F.explode_outer(F.slice("l", 2, F.size("l"))).alias("change"))
     head, part = F.split("head", r"\|"), F.split("change", "\t")
     ids = F.split(head[0], " ")
     renamed = part[0].startswith("R")
-    return lines.select(ids[0].alias("oid"), F.filter(F.slice(ids, 2, 16), lambda x: x != "").alias("parents"), head[1].cast("long").alias("at"), F.when(renamed, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("path"), F.when(renamed, F.get(part, F.lit(1))).alias("renamed_from"))
+    return lines.select(ids[0].alias("oid"), F.filter(F.slice(ids, 2, F.size(ids)), lambda x: x != "").alias("parents"), head[1].cast("long").alias("at"), F.when(renamed, F.get(part, F.lit(2))).otherwise(F.get(part, F.lit(1))).alias("path"), F.when(renamed, F.get(part, F.lit(1))).alias("renamed_from"))
 
 
 # ---------------------------------------------------------------- files
