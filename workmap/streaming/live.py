@@ -6,8 +6,12 @@ watermark says; state is dropped behind it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How long late rows are waited for; a path is quiet after this; a burst is so many changes in so long.
 LATE, QUIET, BURST_WINDOW, BURST = "30 seconds", "200 milliseconds", "2 seconds", 500
@@ -49,6 +53,71 @@ def positions(events: DataFrame) -> DataFrame:
     return best.select("session", "node", F.col("p.kind").alias("mode"), F.col("p.until").alias("until"))
 
 
+#: Events of a task that its state remembers the nodes of; past them only counts go on.
+REMEMBERED = 4096
+
+
+def tasks(events: DataFrame, quiet_ms: int, late: str = LATE) -> DataFrame:
+    """(session, opened, closed, how, events): a prompt opens a task and closes the one before, a stop closes it, and so does quiet: a session without events for quiet_ms of event time.
+
+    The state of a session is its open task, a row of five numbers; it times out by the watermark, so it never outlives the
+    session. Rows of a batch are taken in the order of time, and a closed task is given out once.
+    """
+    state = "opened long, last long, n long, nodes long"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        session = int(key[0])
+        if held.hasTimedOut:
+            opened, last, n, _ = held.get
+            held.remove()
+            yield pd.DataFrame([(session, opened, None, "quiet", n)], columns=["session", "opened", "closed", "how", "events"])
+            return
+        now = tuple(held.get) if held.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        for seq, ms, kind in zip(rows["seq"], rows["ts"].astype("datetime64[ms]").astype("int64"), rows["kind"], strict=True):
+            if kind in ("prompt", "stop") and now is not None:
+                out.append((session, now[0], int(seq), "next_prompt" if kind == "prompt" else "stop", now[2]))
+                now = None
+            if kind == "prompt":
+                now = (int(seq), int(ms), 1, 0)
+            elif now is not None and kind != "stop":
+                now = (now[0], max(now[1], int(ms)), now[2] + 1, min(now[3] + 1, REMEMBERED))
+        if now is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(now)
+            held.setTimeoutTimestamp(max(now[1] + quiet_ms, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "opened", "closed", "how", "events"]).astype({"session": "int64", "opened": "int64", "closed": "Int64", "events": "int64"})
+
+    e = events.withWatermark("ts", late).select("session", "seq", "ts", "kind")
+    return e.groupBy("session").applyInPandasWithState(run, "session long, opened long, closed long, how string, events long", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expired(events: DataFrame, holds: dict[str, int], late: str = LATE) -> DataFrame:
+    """(session, node, mode, until): positions whose time is over. Of a session's events on a node the one that holds longest counts; its state lives until then and goes."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["session", "node", "mode", "until"]
+        if held.hasTimedOut:
+            until, _, _, mode = held.get
+            held.remove()
+            yield pd.DataFrame([(int(key[0]), int(key[1]), mode, until)], columns=columns)
+            return
+        best = tuple(held.get) if held.exists else None
+        for rows in frames:
+            for seq, ms, kind in zip(rows["seq"], rows["ts"].astype("datetime64[ms]").astype("int64"), rows["kind"], strict=True):
+                new = (int(ms) + holds[kind], int(ms), int(seq), kind)
+                best = new if best is None or new > best else best
+        held.update(best)
+        held.setTimeoutTimestamp(max(best[0], held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=columns).astype({"session": "int64", "node": "int64", "mode": "object", "until": "int64"})
+
+    e = events.where(F.col("kind").isin(*holds) & F.col("node").isNotNull()).withWatermark("ts", late).select("session", "node", "seq", "ts", "kind")
+    return e.groupBy("session", "node").applyInPandasWithState(run, "session long, node long, mode string, until long", "until long, at long, seq long, mode string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def attributed(changes: DataFrame, events: DataFrame, before: str = BEFORE, after: str = AFTER, late: str = LATE) -> DataFrame:
     """Changes with the events of their node in the window around them, both streams bounded by their watermarks; the caller keeps the latest."""
     c = changes.withWatermark("ts", late).select(F.col("seq").alias("change"), F.col("node").alias("changed"), F.col("ts").alias("at"))
@@ -71,4 +140,4 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFr
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
