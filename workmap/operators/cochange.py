@@ -33,10 +33,11 @@ def file_commits(files: DataFrame, anchor, half_life: float = HALF_LIFE) -> Data
 
 
 def pair_commits(files: DataFrame, anchor, half_life: float = HALF_LIFE) -> DataFrame:
-    """Pairs a < b of one commit: self-join on the commit, whose size is bounded, then a partial aggregate."""
-    a, b = files.select("seq", F.col("file").alias("file_a")), files.select("seq", F.col("file").alias("file_b"))
-    pairs = a.join(b, "seq").where("file_a < file_b")
-    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("commits"), F.sum(commit_weight(anchor, F.col("seq"), half_life)).alias("weighted"), F.max("seq").alias("last_seq"))
+    """Pairs a < b of one commit, made inside its list of files, whose length is bounded, then one partial aggregate: no self-join."""
+    lists = files.groupBy("seq").agg(F.array_sort(F.collect_list("file")).alias("f"), *([F.first("anchor").alias("anchor")] if "anchor" in files.columns else []))
+    pair = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = lists.where(F.size("f") > 1).select("seq", commit_weight(anchor, F.col("seq"), half_life).alias("w"), F.explode(pair).alias("p"))
+    return pairs.groupBy(F.col("p.a").alias("file_a"), F.col("p.b").alias("file_b")).agg(F.count("*").alias("commits"), F.sum("w").alias("weighted"), F.max("seq").alias("last_seq"))
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.functions.scalar import INTEREST_DECAY, LANDMARK, LINK_CAP, LINK_DECAY, decayed, tier
@@ -105,57 +107,53 @@ def recent_precision(labels: DataFrame, window: int = 100) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Mann-Whitney with average ranks, from the counts of each distinct score, so that no window holds single rows."""
+    """Mann-Whitney with average ranks: counts of each distinct score, summed over buckets of scores first, so that a window holds no more than the buckets or one bucket's scores."""
     by = scored.groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = by.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    sums = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return sums.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
-
-
-def logistic_fit(samples: DataFrame, inputs: list[str], label: str, penalty: float = 1.0, steps: int = 25, halvings: int = 20, settled: float = 1e-9) -> list[float]:
-    """Intercept and weights that least the summed loss plus penalty/2 of the squared weights: Newton steps whose sums are aggregates; only they reach the driver."""
+    # equal scores share a bucket; buckets are ranges, so what is below a score is in buckets below or in its own
+    ends = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = F.greatest((F.col("hi") - F.col("lo")).cast("double") / 1024, F.lit(1e-300))
+    placed = by.crossJoin(F.broadcast(ends)).withColumn("b", F.least(F.floor((F.col("score") - F.col("lo")).cast("double") / width), F.lit(1023)))
+    sums = placed.groupBy("b").agg(F.sum("neg").alias("n_b"))
+    below_b = sums.withColumn("below_b", F.coalesce(F.sum("n_b").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_b")
+    inside = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = placed.withColumn("own", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(below_b), "b").withColumn("below", F.col("own") + F.col("below_b"))
+    total = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return total.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
+
+
+def logistic_fit(samples: DataFrame, inputs: list[str], label: str, penalty: float = 1.0, steps: int = 40, settled: float = 1e-8) -> list[float]:
+    """Intercept and weights of the least summed loss plus penalty/2 of the squared weights (the intercept is free).
+
+    Each step is one aggregate over the samples: loss, gradient and curvature at the weights it was asked for. Steps are damped:
+    where the loss grew, the curvature is raised and the step is made again from the last good weights. It ends when the
+    gradient is as good as flat.
+    """
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in inputs)]
-    y = F.col(label).cast("double")
-    n = len(x)
-    w = np.zeros(n)
-    ridge = np.r_[0.0, np.full(n - 1, penalty)]
-
-    def log_odds(at):
-        z = F.lit(0.0)
-        for value, column in zip(at, x, strict=True):
-            z = z + F.lit(float(value)) * column
-        return z
-
-    def loss(at) -> float:
-        z = log_odds(at)
-        soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-        return (samples.agg(F.sum(soft - y * z)).first()[0] or 0.0) + float(ridge @ (at * at)) / 2
-
-    now = loss(w)
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-log_odds(w)))
-        grad = [F.sum((p - y) * c) for c in x]
-        curve = [F.sum(p * (1 - p) * x[i] * x[j]) for i in range(n) for j in range(i + 1)]
-        row = [v or 0.0 for v in samples.agg(*grad, *curve).first()]
+    y, n = F.col(label).cast("double"), len(inputs) + 1
+    ridge = np.array([0.0] + [penalty] * (n - 1))
+    at = [(i, j) for i in range(n) for j in range(i + 1)]
+
+    def asked(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = reduce(Column.__add__, [F.lit(float(v)) * c for v, c in zip(w, x, strict=True)])
+        p = 1 / (1 + F.exp(-z))
+        loss = F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)
+        row = [v or 0.0 for v in samples.agg(loss, *[F.sum((p - y) * c) for c in x], *[F.sum(p * (1 - p) * x[i] * x[j]) for i, j in at]).first()]
         h = np.zeros((n, n))
-        k = n
-        for i in range(n):
-            for j in range(i + 1):
-                h[i, j] = h[j, i] = row[k]
-                k += 1
-        move = np.linalg.solve(h + np.diag(ridge) + 1e-12 * np.eye(n), np.array(row[:n]) + ridge * w)
-        scale = 1.0
-        for _ in range(halvings):
-            then = loss(w - scale * move)
-            if then <= now:
-                break
-            scale /= 2
-        else:
-            break
-        w, now = w - scale * move, then
-        if np.abs(scale * move).max() < settled:
+        for (i, j), v in zip(at, row[1 + n :], strict=True):
+            h[i, j] = h[j, i] = v
+        return row[0] + float(ridge @ (w * w)) / 2, np.array(row[1 : 1 + n]) + ridge * w, h + np.diag(ridge)
+
+    w, damping = np.zeros(n), 1e-9
+    loss, gradient, curvature = asked(w)
+    for _ in range(steps):
+        if np.linalg.norm(gradient) <= settled * (1 + abs(loss)):
             break
+        tried = w - np.linalg.solve(curvature + damping * np.eye(n), gradient)
+        new = asked(tried)
+        if new[0] <= loss:
+            w, damping, (loss, gradient, curvature) = tried, max(damping / 10, 1e-12), new
+        else:
+            damping = max(damping * 100, 1e-3)
     return [float(v) for v in w]
 
 

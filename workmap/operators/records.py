@@ -67,8 +67,11 @@ def matched(old: DataFrame, new: DataFrame, keys: list[str], order: str, ident:
 def fork_dedup(usage: DataFrame, sessions: DataFrame) -> DataFrame:
     """A response counts in the earliest session that has it (of equal starts the smaller id); rows without a response all count, as do repeats inside one session."""
     u = usage.join(sessions, "session")
-    first = u.where("response is not null").groupBy("response").agg(F.min(F.struct("started_at", "session")).alias("f"))
-    return u.join(first, "response", "left").where("response is null or struct(started_at, session) = f").drop("f")
+    named = u.where("response is not null")
+    first = named.groupBy("response").agg(F.min(F.struct("started_at", "session")).alias("f"))
+    # rows without a response are apart, so that they don't meet in one task
+    kept = named.join(first, "response").where("struct(started_at, session) = f").select(*u.columns)
+    return kept.unionByName(u.where("response is null"))
 
 
 def picodollars(rows: DataFrame, prices: DataFrame) -> DataFrame:
@@ -108,6 +111,7 @@ def cache_breaks(usage: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- coordination
+#: How long positions hold, what counts as live, and how near two edits of a file are.
 MINUTE = 60_000
 READ_MS, EDIT_MS, AFTER_TASK_MS, CLAIM_MS, LIVE_MS, SAME_FILE_MS = 10 * MINUTE, 30 * MINUTE, 5 * MINUTE, 120 * MINUTE, 15 * MINUTE, 10 * MINUTE
 

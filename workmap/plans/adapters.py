@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import epoch_ms
 from workmap.operators import activity, cochange
-from workmap.plans.registry import QUERIES, SQL
+from workmap.operators.scratch import checkpointed
 
-#: Files of a commit: the most in the queries' SQL, and the reference's default, which the whole_ queries have.
-MAX_FILES, DEFAULT_FILES = 6, 30
+#: Most files of a commit that says something about pairs.
+MAX_FILES = 30
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,17 +19,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"))
-    return cochange.numbered(o, F.trunc(F.col("at").cast("date"), "month"), ["at", "commit"]).select("commit", "seq")
+    return cochange.numbered(o, F.col("at").cast("date"), ["at", "commit"]).select("commit", "seq")
 
 
 def commit_files(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
+    """(seq, file, anchor): what each commit touches, made once; anchor is the newest commit's number, one row joined to all."""
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
-    return cochange.commit_files(changes, commits(spark, d), max_files)
+    files = checkpointed(cochange.commit_files(changes, commits(spark, d), max_files))
+    newest = files.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("anchor"))
+    return files.crossJoin(F.broadcast(newest))
 
 
 def anchor(files: DataFrame):
-    """The newest commit's number: one value."""
-    return F.lit(files.agg(F.max("seq")).first()[0] or 0)
+    """The newest commit's number, as commit_files gives it with each row."""
+    return F.col("anchor")
 
 
 COMMITS = f"""
@@ -42,17 +45,6 @@ pc as (select x.f fa, y.f fb, count(*) n, sum(pow(0.5, (a - x.seq) / 500.0)) w,
 """
 
 
-def whole_sql(sql: str) -> str:
-    return sql.replace(f"having count(*) <= {MAX_FILES})", f"having count(*) <= {DEFAULT_FILES})")
-
-
-def whole(f):
-    """Registers a query once more, as whole_ and its name, with commits of up to the reference's default of files, in its SQL as well."""
-    QUERIES[f"whole_{f.__name__}"] = lambda spark, d: f(spark, d, DEFAULT_FILES)
-    SQL[f"whole_{f.__name__}"] = whole_sql(SQL[f.__name__])
-    return f
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     """(seq, session, ts, kind, node, value)"""
     kind = F.when(F.col("event_type").isin("view", "click"), "read").when(F.col("event_type") == "purchase", "edit").when(F.col("event_type") == "error", "check").otherwise("prompt")

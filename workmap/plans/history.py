@@ -6,45 +6,40 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import prefixes, scale_mode
 from workmap.operators import cochange
-from workmap.plans.adapters import COMMITS, MAX_FILES, PARTNERS, anchor, commit_files, table, whole
+from workmap.plans.adapters import COMMITS, PARTNERS, anchor, commit_files, table
 from workmap.plans.registry import query
 
 
-@whole
 @query(f"with {COMMITS} select f file, n commits, round(w, 6) weighted from fc")
-def cochange_file_commits(spark, d, max_files=MAX_FILES):
-    f = commit_files(spark, d, max_files)
+def cochange_file_commits(spark, d):
+    f = commit_files(spark, d)
     return cochange.file_commits(f, anchor(f)).withColumn("weighted", F.round("weighted", 6))
 
 
-@whole
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
-def cochange_pairs(spark, d, max_files=MAX_FILES):
-    f = commit_files(spark, d, max_files)
+def cochange_pairs(spark, d):
+    f = commit_files(spark, d)
     return cochange.pair_commits(f, anchor(f)).withColumn("weighted", F.round("weighted", 6))
 
 
-@whole
 @query(f"with {PARTNERS} select src, dst, round(conf, 6) confidence, n commits, place::int place from pk")
-def cochange_edges(spark, d, max_files=MAX_FILES):
-    f = commit_files(spark, d, max_files)
+def cochange_edges(spark, d):
+    f = commit_files(spark, d)
     a = anchor(f)
     return cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f, a)).withColumn("confidence", F.round("confidence", 6))
 
 
-@whole
 @query(f"with {COMMITS}, w as (select p_partkey f from part where p_size = 7) select fa file_a, fb file_b, n commits from pc where fa in (select f from w) union select fa, fb, n from pc where fb in (select f from w)")
-def cochange_partners_of(spark, d, max_files=MAX_FILES):
-    f = commit_files(spark, d, max_files)
+def cochange_partners_of(spark, d):
+    f = commit_files(spark, d)
     wanted = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("file"))
     return cochange.partners_of(cochange.pair_commits(f, anchor(f)).select("file_a", "file_b", "commits"), wanted)
 
 
-@whole
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
-def cochange_merge(spark, d, max_files=MAX_FILES):
+def cochange_merge(spark, d):
     """Two minings, of even and of odd commits, add up to the whole."""
-    f = commit_files(spark, d, max_files)
+    f = commit_files(spark, d)
     a = anchor(f)
     halves = [cochange.pair_commits(f.where(F.col("seq") % 2 == k), a) for k in (0, 1)]
     return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"]).withColumn("weighted", F.round("weighted", 6))
@@ -86,15 +81,15 @@ def path_prefix_range(spark, d):
     return table(spark, d, "pages").where((F.col("url") > "https://www.") & (F.col("url") < "https://www/")).select("page_id", "url")
 
 
-@query("select p_partkey file, p_type path from part where lower(p_type) = 'steel' or ends_with(lower(p_type), ' steel')")
+@query("select p_partkey file, p_name path from part where lower(p_name) = 'ring' or ends_with(lower(p_name), ' ring')")
 def files_named(spark, d):
-    t = F.lower("p_type")
-    return table(spark, d, "part").where((t == "steel") | t.endswith(" steel")).select(F.col("p_partkey").alias("file"), F.col("p_type").alias("path"))
+    t = F.lower("p_name")
+    return table(spark, d, "part").where((t == "ring") | t.endswith(" ring")).select(F.col("p_partkey").alias("file"), F.col("p_name").alias("path"))
 
 
-@query("select p_name name, p_partkey symbol, case when lower(p_name) = 'part 1' then 0 when starts_with(lower(p_name), 'part 1') then 1 else 2 end rank from part where contains(lower(p_name), '1') order by rank, p_type, p_size, p_name, p_partkey limit 40")
+@query("select p_name name, p_partkey symbol, case when lower(p_name) = 'red ring' then 0 when starts_with(lower(p_name), 'red r') then 1 else 2 end rank from part where contains(lower(p_name), 'd r') order by rank, p_type, p_size, p_name, p_partkey limit 40")
 def symbols_containing(spark, d):
     """Names that contain a text: equal, beginning with it, then the rest."""
     n = F.lower("p_name")
-    rank = F.when(n == "part 1", 0).when(n.startswith("part 1"), 1).otherwise(2)
-    return table(spark, d, "part").where(F.instr(n, "1") > 0).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol"), rank.alias("rank"), "p_type", "p_size").orderBy("rank", "p_type", "p_size", "name", "symbol").limit(40).select("name", "symbol", "rank")
+    rank = F.when(n == "red ring", 0).when(n.startswith("red r"), 1).otherwise(2)
+    return table(spark, d, "part").where(F.instr(n, "d r") > 0).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol"), rank.alias("rank"), "p_type", "p_size").orderBy("rank", "p_type", "p_size", "name", "symbol").limit(40).select("name", "symbol", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workmap.operators import graph, learn, records
-from workmap.plans.adapters import DEFAULT_FILES, EDGES, MAX_FILES, edges, table, whole, whole_sql
+from workmap.plans.adapters import EDGES, edges, table
 from workmap.plans.registry import query
 
 WEIGHED = EDGES + """,
@@ -15,27 +15,25 @@ g as (select src, dst, sum(w) w from wg group by 1, 2)
 """
 
 
-def _weighed(spark, d, max_files=MAX_FILES):
-    return graph.weighed(edges(spark, d, max_files), F.lit(0))
+def _weighed(spark, d):
+    return graph.weighed(edges(spark, d), F.lit(0))
 
 
-@whole
 @query(f"with {WEIGHED} select src, dst, type, round(w, 6) w, round(peak, 6) peak from wg")
-def graph_weighed(spark, d, max_files=MAX_FILES):
-    return _weighed(spark, d, max_files).withColumns({"w": F.round("w", 6), "peak": F.round("peak", 6)})
+def graph_weighed(spark, d):
+    return _weighed(spark, d).withColumns({"w": F.round("w", 6), "peak": F.round("peak", 6)})
 
 
-@whole
 @query(f"with {WEIGHED}, f as (select x.src % 97 src, x.dst % 97 dst, w from wg x) select src, dst, round(sum(w), 4) w from f where src <> dst group by 1, 2")
-def graph_by_files(spark, d, max_files=MAX_FILES):
+def graph_by_files(spark, d):
     """Nodes lifted to 97 files."""
-    w = _weighed(spark, d, max_files)
+    w = _weighed(spark, d)
     of = w.select(F.col("src").alias("node")).unionByName(w.select(F.col("dst").alias("node"))).distinct().withColumn("file", F.col("node") % 97)
     return graph.by_files(w, of).withColumn("w", F.round("w", 4))
 
 
-#: Rounds in the query's SQL; and those after which at most 0.5**21 of the mass is left, where the reference asks for 1e-3.
-_ROUNDS, _WHOLE_ROUNDS = 6, 20
+#: Rounds after which at most 0.5**11 of the mass is left, where 1e-3 is asked for.
+_ROUNDS = 10
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -44,83 +42,71 @@ def _ppr_sql(rounds: int) -> str:
     return f"with {WEIGHED}{seeds}{mass} select node, round(sum(mass * 0.5), 6) score from ({' union all '.join(f'select * from m{k}' for k in range(rounds + 1))}) group by 1"
 
 
-def _ppr(spark, d, max_files, rounds):
-    g = _weighed(spark, d, max_files).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+def _ppr(spark, d):
+    g = _weighed(spark, d).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("weight"))
-    return graph.spread(g, seeds, rounds=rounds).withColumn("score", F.round("score", 6))
+    return graph.spread(g, seeds, rounds=_ROUNDS).withColumn("score", F.round("score", 6))
 
 
 @query(_ppr_sql(_ROUNDS))
 def ppr_scores(spark, d):
-    return _ppr(spark, d, MAX_FILES, _ROUNDS)
-
-
-@query(whole_sql(_ppr_sql(_WHOLE_ROUNDS)))
-def whole_ppr_scores(spark, d):
-    return _ppr(spark, d, DEFAULT_FILES, _WHOLE_ROUNDS)
+    return _ppr(spark, d)
 
 
 LINKS = EDGES + ", ln_ as (select least(src, dst) a, greatest(src, dst) b, max(w) weight from ed where type = 'cochange' group by 1, 2)"
 
 
-def _links(spark, d, max_files=MAX_FILES):
-    e = edges(spark, d, max_files).where("type = 'cochange'")
+def _links(spark, d):
+    e = edges(spark, d).where("type = 'cochange'")
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("w").alias("weight"))
 
 
-@whole
-@query(f"with {LINKS}, en as (select a, b, weight, unnest([a, b]) e from ln_) select distinct a, b, round(weight, 6) weight from (select *, row_number() over (partition by e order by weight desc, a, b) k from en) where k <= 2")
-def map_links_top(spark, d, max_files=MAX_FILES):
-    """Links among the two strongest of either end."""
-    return graph.strongest(_links(spark, d, max_files), 2).withColumn("weight", F.round("weight", 6))
+@query(f"with {LINKS}, en as (select a, b, weight, unnest([a, b]) e from ln_) select distinct a, b, round(weight, 6) weight from (select *, row_number() over (partition by e order by weight desc, a, b) k from en) where k <= 8")
+def map_links_top8(spark, d):
+    """Links among the eight strongest of either end."""
+    return graph.strongest(_links(spark, d), 8).withColumn("weight", F.round("weight", 6))
 
 
-@whole
 @query(f"with {LINKS} select a, b, round(weight, 6) weight from ln_ order by round(weight, 9) desc, a, b limit 1")
-def summary_strongest_pair(spark, d, max_files=MAX_FILES):
-    return _links(spark, d, max_files).orderBy(F.desc(F.round("weight", 9)), "a", "b").limit(1).withColumn("weight", F.round("weight", 6))
+def summary_strongest_pair(spark, d):
+    return _links(spark, d).orderBy(F.desc(F.round("weight", 9)), "a", "b").limit(1).withColumn("weight", F.round("weight", 6))
 
 
-@whole
 @query(f"with {WEIGHED}, s as (select p_partkey src from part where p_size = 1 order by p_retailprice desc, src limit 10), n as (select dst node, max(w) w from g where src in (select src from s) group by 1) select node, round(w, 6) w from n where node not in (select p_partkey from part where p_size = 2) order by round(w, 9) desc, node limit 20")
-def exploration_nodes(spark, d, max_files=MAX_FILES):
-    g = _weighed(spark, d, max_files).groupBy("src", "dst").agg(F.round(F.sum("w"), 9).alias("w"))
+def exploration_nodes(spark, d):
+    g = _weighed(spark, d).groupBy("src", "dst").agg(F.round(F.sum("w"), 9).alias("w"))
     seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("weight"))
     known = table(spark, d, "part").where("p_size = 2").select(F.col("p_partkey").alias("node"))
     return graph.exploration(g, seeds, known).withColumn("w", F.round("w", 6))
 
 
-@whole
 @query(f"with {EDGES}, n as (select p_partkey node from part where p_size <= 10) select src, dst, type, round(w, 6) w from ed where src in (select node from n) and dst in (select node from n)")
-def edges_among(spark, d, max_files=MAX_FILES):
+def edges_among(spark, d):
     nodes = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node"))
-    return graph.among(edges(spark, d, max_files), nodes).select("src", "dst", "type", F.round("w", 6).alias("w"))
+    return graph.among(edges(spark, d), nodes).select("src", "dst", "type", F.round("w", 6).alias("w"))
 
 
-@whole
 @query(f"with {EDGES}, t as (select min(src) t from ed where type = 'cochange'), o as (select dst other, type, w from ed, t where src = t union all select src, type, w from ed, t where dst = t) select other, type, round(max(w), 6) w from o, t where other <> t group by 1, 2")
-def links_of_file(spark, d, max_files=MAX_FILES):
-    e = edges(spark, d, max_files)
+def links_of_file(spark, d):
+    e = edges(spark, d)
     first = e.where("type = 'cochange'").agg(F.min("src")).first()[0]
     return graph.both_ways(e, first).withColumn("w", F.round("w", 6))
 
 
-@whole
 @query(f"""with {EDGES}, h as (select p_partkey node from part where p_size = 3), x as (select src held, dst node, type, w from ed union all select dst, src, type, w from ed where type = 'structural')
 select held, type, round(max(w), 6) w, count(*) n from x where held in (select node from h) group by 1, 2""")
-def couplings(spark, d, max_files=MAX_FILES):
+def couplings(spark, d):
     """The strongest link of each held file and type: structural ones both ways, co-change one way."""
-    e = edges(spark, d, max_files)
+    e = edges(spark, d)
     held = table(spark, d, "part").where("p_size = 3").select(F.col("p_partkey").alias("held"))
     x = e.select(F.col("src").alias("held"), F.col("dst").alias("node"), "type", "w").unionByName(e.where("type = 'structural'").select(F.col("dst").alias("held"), F.col("src").alias("node"), "type", "w"))
     return x.join(held, "held", "left_semi").groupBy("held", "type").agg(F.round(F.max("w"), 6).alias("w"), F.count("*").alias("n"))
 
 
-@whole
 @query(f"with {EDGES}, n as (select p_partkey node from part where p_size % 2 = 0) select src, dst, type from ed where type = 'cochange' and src in (select node from n) and dst in (select node from n)")
-def guarded_upsert(spark, d, max_files=MAX_FILES):
+def guarded_upsert(spark, d):
     nodes = table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
-    return records.guarded(edges(spark, d, max_files).where("type = 'cochange'"), nodes).select("src", "dst", "type")
+    return records.guarded(edges(spark, d).where("type = 'cochange'"), nodes).select("src", "dst", "type")
 
 
 @query("""with r as (select doc_id, source, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) k, sum(n_chars) over (partition by source) total from documents),
