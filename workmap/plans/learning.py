@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from workmap.operators import learn
 from workmap.operators import learning as L
 from workmap.plans.adapters import table
 from workmap.plans.registry import query
@@ -243,3 +244,11 @@ def mining_written(r):
     own = r.links.where("type = 1").select("src", "dst", "n", "last_seq")
     m = own.where("last_seq % 2 = 0").select("src", "dst", "n").unionByName(own.select("src", "dst", "n")).groupBy("src", "dst").agg(F.sum("n").alias("n")).where("n >= 2")
     return m.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("place <= 32").withColumn("place", F.col("place").cast("long"))
+
+
+@statement("with w as (select l_partkey src, case when l_linenumber <= 4 then 1 else l_linenumber end dst, count(*)::double / 4 weight from lineitem group by 1, 2), m as (select src, sum(weight) total, max((weight, -dst)) m from w group by 1) select src, -m[2] dst, m[1] weight from m where m[1] >= 2.0 and m[1] > 0.5 * total")
+def next_files(r):
+    """The one way on from a file: of weight 2 or more, and more than half of all that leads on."""
+    lines = table(r.spark, r.d, "lineitem")
+    ways = lines.groupBy(F.col("l_partkey").alias("src"), F.when(F.col("l_linenumber") <= 4, 1).otherwise(F.col("l_linenumber")).alias("dst")).agg((F.count("*") / 4).alias("weight"))
+    return learn.next_file(ways)
