@@ -60,15 +60,16 @@ def test_cochange(spark):
 def test_mass_commits_are_skipped_whole(spark):
     changes = spark.createDataFrame([(c, f) for c, n in ((1, 30), (2, 31), (3, 7)) for f in range(n)] + [(1, 0)], "commit long, file long")
     commits = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "commit long, seq long")
-    got = cochange.commit_files(changes, commits, adapters.DEFAULT_FILES).groupBy("seq").count()
+    got = cochange.commit_files(changes, commits, adapters.MAX_FILES).groupBy("seq").count()
     assert rows(got, "seq", "count") == [(10, 30), (30, 7)]
 
 
-def test_whole_queries_keep_orders_of_many_parts(spark):
+def test_queries_keep_orders_of_many_parts(spark):
     d = "/root/testdata/sf0.001"
     distinct = adapters.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    assert QUERIES["whole_cochange_file_commits"](spark, d).agg(F.sum("commits")).first()[0] == distinct.count()
-    assert "<= 30)" in SQL["whole_cochange_pairs"] and "<= 6)" in SQL["cochange_pairs"]
+    assert adapters.MAX_FILES == 30
+    assert QUERIES["cochange_file_commits"](spark, d).agg(F.sum("commits")).first()[0] == distinct.count()
+    assert "<= 30)" in SQL["cochange_pairs"]
 
 
 def test_numbering_has_no_gaps(spark):
