@@ -114,13 +114,13 @@ def test_rank_by_pushing_mass(spark):
     assert all(got.get(k, 0.0) == pytest.approx(v, abs=1e-12) for k, v in enumerate(score))
 
 
-def test_whole_ranking_leaves_little_mass(spark, monkeypatch):
+def test_ranking_leaves_little_mass(spark, monkeypatch):
     """Of a long path all but a thousandth of the mass is spread, and nodes beyond six steps have rows."""
     path = spark.createDataFrame([(k, k + 1, "cochange", 1.0, 0) for k in range(40)], "src long, dst long, type string, w double, last_seq long")
     seed = spark.createDataFrame([(0, 1)], "p_partkey long, p_size int")
     monkeypatch.setattr(ranking, "edges", lambda *_: path)
     monkeypatch.setattr(ranking, "table", lambda *_: seed)
-    got = {x.node: x.score for x in QUERIES["whole_ppr_scores"](spark, "").collect()}
+    got = {x.node: x.score for x in QUERIES["ppr_scores"](spark, "").collect()}
     assert 7 in got and 1 - sum(got.values()) <= 1e-3
 
 
