@@ -113,7 +113,8 @@ def coaccess_links(spark, d):
     return learn.link_sums(adds, now).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""with {ADDS}, p as (select a, b, task_seq, sum(v) v from ad group by 1, 2, 3), l as (select a, b, list({{'w': least(greatest(v, 0.0), 5.0), 'at_': task_seq, 'v': v}} order by task_seq) s from p group by 1, 2),
+f as (select a, b, len(s) n, list_reduce(s, lambda x, y: {{'w': least(greatest(x.w * pow(0.995::double, (y.at_ - x.at_)::double) + y.v, 0.0), 5.0), 'at_': y.at_, 'v': y.v}}) r from l) select a, b, round(r.w, 6) weight, n, r.at_ last_seq from f""")
 def coaccess_fold_clamped(spark, d):
     adds, _ = _adds(spark, d)
     return learn.link_folds(adds).withColumn("weight", F.round("weight", 6))
