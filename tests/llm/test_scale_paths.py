@@ -219,3 +219,17 @@ def test_stars_reach_the_least_node_of_a_partition(spark):
     got = {x.a: x.b for x in df.mapInArrow(common.stars, "a long, b long").collect()}
     want = components_of({x for p in links for x in p}, links)
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_stretches_with_one_hash_are_told_apart(spark):
+    """Hashes that all collide: classes are those of equal bytes."""
+    r = random.Random(13)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 4))) for _ in range(60)]
+    anchors = np.array([r.randrange(3) for _ in texts], np.uint64)
+    at = np.cumsum([0, *map(len, texts)])
+    for hashes in (np.zeros(60, np.uint64), np.arange(60, dtype=np.uint64) % 4 * 0):
+        got = suffix_dedup.told_apart(anchors, hashes, np.frombuffer(b"".join(texts), np.uint8), at, chunk=7)
+        for i in range(60):
+            for j in range(60):
+                if anchors[i] == anchors[j]:
+                    assert (got[i] == got[j]) == (texts[i] == texts[j])

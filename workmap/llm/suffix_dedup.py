@@ -201,6 +201,31 @@ def _equal_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, le
     return base, out
 
 
+def told_apart(anchors: np.ndarray, hashes: np.ndarray, data: np.ndarray, at: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+    """Hashes of stretches, changed until those of one anchor are equal only where all bytes are: each is compared with the first of its class."""
+    hashes = hashes.copy()
+    live = np.arange(len(hashes))
+    while len(live):
+        order = live[np.lexsort((live, hashes[live], anchors[live]))]
+        new = np.r_[True, (anchors[order][1:] != anchors[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        other = np.flatnonzero(first != order)
+        x, y = order[other], first[other]
+        size = at[x + 1] - at[x]
+        same = size == at[y + 1] - at[y]
+        lo = 0
+        while lo < len(x):
+            hi = max(int(np.searchsorted(np.cumsum(size[lo:]), chunk, side="right")) + lo, lo + 1)
+            n = np.where(same[lo:hi], size[lo:hi], 1)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = data[np.repeat(at[x[lo:hi]], n) + step] == data[np.repeat(at[y[lo:hi]], n) + step]
+            same[lo:hi] &= np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            lo = hi
+        live = x[~same]
+        hashes[live] = mix(hashes[live] + U(1))
+    return hashes
+
+
 def _answer(width: int, most: int):
     def run(t: pa.Table) -> pa.Table:
         known = t.column("known").combine_chunks()
@@ -228,7 +253,7 @@ def _answer(width: int, most: int):
             length = np.empty(len(anchors), np.int64)
             length[member] = sizes + width - 1
             at = np.concatenate([[0], np.cumsum(length)])
-            stretches = slice_hashes(data, at[:-1], at[1:])[member]
+            stretches = told_apart(anchors, slice_hashes(data, at[:-1], at[1:]), data, at)[member]
             anchors = anchors[member]
             # classes of equal stretches
             order = np.lexsort((docs, stretches, anchors))
