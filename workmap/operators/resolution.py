@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workmap.operators.scratch import checkpointed
+
 #: Languages that see each other's names; marks of a test's file name; how deep re-exports are followed.
 FAMILIES = {"typescript": "script", "tsx": "script", "javascript": "script", "c": "c", "cpp": "c", "java": "jvm", "kotlin": "jvm", "scala": "jvm"}
 TEST_PREFIXES, TEST_SUFFIXES = ("test_", "test-", "Test"), ("_test", "-test", "_spec", "-spec", "Tests", "Test", "Spec")
@@ -56,7 +58,8 @@ def reachable(start: DataFrame, passes: DataFrame, depth: int = DEPTH) -> DataFr
     frontier = seen
     for k in range(1, depth + 1):
         step = frontier.select("root", "file").join(passes.select("file", "next").distinct(), "file").select("root", F.col("next").alias("file")).distinct()
-        frontier = step.join(seen.select("root", "file"), ["root", "file"], "left_anti").withColumn("depth", F.lit(k))
+        # cut from its lineage: each step reads the frontier twice, and the plan would double
+        frontier = checkpointed(step.join(seen.select("root", "file"), ["root", "file"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -12,7 +12,7 @@ K1, B = 1.2, 0.75
 
 def term_counts(docs: DataFrame, ident: str, tokens: Column) -> DataFrame:
     """(doc, term, tf, length) of rows whose `ident` is unique: terms are counted inside their row, so nothing is shuffled."""
-    rows = docs.select(F.col(ident).alias("doc"), F.array_sort(tokens).alias("t")).withColumn("length", F.size("t"))
+    rows = docs.select(F.col(ident).alias("doc"), F.sort_array(tokens).alias("t")).withColumn("length", F.size("t"))
     # in a sorted list a term's run begins where it differs from the one before; its length is the distance to the next beginning
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("length"), F.lit(1)) - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     rows = rows.withColumn("b", begins)

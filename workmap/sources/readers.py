@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,10 @@ GENERATED_NAME = r"(\.min\.js|\.map|[-.]lock(\.json|file)?|\.lock|go\.sum|lock\.
 SECRET_NAME = r"(?i)(^|/)(\.env(\.[^/]*)?|[^/]*\.env|id_rsa[^/]*|id_ed25519[^/]*|[^/]*\.pem|[^/]*\.key|credentials[^/]*|secrets?)(/|$)"
 TEST_PATH = r"(?i)((^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|_test\.[^/.]*$|\.(test|spec)\.[^/.]*$)"
 VENDORED, GENERATED, TEST = 1, 2, 4
+#: Languages by a file's whole name; what tells a C++ header from a C one; what a generator writes at a file's head.
+WHOLE_NAMES = {"Makefile": "make", "GNUmakefile": "make", "Dockerfile": "dockerfile", "Rakefile": "ruby", "Gemfile": "ruby", "BUILD": "python", "Jenkinsfile": "groovy", "CMakeLists.txt": "cmake"}
+CPP_HEAD = r"(?m)^\s*(class\s+\w+|template\s*<|namespace\s+\w+|using\s+namespace|#include\s*<(iostream|vector|string|memory)>)|\bstd::"
+GENERATED_HEAD = r"(?i)(@generated|do not edit|code generated by|automatically generated)"
 
 
 def file_name(path: Column) -> Column:
@@ -88,15 +94,46 @@ def file_name(path: Column) -> Column:
 
 
 def language(path: Column, head: Column | None = None) -> Column:
-    """By the file's extension, else by the interpreter that its first line names."""
+    """By the file's whole name, else its extension, else by the interpreter that its first line names; a .h file is C++ if its head is."""
     extension = F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
     out = F.lit(None).cast("string")
     for name in sorted(set(EXTENSIONS.values())):
         out = F.when(extension.isin(*[e for e, n in EXTENSIONS.items() if n == name]), name).otherwise(out)
-    if head is not None:
-        shebang = F.regexp_extract(head, r"^#!.*?(python|bash|sh|node|ruby|php|lua)[0-9.]*\s*(\n|$)", 1)
-        known = F.when(shebang.isin("bash", "sh"), "bash").when(shebang == "node", "javascript").when(shebang != "", shebang)
-        out = F.coalesce(out, known)
+    for whole, name in WHOLE_NAMES.items():
+        out = F.when(file_name(path) == whole, name).otherwise(out)
+    if head is None:
+        return F.when(extension == "h", "c").otherwise(out)
+    shebang = F.regexp_extract(head, r"^#!.*?(python|bash|sh|node|ruby|php|lua)[0-9.]*\s*(\n|$)", 1)
+    known = F.when(shebang.isin("bash", "sh"), "bash").when(shebang == "node", "javascript").when(shebang != "", shebang)
+    return F.when(extension == "h", F.when(head.rlike(CPP_HEAD), "cpp").otherwise("c")).otherwise(F.coalesce(out, known))
+
+
+def head_kind(head: Column) -> Column:
+    """What a file's first bytes say: binary if a NUL is among them, generated if a generator signed, else text."""
+    return F.when(F.instr(head, "\u0000") > 0, "binary").when(head.rlike(GENERATED_HEAD), "generated").otherwise("text")
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether ignore rules leave a path out: globs as in ignore files, later rules over earlier ones, `!` takes back, a slash anchors, a last one means folders."""
+    out = F.lit(False)
+    for rule in patterns:
+        rule, take_back = (rule[1:], True) if rule.startswith("!") else (rule, False)
+        rule = rule.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        folder, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
+        body, at = "", 0
+        bare = rule.strip("/")
+        while at < len(bare):
+            if bare.startswith("**/", at):
+                body, at = body + "(?:.*/)?", at + 3
+            elif bare.startswith("**", at):
+                body, at = body + ".*", at + 2
+            else:
+                c = bare[at]
+                body, at = body + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), at + 1
+        hit = path.rlike(("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)"))
+        out = F.when(hit, not take_back).otherwise(out)
     return out
 
 
