@@ -55,8 +55,8 @@ def one_line(text: Column) -> Column:
 
 
 def is_plain(text: Column) -> Column:
-    """No control or hidden characters."""
-    return ~text.rlike(r"[\x00-\x08\x0B-\x1F\x7F​-‏‪-‮⁠-⁤﻿]")
+    """No control or hidden characters, and no tag of a reminder that a tool put in."""
+    return ~text.rlike(r"[\x00-\x08\x0B-\x1F\x7F\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]|(?i)</?system-reminder")
 
 
 def collapsed_hash(text: Column) -> Column:

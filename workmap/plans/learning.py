@@ -252,3 +252,14 @@ def next_files(r):
     lines = table(r.spark, r.d, "lineitem")
     ways = lines.groupBy(F.col("l_partkey").alias("src"), F.when(F.col("l_linenumber") <= 4, 1).otherwise(F.col("l_linenumber")).alias("dst")).agg((F.count("*") / 4).alias("weight"))
     return learn.next_file(ways)
+
+
+@statement(f"with {_EARNED}, {_ROLES[_ROLES.index("edt as"):]}, op as (select task_id task from tasks where ended_at is not null) select task, (select count(*) from (select distinct kind, id from so where so.task = op.task)) interest, (select count(*) from ro where ro.task = op.task and role is not null) roles, (select count(*) from ev where ev.task = op.task) steps from op where task % 50 = 0")
+def task_ends(r):
+    """What the end of a task gives to learning: how many places earn interest, how many roles, of how many steps."""
+    ended = r.tasks.where("ended_at is not null and task_id % 50 = 0").select(F.col("task_id").alias("task"))
+    parts = {"interest": _earned(r).select("task", "kind", "id").distinct(), "roles": _roles(r), "steps": _events(r)}
+    out = ended
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("task").agg(F.count("*").alias(name)), "task", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

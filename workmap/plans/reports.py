@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import scale_mode
 from workmap.operators import reports as T
+from workmap.operators import retrieval as R
 from workmap.plans.relations import statement
 
 _HOLD = "pm as (select session_id session, node_id % 500 node, ts, case when kind = 'read' then 'read' when kind = 'edit' and seq % 4 = 1 then 'claim' else 'edit' end as mode from acts where kind in ('read', 'edit')), hl as (select session, node, max((ts + case mode when 'read' then 600000 when 'edit' then 1800000 else 7200000 end, ts, mode)) b from pm group by 1, 2)"
@@ -169,3 +170,30 @@ def graph_read(r):
     """What reading the graph gives: nodes by kind and edges."""
     return r.nodes.groupBy("kind").agg(F.count("*").alias("n")).unionByName(r.links.agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), "n"))
 
+
+
+_OUTLINE = "ol as (select injection_id % 7 query, file_id file, symbol_id symbol, start_line first, end_line last, (symbol_id * 37 % 101)::double / 101 strength from symbols join (select distinct injection_id, node_id from items where injection_id % 40 = 3) i on file_id = node_id)"
+_CUT = """bd as (select distinct query, file, symbol, strength, case when last - first + 1 > 20 then greatest(least(first + (last - first) // 2 - 10, last - 19), first) else first end f, last, first f0 from ol where strength > 0),
+cu as (select query, file, symbol, strength, f, case when last - f0 + 1 > 20 then f + 19 else last end l from bd),
+bs as (select * from cu qualify row_number() over (partition by query, file order by round(strength, 9) desc, f, symbol) <= 16),
+ls as (select query, file, list([{'first': f, 'last': l}] order by round(strength, 9) desc, f, symbol) b from bs group by 1, 2),
+fo as (select query, file, list_reduce(b, lambda h, y: case when len(list_filter(h, lambda z: y[1].first <= z.last + 1 and z.first <= y[1].last + 1)) > 0
+  then list_transform(h, lambda z, i: case when i = list_position(list_transform(h, lambda g: y[1].first <= g.last + 1 and g.first <= y[1].last + 1), true) and greatest(z.last, y[1].last) - least(z.first, y[1].first) + 1 <= 20 then {'first': least(z.first, y[1].first), 'last': greatest(z.last, y[1].last)} else z end)
+  when len(h) < 2 then list_concat(h, y) else h end) s from ls)"""
+
+
+@statement(f"with {_OUTLINE}, {_CUT} select query, file, x.first, x.last from (select query, file, unnest(s) x from fo)")
+def spans_selected(r):
+    """At most two spans of a file: the strongest definitions, cut to twenty lines, joined where they touch."""
+    files = r.items.where("injection_id % 40 = 3").select((F.col("injection_id") % 7).alias("query"), F.col("node_id").alias("file_id")).distinct()
+    o = r.symbols.join(files, "file_id").select("query", F.col("file_id").alias("file"), F.col("symbol_id").alias("symbol"), F.col("start_line").alias("body_first"), F.col("end_line").alias("body_last"), (F.col("start_line") + F.floor((F.col("end_line") - F.col("start_line")) / 2)).alias("centre"), ((F.col("symbol_id") * 37 % 101).cast("double") / 101).alias("strength"))
+    return R.spans(o, cap=20)
+
+
+@statement(f"with {_OUTLINE} select distinct query, file, symbol from ol join acts on node_id = file and acts.session_id % 7 = query and kind = 'read' where range_start is null or (range_start * 8 <= first and last <= range_start * 8 + 60)")
+def spans_in_context(r):
+    """Definitions that a session has in context: a read of the file without a range, or of one that covers them."""
+    files = r.items.where("injection_id % 40 = 3").select((F.col("injection_id") % 7).alias("query"), F.col("node_id").alias("file_id")).distinct()
+    shown = r.symbols.join(files, "file_id").select("query", F.col("file_id").alias("file"), F.col("symbol_id").alias("symbol"), F.lit("h").alias("content"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    reads = r.acts.where("kind = 'read'").select((F.col("session_id") % 7).alias("query"), F.col("node_id").alias("file"), F.lit("h").alias("content"), (F.col("range_start") * 8).alias("lo"), (F.col("range_start") * 8 + 60).alias("hi"))
+    return R.in_context(shown, reads).select("query", "file", "symbol")
