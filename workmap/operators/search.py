@@ -10,6 +10,12 @@ from workmap.functions.scalar import idf_coverage, idf_ranking, identifier_token
 K1, B = 1.2, 0.75
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all cores by a key, if the files they come from have fewer pieces than there are cores (a file of one row group is one task); else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def term_counts(docs: DataFrame, ident: str, tokens: Column) -> DataFrame:
     """(doc, term, tf, length) of rows whose `ident` is unique: terms are counted inside their row, so nothing is shuffled."""
     rows = docs.select(F.col(ident).alias("doc"), F.sort_array(tokens).alias("t")).withColumn("length", F.size("t"))

@@ -21,6 +21,10 @@ df as (select term, count(*) df from po group by 1)
 """
 
 
+def _documents(spark, d):
+    return search.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(identifier_tokens(F.col("text"))).alias("term")).distinct()
 
@@ -28,7 +32,7 @@ def _queries(spark, d):
 @query(f"with {POSTINGS} select term, df from df")
 def token_df(spark, d):
     """Each document's distinct words, counted: one partial aggregate and one shuffle."""
-    terms = table(spark, d, "documents").select(F.explode(F.array_distinct(identifier_tokens(F.col("text")))).alias("term"))
+    terms = _documents(spark, d).select(F.explode(F.array_distinct(identifier_tokens(F.col("text")))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -37,9 +41,9 @@ s as (select query, doc, round(sum(greatest(ln((n_rows - df + 0.5) / (df + 0.5))
 select query, doc, score, row_number() over (partition by query order by score desc, doc)::int place from s qualify place <= 50""")
 def bm25_top(spark, d):
     """The best documents of each item by its rarest words; words in over 5 % of the documents (and over 20) are not looked up."""
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     post = checkpointed(search.postings(docs, "doc_id", "text"))
-    rare, stats = search.rare_terms(post, _queries(spark, d), search.text_stats(post, docs))
+    rare, stats = search.rare_terms(post, _queries(spark, d), search.text_stats(post, table(spark, d, "documents")))
     return search.bm25(post, rare, stats, 50).select("query", "doc", "score", "place")
 
 
@@ -48,9 +52,9 @@ w as (select query, greatest(sum(idf), 2 * (select ln(1 + (n_rows - ceil(n_rows
 m as (select query, doc, sum(idf) matched from po join i using (term) group by 1, 2)
 select query, doc, round(least(matched / whole, 1.0), 6) coverage from m join w using (query) where round(least(matched / whole, 1.0), 6) >= 0.4""")
 def lexical_coverage(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     post = checkpointed(search.postings(docs, "doc_id", "text"))
-    return search.coverage(post, _queries(spark, d), search.text_stats(post, docs)).where("coverage >= 0.4")
+    return search.coverage(post, _queries(spark, d), search.text_stats(post, table(spark, d, "documents"))).where("coverage >= 0.4")
 
 
 @query("""with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) w from conversations),
