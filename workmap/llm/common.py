@@ -7,6 +7,7 @@ costs two look-ups; each is finished by a bijective mixer. Every hashed string h
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,7 +63,12 @@ def discard(df: DataFrame) -> None:
 
 
 def parts_for(spark: SparkSession, n_bytes: int, target: int = 12 << 20) -> int:
-    """How many parts n_bytes of data make at target bytes each; at least as many as shuffles have."""
+    """How many parts n_bytes of data make at target bytes each; at least as many as shuffles have.
+
+    Parts and buckets that all write to each other make parts * buckets messages; from where they would be shorter than half a
+    kilobyte on average, parts grow with the root of the data: 23 MB at 1 TB, 230 MB at 100 TB.
+    """
+    target = max(target, math.isqrt(512 * int(n_bytes or 0)))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // target), 1)
 
 
