@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from workmap.operators import advice as A
 from workmap.operators import records
 from workmap.operators import resolution as N
-from workmap.plans.adapters import table
 from workmap.plans.relations import statement
 
 #: Edits of tasks, what a task touched, and the facts about an edited file: history, common work, call sites, tests, lines.
@@ -189,14 +188,14 @@ n as (select query, count(distinct file) n from fs group by 1), c as (select que
 def experience_hints(r):
     """Earlier work that half of the files looked at were part of."""
     rc = r.items.select(F.col("injection_id").alias("task"), (F.col("injection_id") * 31 % 10_007).alias("at"), (F.col("node_id") % 60).alias("file"))
-    fs = table(r.spark, r.d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array(F.col("item_id") % 60, F.col("item_id") * 7 % 60, F.col("item_id") * 11 % 60)).alias("file"))
+    fs = r.table("benchmark").select(F.col("item_id").alias("query"), F.explode(F.array(F.col("item_id") % 60, F.col("item_id") * 7 % 60, F.col("item_id") * 11 % 60)).alias("file"))
     return A.experience(rc, fs)
 
 
 @statement("with f as (select fact_id, status, claim from facts where status = 'approved'), a as (select distinct fact_id, node_id from anchors where node_id < 1000000000000), q as (select item_id query, item_id * 31 % 2000 file from benchmark), h as (select query, fact_id, min(abs(node_id - file)) away from q, a where abs(node_id - file) <= 40 group by 1, 2) select query, fact_id, away, place from (select query, h.fact_id, away, row_number() over (partition by query order by away, h.fact_id) place from h join f using (fact_id)) where place <= 5")
 def order_facts(r):
     """The facts whose anchors are closest to a listed file, five for a question: candidates meet by buckets of nodes, never by every pair."""
-    q = table(r.spark, r.d, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") * 31 % 2000).alias("file"))
+    q = r.table("benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") * 31 % 2000).alias("file"))
     a = r.anchors.where("node_id < 1000000000000").select("fact_id", "node_id").distinct().withColumn("b", F.floor(F.col("node_id") / 41))
     near = q.withColumn("b", F.explode(F.array(*[F.floor(F.col("file") / 41) + k for k in (-1, 0, 1)]))).join(a, "b").withColumn("away", F.abs(F.col("node_id") - F.col("file"))).where("away <= 40")
     best = near.groupBy("query", "fact_id").agg(F.min("away").alias("away")).join(r.facts.where("status = 'approved'").select("fact_id"), "fact_id")

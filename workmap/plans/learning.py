@@ -249,7 +249,7 @@ def mining_written(r):
 @statement("with w as (select l_partkey src, case when l_linenumber <= 4 then 1 else l_linenumber end dst, count(*)::double / 4 weight from lineitem group by 1, 2), m as (select src, sum(weight) total, max((weight, -dst)) m from w group by 1) select src, -m[2] dst, m[1] weight from m where m[1] >= 2.0 and m[1] > 0.5 * total")
 def next_files(r):
     """The one way on from a file: of weight 2 or more, and more than half of all that leads on."""
-    lines = table(r.spark, r.d, "lineitem")
+    lines = r.table("lineitem")
     ways = lines.groupBy(F.col("l_partkey").alias("src"), F.when(F.col("l_linenumber") <= 4, 1).otherwise(F.col("l_linenumber")).alias("dst")).agg((F.count("*") / 4).alias("weight"))
     return learn.next_file(ways)
 

@@ -15,7 +15,7 @@ _USE = "us as (select o_custkey session, o_orderkey turn, o_orderkey * 104729 %
 
 def _usage(r):
     k = F.col("o_orderkey")
-    return table(r.spark, r.d, "orders").select(F.col("o_custkey").alias("session"), k.alias("turn"), (k * 104_729 % 100_003 * 1000).alias("ts"), (k % 700).alias("input"), (k % 300).alias("cache_write"), (k % 911).alias("cache_read"), (k % 97).alias("output"))
+    return r.table("orders").select(F.col("o_custkey").alias("session"), k.alias("turn"), (k * 104_729 % 100_003 * 1000).alias("ts"), (k % 700).alias("input"), (k % 300).alias("cache_write"), (k % 911).alias("cache_read"), (k % 97).alias("output"))
 
 
 _HELD = f"{_USE}, hd as (select us.*, arg_max(tasks.task_id, (started_at, tasks.task_id)) t0 from us left join tasks on tasks.session_id = session and started_at <= ts group by all), he as (select hd.*, case when ended_at is null or ended_at >= ts then t0 end task from hd left join tasks on task_id = t0)"
@@ -56,7 +56,7 @@ c as (select *, case m when 'm-one' then (input::hugeint * 3000000 + (cache_writ
 select model, coalesce(why, '') unpriced, count(*) turns, coalesce(sum(case when why is null then pd end), 0)::varchar picodollars from c group by 1, 2""")
 def cost_long_prompt(r):
     """Exact costs with rates of their own for fast responses and for long prompts."""
-    rows = table(r.spark, r.d, "lineitem")
+    rows = r.table("lineitem")
     rows = r.spark.sql(_PRICED.replace("{lines}", "{rows}"), rows=rows)
     prices = r.spark.createDataFrame(PRICES, f"model string, standard {_RATE}, fast {_RATE}, long {_RATE}, above long, us_per_mille int")
     by = C.priced(rows, prices).groupBy("model", F.coalesce("unpriced", F.lit("")).alias("unpriced"))

@@ -62,17 +62,24 @@ class Relations:
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
+        self._read: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        """A table of the folder; its files' schema is read once for these relations."""
+        if name not in self._read:
+            self._read[name] = table(self.spark, self.d, name)
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in _RELATIONS:
             base, distinct, columns = _RELATIONS[name]
-            rows = table(self.spark, self.d, base).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+            rows = self.table(base).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
             return rows.distinct() if distinct else rows
         raise AttributeError(name)
 
     @property
     def folders(self) -> DataFrame:
-        return table(self.spark, self.d, "part").selectExpr("cast(substr(p_brand, 7) as bigint) as folder_id", "replace(lower(p_brand), '#', '_') as path").distinct()
+        return self.table("part").selectExpr("cast(substr(p_brand, 7) as bigint) as folder_id", "replace(lower(p_brand), '#', '_') as path").distinct()
 
     @property
     def nodes(self) -> DataFrame:
@@ -83,15 +90,15 @@ class Relations:
     @property
     def links(self) -> DataFrame:
         kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-        return table(self.spark, self.d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), kind.alias("type")).agg(F.max("l_discount").alias("w"), F.count("*").alias("n"), F.max("l_orderkey").alias("last_seq"))
+        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), kind.alias("type")).agg(F.max("l_discount").alias("w"), F.count("*").alias("n"), F.max("l_orderkey").alias("last_seq"))
 
     @property
     def ways(self) -> DataFrame:
-        return table(self.spark, self.d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 200).alias("dst")).agg((F.count("*") / 4).alias("weight"), F.max("l_orderkey").alias("last_seq"))
+        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 200).alias("dst")).agg((F.count("*") / 4).alias("weight"), F.max("l_orderkey").alias("last_seq"))
 
     @property
     def commits_of(self) -> DataFrame:
-        return table(self.spark, self.d, "lineitem").groupBy(F.col("l_partkey").alias("file_id")).agg(F.count_distinct("l_orderkey").alias("n"), F.max("l_orderkey").alias("last_seq"))
+        return self.table("lineitem").groupBy(F.col("l_partkey").alias("file_id")).agg(F.count_distinct("l_orderkey").alias("n"), F.max("l_orderkey").alias("last_seq"))
 
     @property
     def hashes(self) -> DataFrame:

@@ -14,7 +14,6 @@ from workmap.functions.scalar import identifier_tokens
 from workmap.operators import graph, search
 from workmap.operators import retrieval as R
 from workmap.operators.scratch import checkpointed
-from workmap.plans.adapters import table
 from workmap.plans.relations import SYMBOL_NODES, Relations, statement
 from workmap.plans.text import POSTINGS
 
@@ -120,11 +119,11 @@ class Stages:
 
     @cached_property
     def questions(self) -> DataFrame:
-        return table(self.r.spark, self.r.d, "benchmark").select(F.col("item_id").alias("query"), "text")
+        return self.r.table("benchmark").select(F.col("item_id").alias("query"), "text")
 
     @cached_property
     def post(self) -> DataFrame:
-        return checkpointed(search.postings(table(self.r.spark, self.r.d, "documents"), "doc_id", "text"))
+        return checkpointed(search.postings(self.r.table("documents"), "doc_id", "text"))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -132,13 +131,13 @@ class Stages:
 
     @cached_property
     def lexical(self) -> DataFrame:
-        rare, stats = search.rare_terms(self.post, self.terms, search.text_stats(self.post, table(self.r.spark, self.r.d, "documents")))
+        rare, stats = search.rare_terms(self.post, self.terms, search.text_stats(self.post, self.r.table("documents")))
         hits = search.bm25(self.post, rare, stats, 50).select("query", F.col("doc").alias("node"), "score")
         return checkpointed(R.over_best(hits))
 
     @cached_property
     def top_lexical(self) -> DataFrame:
-        stats = search.text_stats(self.post, table(self.r.spark, self.r.d, "documents"))
+        stats = search.text_stats(self.post, self.r.table("documents"))
         covered = search.coverage(self.post, self.terms, stats).withColumnRenamed("doc", "node")
         return covered.join(self.lexical.select("query", "node"), ["query", "node"]).groupBy("query").agg(F.max("coverage").alias("top_lexical"))
 
@@ -311,12 +310,24 @@ class Stages:
         return R.second_stage(self.ranked, edges, self.shares, self.file_of, symbols, self.standing, rounds=_ROUNDS)
 
 
+_latest: dict[tuple[str, str], Stages] = {}
+
+
+def _stages(r: Relations) -> Stages:
+    """The stages of a folder, kept for the session's next query of the same one: what they have checkpointed is read again instead of made again. Tables are snapshots; a folder whose files have changed is a new one."""
+    key = (r.spark.sparkContext.applicationId, r.d)
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = Stages(r)
+    return _latest[key]
+
+
 def stage(select: str, chain: str = _SQL):
     """Registers f(stages) with the SQL chain's `select`."""
 
     def add(f):
         def plan(r):
-            return f(Stages(r))
+            return f(_stages(r))
 
         plan.__name__ = f.__name__
         statement(f"with {chain.strip()} {select}")(plan)
@@ -448,5 +459,5 @@ def in_context_spans(s):
 @stage("select query, term, k::int place from rare")
 def looked_up_words(s):
     """The rarest words of a question that aren't common."""
-    stats = search.text_stats(s.post, table(s.r.spark, s.r.d, "documents"))
+    stats = search.text_stats(s.post, s.r.table("documents"))
     return search.rare_terms(s.post, s.terms, stats)[0].select("query", "term", F.col("k").alias("place"))

@@ -32,7 +32,7 @@ def payload_events(r):
 @statement("select distinct l_orderkey commit_, l_partkey file, case when l_returnflag = 'R' then l_partkey + 1 end renamed_from from lineitem where l_orderkey % 10 = 3")
 def git_listing(r):
     """A log listing made of orders and their lines, parsed again."""
-    ch = table(r.spark, r.d, "lineitem").where("l_orderkey % 10 = 3").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    ch = r.table("lineitem").where("l_orderkey % 10 = 3").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
     line = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("R100\tf"), (F.col("l_partkey") + 1).cast("string"), F.lit("\tf"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("M\tf"), F.col("l_partkey").cast("string")))
     record = ch.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
     listing = record.select(F.concat(F.lit("\u0000"), F.lpad(F.col("l_orderkey").cast("string"), 40, "0"), F.lit(" p1 p2|"), F.col("l_orderkey").cast("string"), F.lit("\n"), "lines", F.lit("\n")).alias("value"))

@@ -360,9 +360,8 @@ def cards_by_oid(r):
 def cards_matching(r):
     """Texts that match any of some words, the best ten."""
     from workmap.operators import search
-    from workmap.plans.adapters import table
-
-    cards = table(r.spark, r.d, "benchmark")
+    
+    cards = r.table("benchmark")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     post = search.term_counts(cards, "item_id", words)
     stats = cards.select(F.size(words).alias("n")).agg(F.count("*").alias("rows"), F.avg("n").alias("mean_length"))
