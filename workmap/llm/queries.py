@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, ngram_jaccard, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
+from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, ngram_jaccard, source_divergence, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_mix_sources": mixing.query,
         "op10_toxicity": toxicity.query,
+        "op13_source_divergence": source_divergence.query,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
         "op9_mix_sources": mixing.ORACLE,
+        "op13_source_divergence": source_divergence.ORACLE,
     }
