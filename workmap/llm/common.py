@@ -43,11 +43,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and lost executors cost nothing already done."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/workmap/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

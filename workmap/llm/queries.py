@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workmap.llm import decontaminate, lattice_dedup, lm_score, mixing, ngram_jaccard, source_divergence, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
+from workmap.llm import chat_windows, decontaminate, lattice_dedup, lm_score, mixing, ngram_jaccard, ranked_search, source_divergence, substring_dedup, suffix_dedup, token_count, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_mix_sources": mixing.query,
         "op10_toxicity": toxicity.query,
+        "op11_chat_windows": chat_windows.query,
+        "op12_ranked_search": ranked_search.query,
         "op13_source_divergence": source_divergence.query,
     }
 
@@ -36,5 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
         "op9_mix_sources": mixing.ORACLE,
+        "op11_chat_windows": chat_windows.ORACLE,
+        "op12_ranked_search": ranked_search.ORACLE,
         "op13_source_divergence": source_divergence.ORACLE,
     }
