@@ -359,6 +359,13 @@ def test_substring_dedup(spark, docs):
     assert multiset((x.doc_id, x.n_words, x.n_removed, x.kept_sha256, x.kept) for x in got) == multiset(expected)
 
 
+def test_the_largest_id_loses_what_smaller_ones_have(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(5, text), ((1 << 63) - 1, text), (-(1 << 63), "a " + text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_windows(df).collect()}
+    assert got == {5: 20, (1 << 63) - 1: 20, -(1 << 63): 0}
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(4)
     rows = [(k, "x" * r.randrange(40, 400), r.choice(["en", "de", None]), r.choice("abc")) for k in range(600)] + [(None, None, None, None)]

@@ -113,6 +113,23 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert best == pytest.approx(want)
 
 
+def test_mining_looks_at_all_tokens_of_long_paths(spark):
+    """Forty folders that always stand together, behind others: each is a rule of its own, and its rows aren't combinations."""
+    deep = [f"p{k}" for k in range(40)]
+    rows = [(k, [f"a{k}"] * 2 + [f"x{k % 7}"] + deep, True) for k in range(60)] + [(100 + k, [f"x{k % 7}", "y"], k % 10 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, bad boolean")
+    got = url_rules.mine(df, support=0.05, confidence=0.9, lift=1.2).collect()
+    assert {tuple(x.tokens) for x in got} == {(t,) for t in deep}
+    pages = spark.createDataFrame([(1, ["p39"]), (2, ["y"]), (3, None), (4, [])], "key long, tokens array<string>")
+    assert [x.key for x in url_rules.matched(pages, url_rules.mine(df, support=0.05, confidence=0.9, lift=1.2)).collect()] == [1]
+
+
+def test_tokens_that_most_rows_have_are_mined(spark):
+    rows = [(k, ["all", "b"] if k % 4 == 0 else ["all", "c"], k % 4 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, bad boolean")
+    assert {tuple(x.tokens) for x in url_rules.mine(df, support=0.05, confidence=0.2, lift=0.5).collect()} == {("all",), ("b",)}
+
+
 def test_urls_with_clashing_columns_nulls_and_repeats(spark):
     pages = spark.createDataFrame(
         [(1, "http://x.org/a", "h", "v", 1), (1, "http://x.org/a", "h", "v", 1), (None, "http://x.org/" + "a/" * 3000, None, None, None), (2, None, "", "", 0)],
@@ -142,6 +159,24 @@ def test_factors_are_those_of_iterative_fitting(spark):
     assert got == pytest.approx({c: now[c] / w[c] if w[c] else 1.0 for c in w}, rel=1e-6)
 
 
+def test_cells_of_null_and_of_empty_strings_are_apart(spark):
+    rows = [(1, "x" * 400, None, "a"), (2, "x" * 400, "", "a"), (3, "x" * 400, "", None), (4, "x" * 40, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in mixing.mix(df, {"lang": {"": 0.5}}).collect()}
+    assert {k: (x.lang, x.source) for k, x in got.items()} == {k: (g, s) for k, _, g, s in rows}
+    assert all(x.residual >= 0 for x in got.values())
+    assert {(x.doc_id, x.lang, x.source) for x in mixing.mix_rows(df, ["doc_id", "text", "lang", "source"]).collect()} == {(k, g, s) for k, _, g, s in rows}
+
+
+def test_targets_that_contradict_each_other_leave_a_residual(spark):
+    cells = [("a", "en", "prose", 10), ("b", "de", "prose", 10)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, weight long")
+    held = mixing.rake(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, rounds=7).first()
+    assert held.residual > 0.1
+    assert mixing.rake(df, {"source": {"a": 0.9, "b": 0.1}}, flatten=1.0, rounds=7).select("residual").first()[0] > 0.1
+    assert mixing.rake(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.9, "de": 0.1}}).first().residual <= 1e-9
+
+
 def test_isotonic_levels_are_least_squares(spark):
     r = random.Random(1)
     for _ in range(20):

@@ -9,7 +9,7 @@ walking to sampled suffix positions. Documents are only mapped, never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workmap.llm.common import blocks, table, utf8
+from workmap.llm.common import blocks, discard, table, utf8, written
 
 #: Bytes that end a word: ASCII other than digits and letters.
 _GAPS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -255,14 +255,13 @@ def _mapper(phrases: Phrases, shard_bytes: int, first: bool, last: bool):
     return run
 
 
-def judge_rows(docs: DataFrame, benchmark: DataFrame, columns: list[str], width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def judge_rows(docs: DataFrame, benchmark: DataFrame, columns: list[str], width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """The columns of docs, text among them, with `contaminated`: each row judged where it is, without a join.
 
     A benchmark of several blocks is judged on the hits of all of them; the rows then carry their spans from pass to pass.
     """
     source = docs.select(*columns).withColumn("_spans", F.array().cast(SPANS))
-    for block in _item_blocks(benchmark, block_bytes):
-        source = source.mapInArrow(_row_mapper(Phrases(block, width), shard_bytes, source.columns), source.schema)
+    source = _passes(source, benchmark, block_bytes, lambda rows, block, _, __: rows.mapInArrow(_row_mapper(Phrases(block, width), shard_bytes, rows.columns), rows.schema))
     n_words = F.size(F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _GAPS.decode("latin-1"), " " * len(_GAPS)), " "), lambda x: F.length(x) > 0))
     n_hit = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
     return source.withColumn("contaminated", F.when(n_hit == 0, False).otherwise(20 * n_hit >= n_words)).drop("_spans")
@@ -296,9 +295,9 @@ def _union(a: list[dict], b: list[dict]) -> list[dict]:
 
 
 def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of at most `most` bytes (one item at least), sorted in one task that may spill, and streamed."""
+    """The benchmark in blocks of at most `most` bytes (one item at least), sorted by Spark and streamed, a partition at a time."""
     block, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("text is not null").coalesce(1).sortWithinPartitions("item_id", "text").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
         text = text.encode()
         if block and size + len(text) > most:
             yield block
@@ -308,20 +307,31 @@ def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, by
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def _passes(rows: DataFrame, benchmark: DataFrame, block_bytes: int, one: Callable[[DataFrame, list, bool, bool], DataFrame]) -> DataFrame:
+    """rows after one(rows, block, first, last) for each block of the benchmark. All passes but the last are written tables, so that the driver and a plan hold one block's phrases at a time."""
+    blocks_ = _item_blocks(benchmark, block_bytes)
+    block, first, before = next(blocks_), True, None
+    while True:
+        then = next(blocks_, None)
+        rows = one(rows, block, first, then is None)
+        if then is None:
+            return rows
+        rows = written(rows)
+        if before is not None:
+            discard(before)
+        block, first, before = then, False, rows
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shard_bytes: int = 6 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_words, spans (of words, merged, to remove), items: what test items occur in each row of docs(doc_id, text).
 
-    The benchmark goes to executors in blocks of block_bytes, whatever its size; each block is one pass over the rows, which
-    carry what earlier passes found, so rows are never matched up again. Null or
+    The benchmark goes to executors in blocks of block_bytes, whatever its size (a block's phrases take some 19 times its text);
+    each block is one pass over the rows, which carry what earlier passes found, so rows are never matched up again. Null or
     empty texts have no words, spans or items. An item without words is in nothing; one with a null id is called "null".
     Rows that repeat are judged each on their own; columns other than doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks_ = list(_item_blocks(benchmark, block_bytes))
-    for k, block in enumerate(blocks_):
-        last = k == len(blocks_) - 1
-        rows = rows.mapInArrow(_mapper(Phrases(block, width), shard_bytes, k == 0, last), SCHEMA if last else CARRIED)
-    return rows
+    return _passes(rows, benchmark, block_bytes, lambda rows, block, first, last: rows.mapInArrow(_mapper(Phrases(block, width), shard_bytes, first, last), SCHEMA if last else CARRIED))
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Documents are summed to cells of (source, language, topic); each round scales the cells' weights to one
 margin after another. A margin's sums are partial aggregates, so a source with a third of all documents
-is one row before any shuffle. The cells' factors are joined back to the documents, which are drawn by
+is a few rows before any shuffle. The cells' factors are joined back to the documents, which are drawn by
 a fixed hash of their id with calibrated probabilities.
 """
 
@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workmap.llm.common import table, written
+from workmap.llm.common import discard, table, written
 
 MARGINS = ("source", "lang", "topic")
-#: Most rounds of scaling; how little factors move once they have settled; a share of the corpus' weight to draw; the power that flattens the corpus' own margins.
-ROUNDS, CLOSE, SHARE, FLATTEN = 40, 1e-9, 0.8, 0.8
+#: Most rounds of scaling, and how many are one plan; how little cells move once they have settled; a share of the corpus' weight to draw; the power that flattens the corpus' own margins.
+ROUNDS, ROUNDS_A_PLAN, CLOSE, SHARE, FLATTEN = 200, 3, 1e-9, 0.8, 0.8
 
 
 def topic_of(text: Column) -> Column:
@@ -61,47 +61,49 @@ def _targets(cells: DataFrame, name: str, given: Mapping[str, float] | None, fla
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN, close: float = CLOSE) -> DataFrame:
-    """cells(*MARGINS, weight) with `factor`: what each cell's weight is multiplied by so that its margins come to the targets.
+    """cells(*MARGINS, weight) with `factor`: what each cell's weight is multiplied by so that its margins come to the targets, and `residual`.
 
     targets has shares by value for a margin; a margin without has the corpus' own shares raised to the power `flatten`.
-    Cells of weight 0 have factor 1. The scaled weights sum to the input's. A cell's factor is the product of one factor for
-    each of its margins' values: a step sums the cells under the other margins' factors and writes the margin's new ones, a row
-    for each value, so no plan grows with the rounds. Rounds end when no factor moves by more than `close` of itself, or
-    after `rounds`.
+    Cells of weight 0 have factor 1. The scaled weights sum to the input's. A round scales the cells to one margin after
+    another, all in one plan; ROUNDS_A_PLAN of them are a written table, so no plan grows with the rounds. Rounds end when no
+    cell moves by more than `close` of itself in one, or after `rounds`; the residual, one for all cells, is by what part of
+    its goal the sum of a margin's value misses it at most, so that targets which contradict each other show.
     """
     targets = targets or {}
     cells = written(cells)
     total = cells.agg(F.sum("weight").alias("all"))  # one row
-    goals = {m: written(_targets(cells, m, targets.get(m), flatten).crossJoin(F.broadcast(total)).select(m, (F.col("target") * F.col("all")).alias("goal"), F.lit(1.0).alias(f"f_{m}"))) for m in MARGINS}
-    factors = {m: goals[m].select(m, f"f_{m}") for m in MARGINS}
-
-    def under(*margins: str) -> DataFrame:
-        df = cells
-        for m in margins:
-            df = df.join(factors[m].select(m, f"f_{m}"), m)
-        return df
-
-    for _ in range(rounds):
-        moved = []
-        for m in MARGINS:
-            a, b = (o for o in MARGINS if o != m)
-            sums = under(a, b).groupBy(m).agg(F.sum(F.col("weight") * F.col(f"f_{a}") * F.col(f"f_{b}")).alias("s"))
-            old = factors[m].select(m, F.col(f"f_{m}").alias("old"))
-            new = sums.join(goals[m].select(m, "goal"), m).join(old, m).select(m, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(1.0).alias(f"f_{m}"), "old")
-            factors[m] = written(new)
-            moved.append(factors[m].select(F.abs(F.try_divide(f"f_{m}", "old") - 1).alias("move")))
-        if (reduce(DataFrame.unionByName, moved).agg(F.max("move")).first()[0] or 0.0) <= close:
+    goals = {m: written(_targets(cells, m, targets.get(m), flatten).crossJoin(F.broadcast(total)).select(F.col(m).alias(f"_{m}"), (F.col("target") * F.col("all")).alias("goal"))) for m in MARGINS}
+    now = cells.withColumn("scaled", F.col("weight").cast("double"))
+    for m in MARGINS:  # each cell with its goals: rows of a margin's values meet cells once, before the rounds
+        now = now.join(goals[m], F.col(m).eqNullSafe(F.col(f"_{m}"))).withColumnRenamed("goal", f"goal_{m}").drop(f"_{m}")
+    now = written(now)
+    residual = 0.0
+    for done in range(0, rounds, ROUNDS_A_PLAN):
+        scaled = now
+        for _ in range(min(ROUNDS_A_PLAN, rounds - done)):
+            scaled = scaled.withColumn("was", F.col("scaled"))
+            for m in MARGINS:
+                whole = F.sum("scaled").over(Window.partitionBy(m))
+                scaled = scaled.withColumn("scaled", F.when(whole > 0, F.col("scaled") * F.col(f"goal_{m}") / whole).otherwise(F.col("scaled")))
+        gaps = [F.coalesce(F.abs(F.try_divide(F.sum("scaled").over(Window.partitionBy(m)), F.col(f"goal_{m}")) - 1), F.lit(0.0)) for m in MARGINS]
+        before, now = now, written(scaled.select(*MARGINS, "weight", "scaled", *[f"goal_{m}" for m in MARGINS], F.abs(F.try_divide("scaled", "was") - 1).alias("moved"), F.greatest(*gaps).alias("gap")))
+        discard(before)
+        moved, residual = (x or 0.0 for x in now.agg(F.max("moved"), F.max("gap")).first())
+        if moved <= close:
             break
-    product = F.col(f"f_{MARGINS[0]}") * F.col(f"f_{MARGINS[1]}") * F.col(f"f_{MARGINS[2]}")
-    return under(*MARGINS).select(*MARGINS, "weight", F.when(F.col("weight") > 0, product).otherwise(1.0).alias("factor"))
+    for df in (cells, *goals.values()):
+        discard(df)
+    out = now.select(*MARGINS, "weight", F.when(F.col("weight") > 0, F.col("scaled") / F.col("weight")).otherwise(1.0).alias("factor"), F.lit(float(residual)).alias("residual"))
+    out.written_at = now.written_at  # its reader may discard it
+    return out
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with cell columns, no nulls among them, and token weights; other columns are kept aside by the caller."""
+    """docs with cell columns, in which null is a value of its own, and token weights; other columns are kept aside by the caller."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
         topic_of(F.col("text")).alias("topic"),
         tokens_of(F.col("text")).alias("n_tokens"),
     )
@@ -112,38 +114,49 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
     Documents are kept with probability least(1, share * factor), so the expected token weights of what is kept stand to
     each other as the targets, but for cells that the limit of 1 holds down. A draw depends on the id alone: rows with equal
-    ids stay or go together, and all null ids do. Null sources and languages are a value of their own, ''. An empty table
-    gives an empty one. Columns with other names, 'topic' and 'weight' included, aren't read.
+    ids stay or go together, and all null ids do. A null source or language is a value of its own, apart from ''. An empty table
+    gives an empty one. Columns with other names, 'topic' and 'weight' included, aren't read. `residual` is that of `rake`.
     """
     d = described(docs)
     cells = d.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight"))
-    factors = written(rake(cells, targets, rounds, flatten).select(*MARGINS, "factor"))
+    factors = _by_cell(rake(cells, targets, rounds, flatten))
     probability = F.least(F.lit(1.0), F.lit(float(share)) * F.col("factor"))
-    return d.join(factors, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "factor", probability.alias("probability"), (draw_of(F.col("doc_id")) < probability).alias("kept"))
+    return d.join(factors, _same_cell(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "factor", probability.alias("probability"), (draw_of(F.col("doc_id")) < probability).alias("kept"), "residual")
+
+
+def _by_cell(raked: DataFrame) -> DataFrame:
+    """The cells' factors as a written table with names of its own, whose size Spark knows when it joins them."""
+    out = written(raked.select(*(F.col(m).alias(f"c_{m}") for m in MARGINS), "factor", "residual"))
+    discard(raked)
+    return out
+
+
+def _same_cell(names: tuple[str, ...]) -> Column:
+    return reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"c_{m}")) for n, m in zip(names, MARGINS, strict=True)])
 
 
 def mix_rows(docs: DataFrame, columns: list[str], targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE, rounds: int = ROUNDS, flatten: float = FLATTEN) -> DataFrame:
     """The columns of docs with topic, n_tokens, factor, probability and kept."""
     cells = described(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight"))
-    factors = written(rake(cells, targets, rounds, flatten).select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "factor"))
-    d = docs.select(*columns).withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(F.col("text")), "n_tokens": tokens_of(F.col("text"))})
+    factors = _by_cell(rake(cells, targets, rounds, flatten))
+    d = docs.select(*columns).withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": topic_of(F.col("text")), "n_tokens": tokens_of(F.col("text"))})
     probability = F.least(F.lit(1.0), F.lit(float(share)) * F.col("factor"))
-    joined = d.join(factors, [f"_{m}" for m in MARGINS])
+    joined = d.join(factors, _same_cell(("_source", "_lang", "_topic")))
     return joined.select(*columns, F.col("_topic").alias("topic"), "n_tokens", "factor", probability.alias("probability"), (draw_of(F.col("doc_id")) < probability).alias("kept"))
 
 
-def _oracle(rounds: int = ROUNDS, share: float = SHARE, flatten: float = FLATTEN) -> str:
+def _oracle(rounds: int, share: float = SHARE, flatten: float = FLATTEN) -> str:
     steps = []
     now = "c0"
     k = 0
     for _ in range(rounds):
         for m in MARGINS:
             k += 1
-            steps.append(f"c{k} as (select {now}.* replace ({now}.scaled * case when s.s > 0 then g.target * (select sum(weight) from c0) / s.s else 1 end as scaled) from {now} join (select {m}, sum(scaled) s from {now} group by 1) s using ({m}) join t_{m} g using ({m}))")
+            steps.append(f"c{k} as (select {now}.* replace ({now}.scaled * case when s.s > 0 then g.target * (select sum(weight) from c0) / s.s else 1 end as scaled) from {now} join (select {m}, sum(scaled) s from {now} group by 1) s on s.{m} is not distinct from {now}.{m} join t_{m} g on g.{m} is not distinct from {now}.{m})")
             now = f"c{k}"
     goals = ", ".join(f"t_{m} as (select {m}, pow(sum(weight), {flatten}) / sum(pow(sum(weight), {flatten})) over () target from c0 group by 1)" for m in MARGINS)
     return f"""
-with d as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang,
+with d as (select doc_id, source, lang,
   case when length(trim(coalesce(text, ''))) = 0 then 'empty' when contains(text, ' | ') then 'table' when contains(text, 'http') or contains(text, 'www.') then 'web'
     when contains(text, '@') then 'contact' when contains(text, 'License') then 'legal' when length(text) >= 4000 then 'long prose' else 'prose' end topic,
   ceil(strlen(coalesce(text, '')) / 4)::bigint n_tokens,
@@ -152,8 +165,8 @@ c0 as materialized (select source, lang, topic, sum(n_tokens)::double weight, su
 {goals},
 {', '.join(s.replace(' as (', ' as materialized (', 1) for s in steps)},
 f as (select source, lang, topic, case when weight > 0 then scaled / weight else 1 end factor from {now})
-select doc_id, source, lang, topic, n_tokens, round(factor, 6) factor, round(least(1, {share} * factor), 6) probability, u < least(1, {share} * factor) kept
-from d join f using (source, lang, topic)
+select doc_id, d.source, d.lang, d.topic, n_tokens, round(factor, 6) factor, round(least(1, {share} * factor), 6) probability, u < least(1, {share} * factor) kept
+from d join f on f.source is not distinct from d.source and f.lang is not distinct from d.lang and f.topic = d.topic
 """
 
 
@@ -162,4 +175,4 @@ ORACLE = _oracle(20)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).withColumns({"factor": F.round("factor", 6), "probability": F.round("probability", 6)})
+    return mix(table(spark, sf_dir, "documents")).withColumns({"factor": F.round("factor", 6), "probability": F.round("probability", 6)}).drop("residual")

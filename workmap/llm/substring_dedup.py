@@ -131,7 +131,7 @@ def _cut(width: int, keep_text: bool, block_bytes: int):
             for k in range(b - a):
                 w0, w1 = int(words.first[k]), int(words.first[k + 1])
                 n = w1 - w0
-                lo, hi = (np.searchsorted(doc, [ids[a + k], ids[a + k] + 1]) if ids[a + k] is not None else (0, 0))
+                lo, hi = (np.searchsorted(doc, ids[a + k], side) for side in ("left", "right")) if ids[a + k] is not None else (0, 0)
                 spans = []
                 gone = None
                 if hi > lo:

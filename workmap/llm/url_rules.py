@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.llm.common import table, written
@@ -37,8 +37,8 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 #: Mining: share of labelled pages with a combination and a bad label, share of bad ones among those with the combination,
-#: how much more often bad than all pages, most tokens of a rule, most labelled pages, most tokens of a page that it is fitted on.
-SUPPORT, CONFIDENCE, LIFT, MOST_TOKENS, SAMPLE_ROWS, FIT_TOKENS = 0.002, 0.3, 1.5, 3, 50_000, 16
+#: how much more often bad than all pages, most tokens of a rule, most labelled pages that it is fitted on.
+SUPPORT, CONFIDENCE, LIFT, MOST_TOKENS, SAMPLE_ROWS = 0.002, 0.3, 1.5, 3, 50_000
 _BAD = "\u0000bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,48 +63,56 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(domains, words, folders, kind))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most_tokens: int = MOST_TOKENS, most_rows: int = SAMPLE_ROWS, fit_tokens: int = FIT_TOKENS) -> DataFrame:
-    """(rule_id, tokens, confidence, support) of combinations that go with bad pages, from labelled(id, tokens, bad).
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, most_tokens: int = MOST_TOKENS, most_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(rule_id, tokens, rarest, confidence, support) of combinations that go with bad pages, from labelled(id, tokens, bad).
 
-    Fitted on at most `most_rows` rows, taken by a hash of the id, and on the first `fit_tokens` tokens of each, which bounds the
-    combinations of a long path that many pages have. Tokens in nine tenths of the rows or more say little and are left out
-    before mining. Every rule of enough support, confidence and lift stays but those of which a part is as sure. A rule's id
-    is a hash of its tokens.
+    Fitted on at most `most_rows` rows, taken by a hash of the id, with all of their tokens. Tokens that the same rows have (the
+    folders of one long path, say) are mined as one, so that what always stands together doesn't multiply combinations, and come
+    apart again in the rules. Every rule of enough support, confidence and lift stays but those of which a part is as sure.
+    `rarest` is the token of a rule that the fewest rows have. A rule's id is a hash of its tokens.
     """
     spark = labelled.sparkSession
-    sample = written(labelled.where("size(tokens) > 0 and bad is not null").orderBy(F.xxhash64("id"), "id").limit(most_rows))
-    n = sample.count()
-    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    if not n:
-        return empty
-    common = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= n * 0.9).select(F.collect_list("t")).first()[0]
-    kept = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
-    items = sample.select(F.concat(F.slice(kept, 1, fit_tokens), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
+    sample = written(labelled.where("size(tokens) > 0 and bad is not null").orderBy(F.xxhash64("id"), "id").limit(most_rows).select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"))
+    if sample.isEmpty():
+        return spark.createDataFrame([], "rule_id long, tokens array<string>, rarest string, confidence double, support double")
+    # a token's rows, as a count and two sums of hashes; the smallest token stands for all with the same rows
+    each = sample.select("row", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    least = F.min("token").over(Window.partitionBy("n", "a", "b"))
+    held = written(held.where(F.col("n") >= 1).select("token", "n", least.alias("stands")))
+    bad = F.when(F.first("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))
+    rows = each.join(held.where("token = stands").select("token"), "token").join(sample.select("row", "bad"), "row").groupBy("row").agg(F.concat(F.collect_list("token"), bad).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows).associationRules
     rules = written(found.where(F.array_contains("consequent", _BAD) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     # every smaller combination of a rule's tokens, and whether it is a rule that is as sure
     bits = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2)
     part = F.expr("filter(tokens, (x, i) -> shiftright(bits, i) & 1 = 1)")
     smaller = rules.where(F.size("tokens") > 1).withColumn("bits", F.explode(bits)).select("tokens", "confidence", part.alias("part"))
     surer = smaller.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("tokens").distinct()
-    return written(rules.join(surer, "tokens", "left_anti").select(F.xxhash64(F.array_join("tokens", "\n")).alias("rule_id"), "tokens", "confidence", "support"))
+    open_ = rules.join(surer, "tokens", "left_anti").select(F.array().cast("array<struct<n:bigint,token:string>>").alias("own"), "tokens", "confidence", "support")
+    for _ in range(most_tokens):  # what each token stands for, one after another
+        member = held.select(F.col("stands").alias("next"), F.struct("n", "token").alias("member"))
+        ready, more = open_.where("size(tokens) = 0"), open_.where("size(tokens) > 0")
+        more = more.withColumn("next", F.col("tokens")[0]).join(member, "next").select(F.concat("own", F.array("member")).alias("own"), F.expr("slice(tokens, 2, size(tokens))").alias("tokens"), "confidence", "support")
+        open_ = ready.unionByName(more)
+    tokens = F.array_sort(F.transform("own", lambda x: x["token"]))
+    return written(open_.select(F.xxhash64(F.array_join(tokens, "\n")).alias("rule_id"), tokens.alias("tokens"), F.array_min("own")["token"].alias("rarest"), "confidence", "support"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, rule_id, confidence) of the surest rule that each row of urls(key, tokens) matches, by the inverted index of rules.
 
-    The index goes to where the URLs are if Spark finds it small enough to broadcast, else both meet by token. Only URLs with one
-    of its tokens go on, as one row for each URL and rule.
+    A rule stands in the index under its rarest token, so only URLs with that one meet it, and show there whether they have the
+    others. The index goes to where the URLs are if Spark finds it small enough to broadcast, else both meet by token.
     """
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    hits = urls.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    full = hits.groupBy("key", "rule_id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).where("n = need")
+    index = rules.select("rule_id", "confidence", F.col("tokens").alias("need"), F.col("rarest").alias("token"))
+    hits = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("need", "tokens")) == 0)
     best = F.max_by(F.struct("rule_id", "confidence"), F.struct("confidence", -F.col("rule_id")))
-    return full.groupBy("key").agg(best.alias("m")).select("key", "m.rule_id", "m.confidence")
+    return hits.groupBy("key").agg(best.alias("m")).select("key", "m.rule_id", "m.confidence")
 
 
 def fitting(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """(name, verdict) of the longest rule that fits, nulls without; of rules of one length the first."""
+    """(name, verdict) of the longest rule that fits, nulls without; of rules of one length the last."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r.name)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
