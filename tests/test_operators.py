@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from workmap.functions import scalar
-from workmap.operators import activity, cochange, graph, learn, records
+from workmap.operators import activity, cochange, graph, learn, records, spreading
 from workmap.plans import QUERIES, SQL, adapters, ranking
 from workmap.sources import readers
 
@@ -106,12 +107,46 @@ def test_rank_by_pushing_mass(spark):
     m = m / np.maximum(m.sum(0), 1e-300)
     mass = np.zeros(12)
     mass[0], mass[3] = 0.25, 0.75
-    score = np.zeros(12)
-    for _ in range(6):
-        score += 0.5 * mass
-        mass = 0.5 * m @ mass
-    got = {x.node: x.score for x in graph.spread(e, seeds, rounds=5).collect()}
-    assert all(got.get(k, 0.0) == pytest.approx(v, abs=1e-12) for k, v in enumerate(score))
+    exact = 0.5 * np.linalg.solve(np.eye(12) - 0.5 * m, mass)
+    for tolerance in (1e-3, 1e-9):
+        got = np.zeros(12)
+        for x in graph.spread(e, seeds, tolerance).collect():
+            got[x.node] = x.score
+        assert (got <= exact + 1e-12).all() and np.abs(exact - got).sum() <= tolerance
+
+
+def test_push_of_many_questions_over_kept_links(spark):
+    """Hot sources are dealt over rows; every question ends by its own mass left; no round shuffles or sorts the links."""
+    r = random.Random(8)
+    edges = [(0, d, 1.0) for d in range(1, 60)] + [(s, (s * 7 + k) % 60, 1.0 + k) for s in range(1, 60) for k in range(s % 4)] + [(5, 0, 0.0), (6, 0, -1.0)]
+    e = spark.createDataFrame(edges, "src long, dst long, w double")
+    links = spreading.Adjacency(e, row_links=8)
+    assert links.hot.count() == 1 and links.rows.where("src = 0").count() > 1
+    seeds = [(q, r.randrange(60), r.random()) for q in range(12) for _ in range(1 + q)] + [(99, 1, 0.0), (98, 4, 1e-4), (97, 4, 1.0), (97, 4, 2.0)]
+    state = spreading.push(links, spark.createDataFrame(seeds, "query long, node long, w double"), 1e-4)
+    m = np.zeros((60, 60))
+    for a, b, w in edges:
+        if w > 0:
+            m[b, a] += w
+    m = m / np.maximum(m.sum(0), 1e-300)
+    rows = state.collect()
+    assert {x.query for x in rows} == {q for q, _, w in seeds if w > 0}
+    for q in {x.query for x in rows}:
+        start, got = np.zeros(60), np.zeros(60)
+        for a, n, w in seeds:
+            start[n] += w if a == q else 0
+        left = sum(x.rest for x in rows if x.query == q)
+        for x in rows:
+            got[x.node] += x.kept if x.query == q else 0
+        exact = 0.5 * np.linalg.solve(np.eye(60) - 0.5 * m, start)
+        assert left <= 1e-4 and (got <= exact + 1e-12).all() and np.abs(exact - got).sum() <= left + 1e-12
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spreading.after(state, spreading.left_over(state, 0.0), links)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(re.findall(r"Exchange hashpartitioning\(src#\d+L, part#\d+", plan)) == 1 and "Bucketed: true" in plan  # what is pushed moves, the links don't
 
 
 def test_ranking_leaves_little_mass(spark, monkeypatch):

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.functions.scalar import LINK_DECAY, decayed, link_share
-from workmap.operators.scratch import checkpointed
+from workmap.operators.spreading import TELEPORT, TOLERANCE, Adjacency, push
 
-#: Weight of each type of edge; what a page rank returns to its seeds.
+#: Weight of each type of edge.
 TYPE_WEIGHT = {"structural": 1.0, "cochange": 0.6, "coaccess": 0.8, "about": 1.0, "containment": 0.1}
-TELEPORT = 0.5
 
 
 def weighed(edges: DataFrame, now, factor: float = LINK_DECAY) -> DataFrame:
@@ -29,21 +28,14 @@ def by_files(edges: DataFrame, file_of: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("f <> t").groupBy(F.col("f").alias("src"), F.col("t").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, teleport: float = TELEPORT) -> DataFrame:
-    """Personalised page rank: (node, score) after fixed rounds; mass at nodes without ways out is dropped.
-
-    Each round is a join on the source and a partial aggregate on the target. The edges' shares are computed once, and each
-    round's mass, one row for each node reached, is a checkpoint that both the next round and the sum of rounds read.
-    """
-    out = edges.groupBy("src").agg(F.sum("w").alias("whole")).where("whole > 0")
-    shares = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("whole")).alias("p")).repartition("src"))
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, teleport: float = TELEPORT) -> DataFrame:
+    """Personalised page rank of seeds(node, weight): (node, score), short of the exact ranks by at most `tolerance` in all; mass at nodes without ways out is dropped."""
     total = seeds.agg(F.sum("weight").alias("all"))
-    mass = checkpointed(seeds.crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("all")).alias("mass")))
-    score = mass
-    for _ in range(rounds):
-        mass = checkpointed(mass.join(shares, mass["node"] == shares["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p") * (1 - teleport)).alias("mass")))
-        score = score.unionByName(mass)
-    return score.groupBy("node").agg((F.sum("mass") * teleport).alias("score"))
+    start = seeds.crossJoin(total).select(F.lit(0).alias("query"), "node", (F.col("weight") / F.col("all")).alias("w"))
+    links = Adjacency(edges)
+    ranks = push(links, start, tolerance, teleport)
+    links.discard()
+    return ranks.where("kept > 0").select("node", F.col("kept").alias("score"))
 
 
 def strongest(links: DataFrame, most: int = 8) -> DataFrame:

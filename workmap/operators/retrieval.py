@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workmap.operators.graph import TELEPORT
-from workmap.operators.scratch import checkpointed
+from workmap.operators.scratch import discard, written
+from workmap.operators.spreading import TELEPORT, TOLERANCE, Adjacency, push
 
 #: Weights of seeds by source; how many edits, reads and changes count; bars of similarity.
 EDITED, READ, UNCOMMITTED, SIMILAR, NAMED_CHANGE, FAILURE_AGREED, FAILURE_ALONE, EXPLORED = 1.0, 0.4, 0.8, 0.6, 0.8, 1.0, 0.4, 0.05
@@ -114,29 +114,14 @@ def shares(weights: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- spreading
-def stepped(edges: DataFrame) -> DataFrame:
-    """(src, dst, p): what part of a node's mass goes along each of its edges."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("whole")).where("whole > 0")
-    return edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("whole")).alias("p"))
+def spread(links: Adjacency, seeds: DataFrame, inside: DataFrame | None = None, tolerance: float = TOLERANCE, teleport: float = TELEPORT) -> DataFrame:
+    """(query, node, kept): personalised page rank of all questions at once; of each at most `tolerance` of its mass is left to spread.
 
-
-def spread(steps: DataFrame, seeds: DataFrame, rounds: int = 10, teleport: float = TELEPORT, inside: DataFrame | None = None) -> DataFrame:
-    """(query, node, kept): personalised page rank of all questions at once; after k rounds at most (1 - teleport)^(k + 1) of a question's mass is left.
-
-    inside(query, node) keeps a question to its own nodes: steps(query, src, dst, p) then have a question, too. A round is one
-    join on the source and one partial aggregate; its mass is a checkpoint that the next round and the sum read.
+    inside(query, node) keeps a question's seeds to its own nodes; links of (query, src) then lead to no others.
     """
-    on = ["query", "src"] if "query" in steps.columns else ["src"]
-    steps = checkpointed(steps)
     if inside is not None:
         seeds = seeds.join(inside, ["query", "node"], "left_semi")
-    mass = checkpointed(seeds.select("query", "node", F.col("w").alias("mass")))
-    rounds_ = [mass]
-    for _ in range(rounds):
-        moved = mass.withColumnRenamed("node", "src").join(steps, on).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p") * (1 - teleport)).alias("mass"))
-        mass = checkpointed(moved)
-        rounds_.append(mass)
-    return reduce(DataFrame.unionByName, rounds_).groupBy("query", "node").agg((F.sum("mass") * teleport).alias("kept"))
+    return push(links, seeds, tolerance, teleport).where("kept > 0").select("query", "node", "kept")
 
 
 def scored(activation: DataFrame, standing: DataFrame, file_of: DataFrame) -> DataFrame:
@@ -154,15 +139,16 @@ def named_first(ranked: DataFrame, named: DataFrame) -> DataFrame:
     return marked.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("is_named"), "place")))
 
 
-def second_stage(ranked: DataFrame, edges: DataFrame, seeds: DataFrame, file_of: DataFrame, symbols: DataFrame, standing: DataFrame, staged: int = STAGED, rounds: int = 10) -> DataFrame:
+def second_stage(ranked: DataFrame, edges: DataFrame, seeds: DataFrame, file_of: DataFrame, symbols: DataFrame, standing: DataFrame, staged: int = STAGED) -> DataFrame:
     """(query, file, symbol, score): spreading inside the best files and their symbols only; edges(src, dst, w) of nodes."""
     best = ranked.where(F.col("place") <= staged).select("query", "file")
-    members = checkpointed(best.join(file_of, "file").select("query", "node"))
+    members = written(best.join(file_of, "file").select("query", "node"))
     own = edges.withColumnRenamed("src", "node").join(members, "node").withColumnRenamed("node", "src")
     own = own.join(members.withColumnRenamed("node", "dst"), ["query", "dst"])
-    out = own.groupBy("query", "src").agg(F.sum("w").alias("whole")).where("whole > 0")
-    steps = own.join(out, ["query", "src"]).select("query", "src", "dst", (F.col("w") / F.col("whole")).alias("p"))
-    within = spread(steps, seeds, rounds, inside=members)
+    links = Adjacency(own, ["query", "src"])
+    within = spread(links, seeds, inside=members)
+    links.discard()
+    discard(members)
     prior = F.when(F.col("tier") == "landmark", LANDMARK_PRIOR).when(F.col("tier") == "interesting", INTERESTING_PRIOR).otherwise(1.0)
     held = within.join(symbols, "node").join(standing.select("node", prior.alias("prior")), "node", "left")
     return held.select("query", "file", F.col("node").alias("symbol"), (F.col("kept") * F.coalesce("prior", F.lit(1.0))).alias("score")).where("score > 0")

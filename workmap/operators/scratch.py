@@ -1,8 +1,9 @@
-"""Checkpoints in the folder that all executors share."""
+"""Tables and checkpoints in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage."""
     scratch_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of files: cuts the lineage, and its scans prune columns, push filters down and know their size."""
+    path = f"{scratch_dir(df.sparkSession)}/workmap/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def bucketed(df: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """df as a written table in n buckets of the columns: joins and groups on them read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"workmap_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/workmap/{name}"
+    df.repartition(n, *columns).write.bucketBy(n, *columns).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_at, out.written_as = path, name
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    spark = df.sparkSession
+    if name := getattr(df, "written_as", None):
+        spark.sql(f"drop table if exists {name}")
+    if path := getattr(df, "written_at", None):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

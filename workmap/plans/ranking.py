@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workmap.operators import graph, learn, records
+from workmap.operators import graph, learn, records, spreading
 from workmap.plans.adapters import EDGES, edges, table
 from workmap.plans.registry import query
 
@@ -32,25 +32,18 @@ def graph_by_files(spark, d):
     return graph.by_files(w, of).withColumn("w", F.round("w", 4))
 
 
-#: Rounds after which at most 0.5**11 of the mass is left, where 1e-3 is asked for.
-_ROUNDS = 10
+#: Rounds written out in SQL: more than it takes until at most 1e-3 of the mass is left.
+_ROUNDS = 16
 
 
-def _ppr_sql(rounds: int) -> str:
-    mass = "".join(f", m{k} as materialized (select dst node, sum(mass * p * 0.5) mass from m{k - 1} join sh on src = node group by 1)" for k in range(1, rounds + 1))
-    seeds = ", sh as materialized (select src, dst, w / sum(w) over (partition by src) p from g), m0 as (select p_partkey node, 1.0::double / count(*) over () mass from part where p_size = 1)"
-    return f"with {WEIGHED}{seeds}{mass} select node, round(sum(mass * 0.5), 6) score from ({' union all '.join(f'select * from m{k}' for k in range(rounds + 1))}) group by 1"
-
-
-def _ppr(spark, d):
+@query(f"""with {WEIGHED}, sh as materialized (select src, dst, w / sum(w) over (partition by src) p from g where w > 0), m as (select 0 query, p_partkey node, 1.0::double / count(*) over () w from part where p_size = 1),
+{spreading.exact_sql("m", "sh", _ROUNDS)}
+select node, round(kept, 6) score from z{_ROUNDS} where kept > 0""")
+def ppr_scores(spark, d):
+    """Page rank from the small parts, until at most a thousandth of the mass is left to spread."""
     g = _weighed(spark, d).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("weight"))
-    return graph.spread(g, seeds, rounds=_ROUNDS).withColumn("score", F.round("score", 6))
-
-
-@query(_ppr_sql(_ROUNDS))
-def ppr_scores(spark, d):
-    return _ppr(spark, d)
+    return graph.spread(g, seeds).withColumn("score", F.round("score", 6))
 
 
 LINKS = EDGES + ", ln_ as (select least(src, dst) a, greatest(src, dst) b, max(w) weight from ed where type = 'cochange' group by 1, 2)"

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.functions.scalar import identifier_tokens
-from workmap.operators import graph, search
+from workmap.operators import graph, search, spreading
 from workmap.operators import retrieval as R
-from workmap.operators.scratch import checkpointed
+from workmap.operators.scratch import written
 from workmap.plans.relations import SYMBOL_NODES, Relations, statement
 from workmap.plans.text import POSTINGS
 
-_ROUNDS = 10
+#: Rounds written out in SQL: more than any question takes.
+_ROUNDS = 16
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 _SQL = f"""
@@ -64,10 +65,9 @@ exn as (select query, dst node, max(t.w) link from sbest join two t using (src)
 exp_ as (select query, node, 0.05::double w from exn where not exists (select 1 from fnd where fnd.query = exn.query and fnd.node = exn.node) qualify row_number() over (partition by query order by round(link, 9) desc, node) <= 20),
 sds as (select query, node, sum(w) w from (select * from fnd union all select * from exp_) group by 1, 2),
 shr as (select query, node, w / sum(w) over (partition by query) w from sds where w > 0),
-stp as materialized (select src, dst, w / sum(w) over (partition by src) p from fe),
-m0 as materialized (select query, node, w mass from shr)
-{"".join(f", m{k} as materialized (select query, dst node, sum(mass * p * 0.5) mass from m{k - 1} join stp on src = node group by 1, 2)" for k in range(1, _ROUNDS + 1))},
-act as materialized (select query, node, sum(mass) * 0.5 kept from ({" union all ".join(f"select * from m{k}" for k in range(_ROUNDS + 1))}) group by 1, 2),
+stp as materialized (select src, dst, w / sum(w) over (partition by src) p from fe where w > 0),
+{spreading.exact_sql("shr", "stp", _ROUNDS, name="m")},
+act as materialized (select query, node, kept from m{_ROUNDS} where kept > 0),
 std as (select file_id node, case when score >= 4.8 then 'landmark' when score > 3 then 'interesting' else 'dark' end tier, flags & 3 = 0 is_listed from files join interest on node_id = file_id),
 sco as (select query, node file, sum(kept * case tier when 'landmark' then 1.5 when 'interesting' then 1.25 else 1.0 end) score, sum(kept) activation from act join std using (node) where is_listed group by 1, 2),
 rk0 as (select *, row_number() over (partition by query order by round(score, 9) desc, file) place from sco),
@@ -103,10 +103,10 @@ lsd as (select query, file, reason, k place from (select query, file, reason, ro
 _STAGE2 = f""",
 mem as materialized (select query, node from rk join fo using (file) where place <= 30),
 tw as (select src, dst, sum(w) w from two group by 1, 2),
-own2 as materialized (select a.query, src, dst, w / sum(w) over (partition by a.query, src) p from tw join mem a on a.node = src join mem b on b.node = dst and b.query = a.query),
-s0 as materialized (select query, node, w mass from shr join mem using (query, node))
-{"".join(f", s{k} as materialized (select own2.query, dst node, sum(mass * p * 0.5) mass from s{k - 1} z join own2 on own2.query = z.query and src = node group by 1, 2)" for k in range(1, _ROUNDS + 1))},
-wit as materialized (select query, node, sum(mass) * 0.5 kept from ({" union all ".join(f"select * from s{k}" for k in range(_ROUNDS + 1))}) group by 1, 2),
+own2 as materialized (select a.query, src, dst, w / sum(w) over (partition by a.query, src) p from tw join mem a on a.node = src join mem b on b.node = dst and b.query = a.query where w > 0),
+in2 as (select query, node, w from shr join mem using (query, node)),
+{spreading.exact_sql("in2", "own2", _ROUNDS, keyed=True, name="s")},
+wit as materialized (select query, node, kept from s{_ROUNDS} where kept > 0),
 sym2 as (select query, symbols.file_id file, node symbol, kept score from wit join symbols on symbol_id + {SYMBOL_NODES} = node where kept > 0)
 """
 
@@ -123,7 +123,7 @@ class Stages:
 
     @cached_property
     def post(self) -> DataFrame:
-        return checkpointed(search.postings(self.r.table("documents"), "doc_id", "text"))
+        return written(search.postings(self.r.table("documents"), "doc_id", "text"))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -133,7 +133,7 @@ class Stages:
     def lexical(self) -> DataFrame:
         rare, stats = search.rare_terms(self.post, self.terms, search.text_stats(self.post, self.r.table("documents")))
         hits = search.bm25(self.post, rare, stats, 50).select("query", F.col("doc").alias("node"), "score")
-        return checkpointed(R.over_best(hits))
+        return written(R.over_best(hits))
 
     @cached_property
     def top_lexical(self) -> DataFrame:
@@ -200,7 +200,7 @@ class Stages:
 
     @cached_property
     def others(self) -> DataFrame:
-        return checkpointed(R.summed(self.lexical, self.session, self.uncommitted, self.similar, self.history))
+        return written(R.summed(self.lexical, self.session, self.uncommitted, self.similar, self.history))
 
     @cached_property
     def failure(self) -> DataFrame:
@@ -222,7 +222,7 @@ class Stages:
 
     @cached_property
     def weighed(self) -> DataFrame:
-        return checkpointed(graph.weighed(self.raw, F.lit(200)))
+        return written(graph.weighed(self.raw, F.lit(200)))
 
     @cached_property
     def file_of(self) -> DataFrame:
@@ -235,11 +235,14 @@ class Stages:
 
     @cached_property
     def shares(self) -> DataFrame:
-        return checkpointed(R.shares(R.summed(self.found, self.explored)))
+        return written(R.shares(R.summed(self.found, self.explored)))
 
     @cached_property
     def activation(self) -> DataFrame:
-        return checkpointed(R.spread(R.stepped(graph.by_files(self.weighed, self.file_of)), self.shares, _ROUNDS))
+        links = spreading.Adjacency(graph.by_files(self.weighed, self.file_of))
+        found = R.spread(links, self.shares)
+        links.discard()
+        return found
 
     @cached_property
     def standing(self) -> DataFrame:
@@ -260,14 +263,14 @@ class Stages:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return checkpointed(R.named_first(self.scored, self.named))
+        return written(R.named_first(self.scored, self.named))
 
     @cached_property
     def partners(self) -> DataFrame:
         of = self.file_of
         lifted = self.weighed.where("type in ('structural', 'cochange', 'coaccess')").join(of.select(F.col("node").alias("src"), "file"), "src").join(of.select(F.col("node").alias("dst"), F.col("file").alias("other")), "dst")
         seeds = self.lexical.select("query", "node").unionByName(self.session.select("query", "node")).unionByName(self.similar.select("query", "node"))
-        return checkpointed(R.partners(self.ranked, lifted.select("file", "other", F.col("type").alias("kind"), "peak"), seeds))
+        return written(R.partners(self.ranked, lifted.select("file", "other", F.col("type").alias("kind"), "peak"), seeds))
 
     @cached_property
     def supported(self) -> DataFrame:
@@ -307,19 +310,7 @@ class Stages:
     def symbols(self) -> DataFrame:
         edges = self.weighed.groupBy("src", "dst").agg(F.sum("w").alias("w"))
         symbols = self.r.symbols.select((F.col("symbol_id") + SYMBOL_NODES).alias("node"), F.col("file_id").alias("file"))
-        return R.second_stage(self.ranked, edges, self.shares, self.file_of, symbols, self.standing, rounds=_ROUNDS)
-
-
-_latest: dict[tuple[str, str], Stages] = {}
-
-
-def _stages(r: Relations) -> Stages:
-    """The stages of a folder, kept for the session's next query of the same one: what they have checkpointed is read again instead of made again. Tables are snapshots; a folder whose files have changed is a new one."""
-    key = (r.spark.sparkContext.applicationId, r.d)
-    if key not in _latest:
-        _latest.clear()
-        _latest[key] = Stages(r)
-    return _latest[key]
+        return R.second_stage(self.ranked, edges, self.shares, self.file_of, symbols, self.standing)
 
 
 def stage(select: str, chain: str = _SQL):
@@ -327,7 +318,7 @@ def stage(select: str, chain: str = _SQL):
 
     def add(f):
         def plan(r):
-            return f(_stages(r))
+            return f(Stages(r))
 
         plan.__name__ = f.__name__
         statement(f"with {chain.strip()} {select}")(plan)
