@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workmap.functions.scalar import HALF_LIFE, MAX_PARTNERS, MIN_COCHANGES, MIN_CONFIDENCE, commit_weight, partner_rank
+from workmap.operators.scratch import discard, written
 
 
 def numbered(df: DataFrame, bucket, order: list, name: str = "seq") -> DataFrame:
@@ -28,6 +29,44 @@ def commit_files(changes: DataFrame, commits: DataFrame, max_files: int) -> Data
     return once.join(sizes, "commit").join(commits, "commit").select("seq", "file")
 
 
+def renames_followed(changes: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(path, since, until, name) of changes(seq, path, renamed_from): what a path of commits since <= seq < until is called now.
+
+    A path that a commit renames is, in older commits, the file of that commit's new path; from the commit on it is another file,
+    if it is used again. So each renaming of a path ends a stretch of it, and leads to the stretch of the new path that the
+    commit itself lies in. Where stretches lead to is found by doubling: each round a stretch takes over the name, and the
+    next stretch, of the one it leads to, so a chain of n renames takes log2(n) rounds. Stretches lead to later commits
+    only, so there are no circles, even where a commit swaps two paths. Commits that aren't to count must be left out.
+    """
+    renamed = changes.where("renamed_from is not null").groupBy(F.col("renamed_from").alias("path"), F.col("seq").alias("until")).agg(F.max("path").alias("name"))
+    before = Window.partitionBy("path").orderBy("until")
+    stretches = written(renamed.withColumn("since", F.coalesce(F.lag("until").over(before), F.lit(-1).cast("long"))))
+    onto = stretches.select(F.col("path").alias("name"), F.col("since").alias("s"), F.col("until").alias("next"))
+    # the stretch that a renaming leads to holds the renaming's own commit
+    led = stretches.join(onto, "name", "left").withColumn("next", F.when((F.col("s") <= F.col("until")) & (F.col("until") < F.col("next")), F.col("next")))
+    now = written(led.groupBy("path", "since", "until", "name").agg(F.max("next").alias("next")))
+    discard(stretches)
+    for _ in range(most_rounds):
+        if now.where("next is not null").isEmpty():
+            return now.drop("next")
+        then = now.select(F.col("path").alias("name"), F.col("until").alias("next"), F.col("name").alias("n"), F.col("next").alias("x"))
+        joined = now.join(then, ["name", "next"], "left")
+        before_, now = now, written(joined.select("path", "since", "until", F.when(F.col("next").isNotNull(), F.col("n")).otherwise(F.col("name")).alias("name"), F.col("x").alias("next")))
+        discard(before_)
+    raise RuntimeError("renames did not settle")
+
+
+def under_todays_names(changes: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """(seq, file) of changes(seq, path, renamed_from) under the names that files have now; with current(file), those that exist only.
+
+    Paths that were never renamed are joined to nothing; of one that was, a change meets at most the stretches of its own path.
+    """
+    names = renames_followed(changes).select(F.col("path").alias("p"), "since", "until", "name")
+    inside = (F.col("path") == F.col("p")) & (F.col("since") <= F.col("seq")) & (F.col("seq") < F.col("until"))
+    files = changes.select("seq", "path").distinct().join(names, inside, "left").select("seq", F.coalesce("name", "path").alias("file")).distinct()
+    return files if current is None else files.join(current.select("file"), "file", "left_semi").select("seq", "file")
+
+
 def file_commits(files: DataFrame, anchor, half_life: float = HALF_LIFE) -> DataFrame:
     return files.groupBy("file").agg(F.count("*").alias("commits"), F.sum(commit_weight(anchor, F.col("seq"), half_life)).alias("weighted"))
 

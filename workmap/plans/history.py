@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import prefixes, scale_mode
 from workmap.operators import cochange
-from workmap.plans.adapters import COMMITS, PARTNERS, anchor, commit_files, table
+from workmap.operators.scratch import written
+from workmap.plans.adapters import COMMITS, MAX_FILES, PARTNERS, anchor, commit_files, commits, table
 from workmap.plans.registry import query
 
 
@@ -45,6 +46,49 @@ def cochange_merge(spark, d):
     return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"]).withColumn("weighted", F.round("weighted", 6))
 
 
+#: A history of renames: a returned part takes the place of the one after it, whose path may be used again, and is, by later orders.
+_MOVES = f"""with recursive {COMMITS.strip()},
+mv as (select seq, l_partkey path, case when bool_or(l_returnflag = 'R') then l_partkey + 1 end renamed_from from lineitem join commits on c = l_orderkey where seq in (select seq from cf) group by 1, 2),
+ev as (select renamed_from path, seq until, max(path) as name from mv where renamed_from is not null group by 1, 2),
+sv as materialized (select *, coalesce(lag(until) over (partition by path order by until), -1) since from ev),
+rw as (select path, since, until, name, until at_ from sv union all select rw.path, rw.since, rw.until, sv.name, sv.until from rw join sv on sv.path = rw.name and sv.since <= rw.at_ and rw.at_ < sv.until),
+nw as (select path, since, until, arg_max(name, at_) as name from rw group by 1, 2, 3),
+rf as (select distinct seq, coalesce(name, mv.path) f from mv left join nw on nw.path = mv.path and since <= seq and seq < until where coalesce(name, mv.path) in (select p_partkey from part))"""
+
+
+def _moves(spark, d):
+    """(seq, path, renamed_from) of the commits that count."""
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("moved"))
+    sizes = o.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= MAX_FILES).select("commit")
+    counted = o.join(sizes, "commit").join(commits(spark, d), "commit")
+    return counted.select("seq", "path", F.when(F.col("moved"), F.col("path") + 1).alias("renamed_from"))
+
+
+def _todays(spark, d):
+    return cochange.under_todays_names(written(_moves(spark, d)), table(spark, d, "part").select(F.col("p_partkey").alias("file")))
+
+
+@query(f"{_MOVES} select path, since, until, name from nw")
+def renames_followed(spark, d):
+    """What each path that was ever renamed is called now, by the commits for which it is."""
+    return cochange.renames_followed(written(_moves(spark, d))).select("path", "since", "until", "name")
+
+
+@query(f"{_MOVES} select x.f file_a, y.f file_b, count(*) commits, round(sum(pow(0.5, (a - x.seq) / 500.0)), 6) weighted, max(x.seq) last_seq from rf x join rf y on x.seq = y.seq and x.f < y.f, a group by 1, 2")
+def cochange_renamed_pairs(spark, d):
+    """Pairs of files over their whole history, renames followed."""
+    files = _todays(spark, d)
+    newest = commit_files(spark, d).agg(F.max("anchor").alias("anchor"))
+    return cochange.pair_commits(files.crossJoin(newest), F.col("anchor")).withColumn("weighted", F.round("weighted", 6))
+
+
+@query(f"{_MOVES} select f file, count(*) commits, round(sum(pow(0.5, (a - seq) / 500.0)), 6) weighted from rf, a group by 1")
+def cochange_renamed_file_commits(spark, d):
+    files = _todays(spark, d)
+    newest = commit_files(spark, d).agg(F.max("anchor").alias("anchor"))
+    return cochange.file_commits(files.crossJoin(newest), F.col("anchor")).withColumn("weighted", F.round("weighted", 6))
+
+
 def part_paths(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.concat_ws("/", F.lower("p_brand"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))).alias("path"), F.col("p_size").alias("loc"))
 
