@@ -16,15 +16,17 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def term_counts(docs: DataFrame, ident: str, tokens: Column) -> DataFrame:
-    """(doc, term, tf, length) of rows whose `ident` is unique: terms are counted inside their row, so nothing is shuffled."""
+def term_counts(docs: DataFrame, ident: str, tokens: Column, gathered: bool = False) -> DataFrame:
+    """(doc, term, tf, length) of rows whose `ident` is unique: terms are counted inside their row, so nothing is shuffled. gathered: a row a document, with `runs` of (term, tf)."""
     rows = docs.select(F.col(ident).alias("doc"), F.sort_array(tokens).alias("t")).withColumn("length", F.size("t"))
     # in a sorted list a term's run begins where it differs from the one before; its length is the distance to the next beginning
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("length"), F.lit(1)) - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     rows = rows.withColumn("b", begins)
     ends = F.concat(F.slice("b", 2, F.size("b")), F.array(F.col("length")))
-    runs = F.zip_with("b", ends, lambda b, e: F.struct(F.get("t", b).alias("term"), (e - b).cast("long").alias("tf")))
-    return rows.select("doc", "length", F.explode(runs).alias("r")).where("r.tf > 0").select("doc", "r.term", "r.tf", "length")
+    runs = F.filter(F.zip_with("b", ends, lambda b, e: F.struct(F.get("t", b).alias("term"), (e - b).cast("long").alias("tf"))), lambda r: r["tf"] > 0)
+    if gathered:
+        return rows.select("doc", "length", runs.alias("runs"))
+    return rows.select("doc", "length", F.explode(runs).alias("r")).select("doc", "r.term", "r.tf", "length")
 
 
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
