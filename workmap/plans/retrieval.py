@@ -14,8 +14,9 @@ from workmap.functions.scalar import identifier_tokens
 from workmap.operators import graph, search, spreading
 from workmap.operators import retrieval as R
 from workmap.operators.scratch import written
+from workmap.operators.search_index import SearchIndex
 from workmap.plans.relations import SYMBOL_NODES, Relations, statement
-from workmap.plans.text import POSTINGS
+from workmap.plans.text import POSTINGS, document_index, looked_up
 
 #: Rounds written out in SQL: more than any question takes.
 _ROUNDS = 16
@@ -122,8 +123,8 @@ class Stages:
         return self.r.table("benchmark").select(F.col("item_id").alias("query"), "text")
 
     @cached_property
-    def post(self) -> DataFrame:
-        return written(search.postings(self.r.table("documents"), "doc_id", "text"))
+    def index(self) -> SearchIndex:
+        return document_index(self.r.spark, self.r.d)
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -131,15 +132,14 @@ class Stages:
 
     @cached_property
     def lexical(self) -> DataFrame:
-        rare, stats = search.rare_terms(self.post, self.terms, search.text_stats(self.post, self.r.table("documents")))
-        hits = search.bm25(self.post, rare, stats, 50).select("query", F.col("doc").alias("node"), "score")
+        hits = self.index.top(looked_up(self.index, self.terms), 50).select("query", F.col("doc").alias("node"), "score")
         return written(R.over_best(hits))
 
     @cached_property
     def top_lexical(self) -> DataFrame:
-        stats = search.text_stats(self.post, self.r.table("documents"))
-        covered = search.coverage(self.post, self.terms, stats).withColumnRenamed("doc", "node")
-        return covered.join(self.lexical.select("query", "node"), ["query", "node"]).groupBy("query").agg(F.max("coverage").alias("top_lexical"))
+        """Of the hits alone: what they hold of the question's words."""
+        covered = self.index.covered(self.lexical.select("query", F.col("node").alias("doc")), self.index.weights(self.terms))
+        return covered.groupBy("query").agg(F.max("coverage").alias("top_lexical"))
 
     @cached_property
     def counted(self) -> DataFrame:
@@ -450,5 +450,25 @@ def in_context_spans(s):
 @stage("select query, term, k::int place from rare")
 def looked_up_words(s):
     """The rarest words of a question that aren't common."""
-    stats = search.text_stats(s.post, s.r.table("documents"))
-    return search.rare_terms(s.post, s.terms, stats)[0].select("query", "term", F.col("k").alias("place"))
+    return looked_up(s.index, s.terms).select("query", "term", F.col("k").alias("place"))
+
+
+#: A model of six features, fitted elsewhere, in the form of the store's: an intercept and what each feature adds; its bar, and how much poor precision raises it.
+_MODEL = {"top_lexical": 4.0, "top_mass": 1.5, "agreeing_kinds": 0.6, "supporting_kinds": 0.3}
+_LEAST, _WANTED = 0.7, 0.9
+_MODELLED = f""",
+cal as (select intercept from calibration order by version desc limit 1),
+pr as (select greatest({_WANTED} - avg(case when quality = 1 then 1.0 else 0.0 end), 0) raised from (select quality from labels order by doc_id desc limit 100)),
+mo as (select gts.*, 1 / (1 + exp(-(-intercept - 4 + {" + ".join(f"{w} * {n}" for n, w in _MODEL.items())}))) probability, greatest(least({_LEAST} + raised, 0.9), {_LEAST}) bar, raised from gts, cal, pr),
+mv as (select query, probability, bar, case when history_alone then 'too_few_kinds' when probability >= bar then 'calibrated' else 'unlikely' end verdict from mo)"""
+
+
+@stage("select query, round(probability, 6) probability, round(bar, 6) bar, verdict from mv", _SQL + _MODELLED)
+def gate_verdicts_modelled(s):
+    """The gate where a calibrated model decides: its probability against a bar that the latest labels' precision raises."""
+    latest = s.r.calibration.orderBy(F.desc("version")).limit(1).select("intercept")
+    given = s.r.table("labels").orderBy(F.desc("doc_id")).limit(100).agg(F.avg((F.col("quality") == 1).cast("double")).alias("precision"))
+    raised = given.select(F.greatest(F.lit(_WANTED) - F.col("precision"), F.lit(0.0)).alias("raised"))
+    logit = -F.col("intercept") - 4 + sum((F.lit(w) * F.col(n) for n, w in _MODEL.items()), F.lit(0.0))
+    modelled = s.features.crossJoin(latest).crossJoin(raised).withColumns({"probability": 1 / (1 + F.exp(-logit)), "bar": R.confidence_bar(F.lit(_LEAST), F.lit("medium"), F.col("raised"))})
+    return R.decided(modelled, F.col("raised")).select("query", F.round("probability", 6).alias("probability"), F.round("bar", 6).alias("bar"), "verdict")

@@ -32,17 +32,17 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(identifier_tokens(F.col("text"))).alias("term")).distinct()
 
 
-def _index(spark, d):
+def document_index(spark, d):
     index = SearchIndex(spark, f"{scratch_dir(spark)}/index/{uuid.uuid4().hex}", identifier_tokens)
     index.insert(_documents(spark, d), "doc_id", "text")
     return index
 
 
-def _rare(index, queries):
+def looked_up(index, queries):
     """The rarest words of each question, 24 at most, in at most 5 % of the documents, or 20."""
     bar = index.stats().select(F.greatest(F.ceil(F.col("rows") * 0.05), F.lit(20)).alias("bar"))
     rare = queries.join(index.holding(queries), "term").crossJoin(F.broadcast(bar)).where("df <= bar")
-    return rare.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))).where("k <= 24").select("query", "term")
+    return rare.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))).where("k <= 24").select("query", "term", "k")
 
 
 @query(f"with {POSTINGS} select term, df from df")
@@ -57,8 +57,8 @@ s as (select query, doc, round(sum(greatest(ln((n_rows - df + 0.5) / (df + 0.5))
 select query, doc, score, row_number() over (partition by query order by score desc, doc)::int place from s qualify place <= 50""")
 def bm25_top(spark, d):
     """The best documents of each item by its rarest words; words in over 5 % of the documents (and over 20) are not looked up."""
-    index = _index(spark, d)
-    return index.top(_rare(index, _queries(spark, d)), 50)
+    index = document_index(spark, d)
+    return index.top(looked_up(index, _queries(spark, d)), 50)
 
 
 @query(f"""with {POSTINGS}, i as (select query, term, ln(1 + (n_rows - df + 0.5) / (df + 0.5)) idf from qt join df using (term), st),
@@ -66,7 +66,7 @@ w as (select query, greatest(sum(idf), 2 * (select ln(1 + (n_rows - ceil(n_rows
 m as (select query, doc, sum(idf) matched from po join i using (term) group by 1, 2)
 select query, doc, round(least(matched / whole, 1.0), 6) coverage from m join w using (query) where round(least(matched / whole, 1.0), 6) >= 0.4""")
 def lexical_coverage(spark, d):
-    return _index(spark, d).coverage(_queries(spark, d), 0.4)
+    return document_index(spark, d).coverage(_queries(spark, d), 0.4)
 
 
 _UPKEEP = f"""{POSTINGS.strip().replace("from documents)", "from (select doc_id + case when doc_id % 7 = 0 then 10000000 else 0 end doc_id, case when doc_id % 5 = 0 then text || ' renewed ' || source else text end text from documents where doc_id % 3 <> 0 or doc_id % 5 = 0))", 1)},
@@ -76,7 +76,7 @@ s as (select query, doc, round(sum(greatest(ln((n_rows - df + 0.5) / (df + 0.5))
 
 def _kept_up(spark, d):
     """The index after upkeep: a third of the documents deleted, a seventh under new ids, a fifth with new texts, also of those deleted."""
-    index = _index(spark, d)
+    index = document_index(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     moved = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id"))
     index.delete(docs.where("doc_id % 3 = 0"), "doc_id")
@@ -90,14 +90,14 @@ def _kept_up(spark, d):
 def search_after_upkeep(spark, d):
     """Questions to an index that documents were put in and taken out of: each sees all generations."""
     index = _kept_up(spark, d)
-    return index.top(_rare(index, _queries(spark, d)), 50)
+    return index.top(looked_up(index, _queries(spark, d)), 50)
 
 
 @query(f"with {_UPKEEP} select query, doc, score, row_number() over (partition by query order by score desc, doc)::int place from s qualify place <= 50")
 def search_after_compaction(spark, d):
     """The same from one generation that holds what is live."""
     index = _kept_up(spark, d).compacted(f"{scratch_dir(spark)}/index/{uuid.uuid4().hex}")
-    return index.top(_rare(index, _queries(spark, d)), 50)
+    return index.top(looked_up(index, _queries(spark, d)), 50)
 
 
 @query("""with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) w from conversations),
