@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from workmap.operators.scratch import bucketed, discard, written
@@ -56,13 +56,14 @@ def left_over(state: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return state.where("rest > 0").groupBy("query").agg(F.sum("rest").alias("left"), F.count("*").alias("n")).where(F.col("left") > tolerance)
 
 
-def after(state: DataFrame, left: DataFrame, links: Adjacency, teleport: float = TELEPORT) -> DataFrame:
-    """The state after a round: what is pushed is kept in part, its other part goes to the links, or is dropped where there are none."""
+def after(state: DataFrame, left: DataFrame, links: Adjacency, teleport: float = TELEPORT, seen: Observation | None = None) -> DataFrame:
+    """The state after a round: what is pushed is kept in part, its other part goes to the links, or is dropped where there are none. `seen` gets how many nodes were pushed."""
     enough = (F.col("rest") > 0) & (F.col("rest") * F.col("n") * HALF >= F.col("left"))
     marked = state.join(left, "query", "left").select("query", "node", "kept", "rest", F.coalesce(enough, F.lit(False)).alias("push"))
-    own = marked.select("query", "node", F.when(F.col("push"), F.col("kept") + teleport * F.col("rest")).otherwise(F.col("kept")).alias("kept"), F.when(F.col("push"), 0.0).otherwise(F.col("rest")).alias("rest"))
     pushed = marked.where("push").select("query", F.col("node").alias("src"), "rest")
     given = links.moved(pushed).select("query", F.col("dst").alias("node"), F.lit(0.0).alias("kept"), (F.col("rest") * (1 - teleport) * F.col("share")).alias("rest"))
+    marked = marked if seen is None else marked.observe(seen, F.count_if("push").alias("pushed"))
+    own = marked.select("query", "node", F.when(F.col("push"), F.col("kept") + teleport * F.col("rest")).otherwise(F.col("kept")).alias("kept"), F.when(F.col("push"), 0.0).otherwise(F.col("rest")).alias("rest"))
     return own.unionByName(given).groupBy("query", "node").agg(F.sum("kept").alias("kept"), F.sum("rest").alias("rest"))
 
 
@@ -70,15 +71,16 @@ def push(links: Adjacency, seeds: DataFrame, tolerance: float = TOLERANCE, telep
     """(query, node, kept, rest) from seeds(query, node, w): all questions at once, each until at most `tolerance` of its mass is left.
 
     kept is never over the exact rank of the node, and falls short of it by at most `tolerance` over all nodes. Seeds that aren't
-    above zero are left out; equal ones add up. Each round is one written table of the nodes that questions have reached.
+    above zero are left out; equal ones add up. Each round is one written table of the nodes that questions have reached, and
+    counts what it pushed as it is written; the round that pushes nothing is the last.
     """
     state = written(seeds.where("w > 0").groupBy("query", "node").agg(F.lit(0.0).alias("kept"), F.sum("w").alias("rest")))
     for _ in range(most_rounds):
-        left = left_over(state, tolerance)
-        if left.isEmpty():
-            return state
-        before, state = state, written(after(state, left, links, teleport))
+        seen = Observation()
+        before, state = state, written(after(state, left_over(state, tolerance), links, teleport, seen))
         discard(before)
+        if not seen.get["pushed"]:
+            return state
     raise RuntimeError(f"more than {tolerance} of a question's mass is left after {most_rounds} rounds")
 
 

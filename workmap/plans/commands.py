@@ -78,11 +78,11 @@ def failing_signatures(r):
 #: Words that say nothing about a question.
 STOP_WORDS = ("the", "a", "an", "to", "in", "of", "and", "is", "it", "for", "on", "with", "this", "that", "please", "fix")
 _PROMPT = "'Please fix ' || name || ' in ' || path || ':' || cast(start_line as string) || ' and the ' || kind || ' ' || name"
-_PROMPTS = f"pr as (select symbol_id query, {_PROMPT} prompt from symbols join files using (file_id) where symbol_id % 9 = 0)"
+_PROMPTS = f"pr as (select symbol_id query, {_PROMPT} prompt from symbols join files using (file_id))"
 
 
 def _prompts(r):
-    return r.symbols.where("symbol_id % 9 = 0").join(r.files.select("file_id", "path"), "file_id").select(F.col("symbol_id").alias("query"), F.expr(_PROMPT).alias("prompt"))
+    return r.symbols.join(r.files.select("file_id", "path"), "file_id").select(F.col("symbol_id").alias("query"), F.expr(_PROMPT).alias("prompt"))
 
 
 @statement(f"with {_PROMPTS}, w as (select query, unnest(list_filter(regexp_split_to_array(lower(prompt), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) word from pr) select query, word, count(*) n from w where word not in {STOP_WORDS} group by 1, 2")
@@ -113,10 +113,10 @@ def prominent_mentions(r):
     return c.withColumn("prominence", F.col("n") / F.max("n").over(w)).withColumn("k", k).where("k <= 3").select("query", F.col("m").alias("mention"), "prominence")
 
 
-@statement("with p as (select number, 'see #' || number || ' and !' || (number + 7) || ' not the #1 thing, color #ffaa' || (number % 10) || '0, commit ' || substr(oid, 1, 8) || ' or 1st' prompt from cards where number % 6 = 0), x as (select number, unnest(regexp_extract_all(prompt, '(?:^|[^A-Za-z0-9])([#!][0-9]+)(?:[^A-Za-z0-9]|$)', 1)) n from p) select number query, n named from x where substr(n, 2)::bigint >= 10 union all select number, c from (select number, unnest(regexp_extract_all(prompt, '(?:^|[^A-Za-z0-9#])([0-9a-f]{7,40})(?:[^A-Za-z0-9]|$)', 1)) c from p)")
+@statement("with p as (select number, 'see #' || number || ' and !' || (number + 7) || ' not the #1 thing, color #ffaa' || (number % 10) || '0, commit ' || substr(oid, 1, 8) || ' or 1st' prompt from cards), x as (select number, unnest(regexp_extract_all(prompt, '(?:^|[^A-Za-z0-9])([#!][0-9]+)(?:[^A-Za-z0-9]|$)', 1)) n from p) select number query, n named from x where substr(n, 2)::bigint >= 10 union all select number, c from (select number, unnest(regexp_extract_all(prompt, '(?:^|[^A-Za-z0-9#])([0-9a-f]{7,40})(?:[^A-Za-z0-9]|$)', 1)) c from p)")
 def named_changes(r):
     """Change numbers and beginnings of commit ids in a prompt; small numbers, ordinals and colours aren't any."""
-    c = r.cards.where("number % 6 = 0").select("number", F.expr("concat('see #', number, ' and !', number + 7, ' not the #1 thing, color #ffaa', number % 10, '0, commit ', substr(oid, 1, 8), ' or 1st')").alias("prompt"))
+    c = r.cards.select("number", F.expr("concat('see #', number, ' and !', number + 7, ' not the #1 thing, color #ffaa', number % 10, '0, commit ', substr(oid, 1, 8), ' or 1st')").alias("prompt"))
     numbers = c.select(F.col("number").alias("query"), F.explode(F.regexp_extract_all("prompt", F.lit(r"(?:^|[^A-Za-z0-9])([#!][0-9]+)(?:[^A-Za-z0-9]|$)"))).alias("named")).where(F.expr("cast(substr(named, 2) as bigint)") >= 10)
     oids = c.select(F.col("number").alias("query"), F.explode(F.regexp_extract_all("prompt", F.lit(r"(?:^|[^A-Za-z0-9#])([0-9a-f]{7,40})(?:[^A-Za-z0-9]|$)"))).alias("named"))
     return numbers.unionByName(oids)

@@ -155,14 +155,14 @@ def upkeep_steps(r):
     return T.upkeep({"events": (r.acts, "seq", F.col("ts") < 30_000_000), "positions": (r.positions, "node_id", F.col("ts") < 40_000_000), "notices": (r.notices, "notice_id", F.col("ts") < 40_000_000)}, 3000)
 
 
-@statement("with p as (select injection_id, a.node_id x, b.node_id y from items a join items b using (injection_id) where a.node_id < b.node_id and injection_id % 3 = 0), c as (select x, y, count(*) n from p group by 1, 2) select x, y, n, round(n::double / (select max(n) from c), 6) share from c where x % 20 = 1")
+@statement("with p as (select injection_id, a.node_id x, b.node_id y from items a join items b using (injection_id) where a.node_id < b.node_id), c as (select x, y, count(*) n from p group by 1, 2) select x, y, n, round(n::double / (select max(n) from c), 6) share from c")
 def work_order_pairs(r):
     """Files named together in work orders, over the most often named pair; pairs are made inside an order's list of files."""
-    orders = r.items.where("injection_id % 3 = 0").groupBy("injection_id").agg(F.array_sort(F.collect_set("node_id")).alias("n"))
+    orders = r.items.groupBy("injection_id").agg(F.array_sort(F.collect_set("node_id")).alias("n"))
     pair = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.size("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     c = orders.select(F.explode(pair).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
     most = c.agg(F.max("n").alias("most"))
-    return c.where("x % 20 = 1").crossJoin(F.broadcast(most)).select("x", "y", "n", F.round(F.col("n") / F.col("most"), 6).alias("share"))
+    return c.crossJoin(F.broadcast(most)).select("x", "y", "n", F.round(F.col("n") / F.col("most"), 6).alias("share"))
 
 
 @statement("select kind, count(*) n from nodes group by 1 union all select 'edges', count(*) from links")

@@ -42,10 +42,10 @@ def reference_tiers(r):
     return N.resolved(refs, _names(r), precise, _imports(r))
 
 
-@statement(f"with {_NAMES}, alt as (select src_symbol_id ref, src_file_id + k file, dst_name name from refs, (select unnest([0, 300, 600]) k) where src_file_id % 50 = 1), a as (select ref, s from (select alt.ref, alt.file, alt.name, min(symbol) s from alt left join nm on nm.name = alt.name and nm.file % 300 = alt.file % 300 group by 1, 2, 3)) select ref, min(s) symbol from a group by 1 having count(distinct s) = 1 and count(*) filter (where s is null) = 0")
+@statement(f"with {_NAMES}, alt as (select src_symbol_id ref, src_file_id + k file, dst_name name from refs, (select unnest([0, 300, 600]) k)), a as (select ref, s from (select alt.ref, alt.file, alt.name, min(symbol) s from alt left join nm on nm.name = alt.name and nm.file % 300 = alt.file % 300 group by 1, 2, 3)) select ref, min(s) symbol from a group by 1 having count(distinct s) = 1 and count(*) filter (where s is null) = 0")
 def names_agreed(r):
     """Three alternatives for each reference must find one definition."""
-    alt = r.refs.where("src_file_id % 50 = 1").select(F.col("src_symbol_id").alias("ref"), F.explode(F.array(*[F.col("src_file_id") + k for k in (0, 300, 600)])).alias("file"), F.col("dst_name").alias("name"))
+    alt = r.refs.select(F.col("src_symbol_id").alias("ref"), F.explode(F.array(*[F.col("src_file_id") + k for k in (0, 300, 600)])).alias("file"), F.col("dst_name").alias("name"))
     n = _names(r).select((F.col("file") % 300).alias("m"), "name", "symbol")
     found = alt.withColumn("m", F.col("file") % 300).join(n, ["m", "name"], "left").groupBy("ref", "file", "name").agg(F.min("symbol").alias("symbol"))
     return N.agreed(found)

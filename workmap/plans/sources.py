@@ -29,10 +29,10 @@ def payload_events(r):
     return payloads.events(a.select("seq", value.alias("value"))).select("seq", "session", "cwd", "kind", "path", "command", "pattern", "first", "prompt")
 
 
-@statement("select distinct l_orderkey commit_, l_partkey file, case when l_returnflag = 'R' then l_partkey + 1 end renamed_from from lineitem where l_orderkey % 10 = 3")
+@statement("select distinct l_orderkey commit_, l_partkey file, case when l_returnflag = 'R' then l_partkey + 1 end renamed_from from lineitem")
 def git_listing(r):
     """A log listing made of orders and their lines, parsed again."""
-    ch = r.table("lineitem").where("l_orderkey % 10 = 3").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    ch = r.table("lineitem").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
     line = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("R100\tf"), (F.col("l_partkey") + 1).cast("string"), F.lit("\tf"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("M\tf"), F.col("l_partkey").cast("string")))
     record = ch.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
     listing = record.select(F.concat(F.lit("\u0000"), F.lpad(F.col("l_orderkey").cast("string"), 40, "0"), F.lit(" p1 p2|"), F.col("l_orderkey").cast("string"), F.lit("\n"), "lines", F.lit("\n")).alias("value"))
@@ -68,21 +68,21 @@ def cards_read(spark, d):
     return history.cards(c).select("oid", "kind", "pull_request", F.array_join("issues", ",").alias("issues"), "reason")
 
 
-@statement("select path, case when file_id % 3 = 0 then 'M' when file_id % 3 = 1 then '??' else 'R' end state from files where file_id % 40 = 6 order by path limit 1000")
+@statement("select path, case when file_id % 3 = 0 then 'M' when file_id % 3 = 1 then '??' else 'R' end state from files order by path limit 1000")
 def uncommitted_files(r):
     """A work tree's short status, parsed."""
-    f = r.files.where("file_id % 40 = 6")
     m = F.col("file_id") % 3
     line = F.when(m == 0, F.concat(F.lit(" M "), "path")).when(m == 1, F.concat(F.lit("?? "), "path")).otherwise(F.concat(F.lit("R  old/x -> "), "path"))
-    text = f.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
-    return history.uncommitted(text)
+    # a tree's status is as long as its files are many: a text for each folder, as its own work tree gives
+    text = r.files.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return history.uncommitted(text.select("text"))
 
 
-@query("select o_custkey session, 'm' || o_orderkey response, 'model-' || (o_orderkey % 3) model, o_orderkey * 1000 ts, o_orderkey % 700 input, o_orderkey % 97 + 5 output from orders where o_orderkey % 4 = 1")
+@query("select o_custkey session, 'm' || o_orderkey response, 'model-' || (o_orderkey % 3) model, o_orderkey * 1000 ts, o_orderkey % 700 input, o_orderkey % 97 + 5 output from orders")
 def transcripts_by_message(spark, d):
     """Transcripts with a line for each block of a message: a message counts once, with its largest output."""
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").where("o_orderkey % 4 = 1").withColumn("block", F.explode(F.array(F.lit(0), F.lit(5))))
+    o = table(spark, d, "orders").withColumn("block", F.explode(F.array(F.lit(0), F.lit(5))))
     usage = F.struct((k % 700).alias("input_tokens"), F.lit(0).alias("cache_creation_input_tokens"), F.lit(0).alias("cache_read_input_tokens"), (k % 97 + F.col("block")).alias("output_tokens"))
     message = F.struct(F.concat(F.lit("m"), k.cast("string")).alias("id"), F.concat(F.lit("model-"), (k % 3).cast("string")).alias("model"), usage.alias("usage"))
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), utc_text(k * 1000 + F.col("block")).alias("timestamp"), message.alias("message")))
@@ -100,12 +100,11 @@ def transcripts_by_record(spark, d):
     return readers.usage_of_records(lines).select("session", "response", "model", "input", "cache_read", "output")
 
 
-@statement("select session_id file, seq from acts where session_id % 8 = 5 and seq > 3000 and seq < 12000")
+@statement("select session_id file, seq from acts where seq > 3000 and seq < 12000")
 def transcripts_tailed(r):
     """Lines behind a mark in files that grow; the last line, which has no end yet, waits."""
     line = F.concat(F.lpad(F.col("seq").cast("string"), 8, "0"), F.lit("\n"))
-    a = r.acts.where("session_id % 8 = 5")
-    text = a.groupBy(F.col("session_id").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("seq") < 12_000, line))), "").alias("t"), F.count_if(F.col("seq") <= 3000).alias("read"))
+    text = r.acts.groupBy(F.col("session_id").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("seq") < 12_000, line))), "").alias("t"), F.count_if(F.col("seq") <= 3000).alias("read"))
     texts = text.select("file", F.encode(F.concat("t", F.lit("half a li")), "UTF-8").alias("content"))
     lines, _ = files.tailed(texts, text.select("file", (F.col("read") * 9).cast("long").alias("at")))
     return lines.select("file", F.col("line").cast("long").alias("seq"))
