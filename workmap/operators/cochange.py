@@ -22,11 +22,20 @@ def numbered(df: DataFrame, bucket, order: list, name: str = "seq") -> DataFrame
     return b.join(F.broadcast(starts), "_b").withColumn(name, (F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).cast("long")).drop("_b", "_start")
 
 
-def commit_files(changes: DataFrame, commits: DataFrame, max_files: int) -> DataFrame:
-    """(seq, file) of commits(commit, seq) with at most max_files files: mass commits say nothing about pairs."""
-    once = changes.select("commit", "file").distinct()
+def commit_lists(changes: DataFrame, commits: DataFrame, max_files: int) -> DataFrame:
+    """(seq, files) of commits(commit, seq) with at most max_files files, sorted: mass commits say nothing about pairs.
+
+    Changes are dealt by commit once; distinct files, their number and the list are then made where they are, and the list
+    only of commits that count, so that it is bounded.
+    """
+    once = changes.select("commit", "file").repartition("commit").distinct()
     sizes = once.groupBy("commit").count().where(F.col("count") <= max_files).select("commit")
-    return once.join(sizes, "commit").join(commits, "commit").select("seq", "file")
+    return once.join(sizes, "commit").groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files")).join(commits, "commit").select("seq", "files")
+
+
+def commit_files(changes: DataFrame, commits: DataFrame, max_files: int) -> DataFrame:
+    """(seq, file) of commits(commit, seq) with at most max_files files."""
+    return commit_lists(changes, commits, max_files).select("seq", F.explode("files").alias("file"))
 
 
 def renames_followed(changes: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -72,11 +81,13 @@ def file_commits(files: DataFrame, anchor, half_life: float = HALF_LIFE) -> Data
 
 
 def pair_commits(files: DataFrame, anchor, half_life: float = HALF_LIFE) -> DataFrame:
-    """Pairs a < b of one commit, made inside its list of files, whose length is bounded, then one partial aggregate: no self-join."""
-    lists = files.groupBy("seq").agg(F.array_sort(F.collect_list("file")).alias("f"), *([F.first("anchor").alias("anchor")] if "anchor" in files.columns else []))
-    pair = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = lists.where(F.size("f") > 1).select("seq", commit_weight(anchor, F.col("seq"), half_life).alias("w"), F.explode(pair).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("file_a"), F.col("p.b").alias("file_b")).agg(F.count("*").alias("commits"), F.sum("w").alias("weighted"), F.max("seq").alias("last_seq"))
+    """Pairs a < b of one commit, from (seq, files) or (seq, file): made from a commit's list, whose length is bounded, by its places, then one partial aggregate: no self-join."""
+    lists = files
+    if "files" not in files.columns:
+        lists = files.groupBy("seq").agg(F.array_sort(F.collect_list("file")).alias("files"), *([F.first("anchor").alias("anchor")] if "anchor" in files.columns else []))
+    first = lists.where(F.size("files") > 1).select("seq", commit_weight(anchor, F.col("seq"), half_life).alias("w"), "files", F.posexplode("files").alias("place", "a"))
+    pairs = first.select("seq", "w", "a", F.explode(F.slice("files", F.col("place") + 2, F.size("files"))).alias("b"))
+    return pairs.groupBy(F.col("a").alias("file_a"), F.col("b").alias("file_b")).agg(F.count("*").alias("commits"), F.sum("w").alias("weighted"), F.max("seq").alias("last_seq"))
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:

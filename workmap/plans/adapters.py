@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workmap.functions.scalar import epoch_ms
 from workmap.operators import activity, cochange
-from workmap.operators.scratch import checkpointed
+from workmap.operators.scratch import written
 
 #: Most files of a commit that says something about pairs.
 MAX_FILES = 30
@@ -22,12 +22,17 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return cochange.numbered(o, F.col("at").cast("date"), ["at", "commit"]).select("commit", "seq")
 
 
-def commit_files(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
-    """(seq, file, anchor): what each commit touches, made once; anchor is the newest commit's number, one row joined to all."""
+def commit_lists(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
+    """(seq, files, anchor): what each commit touches, made once; anchor is the newest commit's number, one row joined to all."""
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
-    files = checkpointed(cochange.commit_files(changes, commits(spark, d), max_files))
-    newest = files.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("anchor"))
-    return files.crossJoin(F.broadcast(newest))
+    lists = written(cochange.commit_lists(changes, commits(spark, d), max_files))
+    newest = lists.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("anchor"))
+    return lists.crossJoin(F.broadcast(newest))
+
+
+def commit_files(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
+    """(seq, file, anchor), a row for each file that a commit touches."""
+    return commit_lists(spark, d, max_files).select("seq", F.explode("files").alias("file"), "anchor")
 
 
 def anchor(files: DataFrame):
@@ -94,9 +99,9 @@ def edges(spark: SparkSession, d: str, max_files: int = MAX_FILES) -> DataFrame:
     flag = F.col("l_returnflag")
     w = F.when(flag == "A", 1.0).when(flag == "N", 0.8).otherwise(0.6)
     s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") + 10_000_000).alias("src"), F.col("l_partkey").alias("dst")).agg(F.max(w).alias("w")).where("src is not null")
-    f = commit_files(spark, d, max_files)
+    f = commit_lists(spark, d, max_files)
     a = anchor(f)
-    p = cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f, a))
+    p = cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f.select("seq", F.explode("files").alias("file"), "anchor"), a))
     return s.select("src", "dst", F.lit("structural").alias("type"), "w", F.lit(0).cast("long").alias("last_seq")).unionByName(p.select("src", "dst", F.lit("cochange").alias("type"), F.round("confidence", 9).alias("w"), F.lit(0).cast("long").alias("last_seq")))
 
 

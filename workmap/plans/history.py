@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from workmap.functions.scalar import prefixes, scale_mode
 from workmap.operators import cochange
 from workmap.operators.scratch import written
-from workmap.plans.adapters import COMMITS, MAX_FILES, PARTNERS, anchor, commit_files, commits, table
+from workmap.plans.adapters import COMMITS, MAX_FILES, PARTNERS, anchor, commit_files, commit_lists, commits, table
 from workmap.plans.registry import query
 
 
@@ -19,20 +19,20 @@ def cochange_file_commits(spark, d):
 
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
 def cochange_pairs(spark, d):
-    f = commit_files(spark, d)
+    f = commit_lists(spark, d)
     return cochange.pair_commits(f, anchor(f)).withColumn("weighted", F.round("weighted", 6))
 
 
 @query(f"with {PARTNERS} select src, dst, round(conf, 6) confidence, n commits, place::int place from pk")
 def cochange_edges(spark, d):
-    f = commit_files(spark, d)
+    f = commit_lists(spark, d)
     a = anchor(f)
-    return cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f, a)).withColumn("confidence", F.round("confidence", 6))
+    return cochange.partners(cochange.pair_commits(f, a), cochange.file_commits(f.select("seq", F.explode("files").alias("file"), "anchor"), a)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"with {COMMITS}, w as (select p_partkey f from part where p_size = 7) select fa file_a, fb file_b, n commits from pc where fa in (select f from w) union select fa, fb, n from pc where fb in (select f from w)")
 def cochange_partners_of(spark, d):
-    f = commit_files(spark, d)
+    f = commit_lists(spark, d)
     wanted = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("file"))
     return cochange.partners_of(cochange.pair_commits(f, anchor(f)).select("file_a", "file_b", "commits"), wanted)
 
@@ -40,7 +40,7 @@ def cochange_partners_of(spark, d):
 @query(f"with {COMMITS} select fa file_a, fb file_b, n commits, round(w, 6) weighted, s last_seq from pc")
 def cochange_merge(spark, d):
     """Two minings, of even and of odd commits, add up to the whole."""
-    f = commit_files(spark, d)
+    f = commit_lists(spark, d)
     a = anchor(f)
     halves = [cochange.pair_commits(f.where(F.col("seq") % 2 == k), a) for k in (0, 1)]
     return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"]).withColumn("weighted", F.round("weighted", 6))
@@ -78,14 +78,14 @@ def renames_followed(spark, d):
 def cochange_renamed_pairs(spark, d):
     """Pairs of files over their whole history, renames followed."""
     files = _todays(spark, d)
-    newest = commit_files(spark, d).agg(F.max("anchor").alias("anchor"))
+    newest = commit_lists(spark, d).agg(F.max("anchor").alias("anchor"))
     return cochange.pair_commits(files.crossJoin(newest), F.col("anchor")).withColumn("weighted", F.round("weighted", 6))
 
 
 @query(f"{_MOVES} select f file, count(*) commits, round(sum(pow(0.5, (a - seq) / 500.0)), 6) weighted from rf, a group by 1")
 def cochange_renamed_file_commits(spark, d):
     files = _todays(spark, d)
-    newest = commit_files(spark, d).agg(F.max("anchor").alias("anchor"))
+    newest = commit_lists(spark, d).agg(F.max("anchor").alias("anchor"))
     return cochange.file_commits(files.crossJoin(newest), F.col("anchor")).withColumn("weighted", F.round("weighted", 6))
 
 
