@@ -19,7 +19,7 @@ def numbered(df: DataFrame, bucket, order: list, name: str = "seq") -> DataFrame
     starts = b.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return b.join(F.broadcast(starts), "_b").withColumn(name, (F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).cast("long")).drop("_b", "_start")
+    return b.join(starts, "_b").withColumn(name, (F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).cast("long")).drop("_b", "_start")
 
 
 def commit_lists(changes: DataFrame, commits: DataFrame, max_files: int) -> DataFrame:

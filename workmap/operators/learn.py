@@ -107,12 +107,14 @@ def recent_precision(labels: DataFrame, window: int = 100) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Mann-Whitney with average ranks: counts of each distinct score, summed over buckets of scores first, so that a window holds no more than the buckets or one bucket's scores."""
+    """Mann-Whitney with average ranks: counts of each distinct score, summed over buckets of scores first, so that a window holds no more than the buckets or one bucket's scores.
+
+    Buckets end at approximate quantiles of the distinct scores, so skewed scores fill them alike.
+    """
     by = scored.groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
     # equal scores share a bucket; buckets are ranges, so what is below a score is in buckets below or in its own
-    ends = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = F.greatest((F.col("hi") - F.col("lo")).cast("double") / 1024, F.lit(1e-300))
-    placed = by.crossJoin(F.broadcast(ends)).withColumn("b", F.least(F.floor((F.col("score") - F.col("lo")).cast("double") / width), F.lit(1023)))
+    ends = by.agg(F.percentile_approx("score", [k / 128 for k in range(1, 128)], 1000).alias("ends"))
+    placed = by.crossJoin(F.broadcast(ends)).withColumn("b", F.size(F.filter("ends", lambda e: e < F.col("score")))).drop("ends")
     sums = placed.groupBy("b").agg(F.sum("neg").alias("n_b"))
     below_b = sums.withColumn("below_b", F.coalesce(F.sum("n_b").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_b")
     inside = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)

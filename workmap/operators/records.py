@@ -82,7 +82,7 @@ def picodollars(rows: DataFrame, prices: DataFrame) -> DataFrame:
     exact = prices.select(F.col("model").alias("m1"), F.struct(*[c for c in prices.columns if c != "model"]).alias("p1"))
     dated = prices.select(F.col("model").alias("m2"), F.struct(*[c for c in prices.columns if c != "model"]).alias("p2"))
     undated = F.regexp_extract("model", r"^(.*)-[0-9]{8}$", 1)
-    r = rows.join(F.broadcast(exact), F.col("model") == F.col("m1"), "left").join(F.broadcast(dated), undated == F.col("m2"), "left").withColumn("p", F.coalesce("p1", "p2")).drop("m1", "p1", "m2", "p2")
+    r = rows.join(exact, F.col("model") == F.col("m1"), "left").join(dated, undated == F.col("m2"), "left").withColumn("p", F.coalesce("p1", "p2")).drop("m1", "p1", "m2", "p2")
     hour = F.when(F.col("cache_write_1h") <= F.col("cache_write"), F.col("cache_write_1h")).when(F.col("cache_write_1h").isNull() & (F.col("cache_write") == 0), 0)
     per_mille = F.when(F.col("geo") == "global", 1000).when(F.col("geo") == "us", F.col("p.us_per_mille"))
     why = (
