@@ -88,14 +88,18 @@ def test_the_index_follows_its_documents(spark, tmp_path, monkeypatch):
 
 
 def test_blocks_that_cannot_matter_stay_shut(spark, tmp_path, monkeypatch):
+    """Six documents decide; the common word finds none by itself, and of its own blocks only the best are opened where it is asked alone."""
     monkeypatch.setattr("workmap.operators.search_index.BLOCK", 8)
-    docs = [(i, "rare " * 3 if i < 6 else "often " + "filler " * (i % 40)) for i in range(600)]
+    docs = [(i, "rare " * 3 if i < 6 else "some " * (1 + 5 * (i % 20 == 0)) + "filler " * (i % 40) if i % 3 else "filler") for i in range(600)]
     index = SearchIndex(spark, str(tmp_path / "index"), words)
     index.insert(spark.createDataFrame(docs, "number int, body string"), "number", "body")
     opened = []
     whole = index.opened
     index.opened = lambda blocks: (opened.append(blocks), whole(blocks))[1]
-    got = index.top(spark.createDataFrame([(1, "rare"), (1, "often")], "query int, term string"), 5).collect()
+    got = index.top(spark.createDataFrame([(1, "rare"), (1, "some")], "query int, term string"), 4).collect()
     assert {x.doc for x in got} <= set(range(6))
-    terms = index.blocks(spark.createDataFrame([("rare",), ("often",)], "term string"))
-    assert opened[-1].count() < terms.count() / 2
+    finding = opened[-2].groupBy("term").count().collect()
+    assert [x.term for x in finding] == ["rare"]
+    opened.clear()
+    index.top(spark.createDataFrame([(1, "some")], "query int, term string"), 4).collect()
+    assert opened[-2].count() < index.blocks(spark.createDataFrame([("some",)], "term string")).count()

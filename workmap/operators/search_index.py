@@ -134,8 +134,9 @@ class SearchIndex:
     def top(self, queries: DataFrame, k: int) -> DataFrame:
         """(query, doc, score, place): the k best documents of each query(query, term) by BM25, a disjunction.
 
-        A query's k-th best is at least what the least of k postings of one term score (more, if some may have gone). A block is
-        opened for a query only if its best, with the most that the other terms can add, reaches that.
+        A query's k-th best is at least what the least of k postings of one term score (more, if some may have gone): its bar. Terms
+        that can't reach the bar together find no document alone: their postings count for documents that the others found only.
+        Of the others, a block is opened only if its best, with the most that all other terms can add, reaches the bar.
         """
         asked = queries.select("query", "term").distinct()
         mean, rows = F.greatest(F.col("mean_length"), F.lit(1e-9)), F.col("rows")
@@ -146,11 +147,16 @@ class SearchIndex:
         spare = 0 if gone is None else gone.count()
         order = Window.partitionBy("term").orderBy(F.desc("least"))
         sure = found.select("term", "best", "least", F.sum(F.size("postings")).over(order).alias("n"))
-        ends = sure.groupBy("term").agg(F.max("best").alias("best"), F.coalesce(F.max(F.when(F.col("n") >= k + spare, F.col("least"))), F.lit(0.0)).alias("sure"))
-        bars = asked.join(ends, "term")
-        bars = bars.join(bars.groupBy("query").agg(F.sum("best").alias("all"), F.max("sure").alias("bar")), "query").select("query", "term", (F.col("bar") - F.col("all") + F.col("best") - 1e-6).alias("needed"))
-        open_ = found.join(bars, "term").where(F.col("best") >= F.col("needed")).select("query", "generation", "term", "postings", "idf", "mean_length")
-        scored = self.opened(open_).groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * _part(F.col("tf"), F.col("length"), mean)), 6).alias("score"))
+        ends = sure.groupBy("term").agg(F.max("best").alias("most_"), F.coalesce(F.max(F.when(F.col("n") >= k + spare, F.col("least"))), F.lit(0.0)).alias("sure"))
+        bars = asked.join(ends, "term").withColumn("bar", F.max("sure").over(Window.partitionBy("query")) - 2e-6)  # scores are compared to six places
+        up = F.sum("most_").over(Window.partitionBy("query").orderBy("most_", "term"))
+        bars = bars.withColumn("finds", up >= F.col("bar")).withColumn("needed", F.col("bar") - F.sum("most_").over(Window.partitionBy("query")) + F.col("most_"))
+        open_ = found.join(bars.select("query", "term", "finds", "needed"), "term").where(~F.col("finds") | (F.col("best") >= F.col("needed")))
+        part = (F.col("idf") * _part(F.col("tf"), F.col("length"), mean)).alias("s")
+        kept = ["query", "generation", "term", "postings", "idf", "mean_length"]
+        first = self.opened(open_.where("finds").select(*kept)).select("query", "doc", part)
+        more = self.opened(open_.where("not finds").select(*kept)).select("query", "doc", part).join(first.select("query", "doc").distinct(), ["query", "doc"], "left_semi")
+        scored = first.unionByName(more).groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
