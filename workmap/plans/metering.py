@@ -59,8 +59,7 @@ k as (select *, case when cache_write_1h <= cache_write then cache_write_1h when
 q as (select *, case when i is null then 'model' when tier <> 'standard' then 'tier' when pm is null then 'region' when h is null then 'cache_split' when speed is null then 'speed' when speed = 'fast' and fast is null then 'speed' end why from k)
 select model, coalesce(why, '') as unpriced, count(*) turns, coalesce(sum(case when why is null then ((cache_write - h)::hugeint * w5 + h::hugeint * w1 + input::hugeint * i + cache_read::hugeint * r + output::hugeint * o) * (case when speed = 'fast' then fast else 1000 end) * pm // 1000000 end), 0)::varchar picodollars from q group by 1, 2""")
 def cost_picodollars(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("_billed_lines")
-    rows = spark.sql(_BILLED.replace("from lineitem", "from _billed_lines"))
+    rows = spark.sql(_BILLED.replace("from lineitem", "from {lines}"), lines=table(spark, d, "lineitem"))
     priced = records.picodollars(rows, price_table(spark)).groupBy("model", F.coalesce("unpriced", F.lit("")).alias("unpriced"))
     return priced.agg(F.count("*").alias("turns"), F.coalesce(F.sum("picodollars"), F.lit(0)).cast("string").alias("picodollars"))
 
