@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from workmap.operators import advice, learning, receipts
 from workmap.operators import resolution as N
 from workmap.operators import retrieval as R
+from workmap.plans import QUERIES
 
 
 def features(**given):
@@ -104,3 +108,21 @@ def test_facts_and_approaches(spark):
     runs = spark.createDataFrame([(1, 1, "s"), (1, 3, "s"), (1, 4, "s"), (1, 6, "t")], "task int, seq int, signature string")
     edits = spark.createDataFrame([(1, 2), (1, 5)], "task int, seq int")
     assert [(r.signature, r.runs) for r in learning.persisted_failures(runs, edits).collect()] == [("s", 2)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the given tables aren't here")
+def test_a_question_sees_tables_as_they_are(spark, tmp_path):
+    """Nothing is kept between calls: other questions and other documents give other answers."""
+    for name in ("documents", "benchmark"):
+        shutil.copytree(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet") if os.path.isdir(f"{SMALL}/{name}.parquet") else shutil.copy(f"{SMALL}/{name}.parquet", tmp_path)
+    first = {r["query"] for r in QUERIES["lexical_seeds"](spark, str(tmp_path)).collect()}
+    few = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(3).toPandas()
+    few.to_parquet(tmp_path / "benchmark.parquet")
+    again = QUERIES["lexical_seeds"](spark, str(tmp_path)).collect()
+    assert len(first) > 3 and {r["query"] for r in again} <= set(few["item_id"]) and again
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
+    docs.assign(doc_id=docs["doc_id"] + 5000).to_parquet(tmp_path / "documents.parquet")
+    assert {r["node"] for r in QUERIES["lexical_seeds"](spark, str(tmp_path)).collect()} == {r["node"] + 5000 for r in again}

@@ -26,11 +26,11 @@ def _run(spark, stream, mode):
 
 
 @query(
-    f"with {EVENTS}, g as (select session, ts, (ts - lag(ts) over (partition by session order by ts, seq) >= 21600000 or lag(ts) over (partition by session order by ts, seq) is null)::int new from e), i as (select *, sum(new) over (partition by session order by ts rows between unbounded preceding and current row) k from g) select session, min(ts) started_at, max(ts) + 21600000 ended_at, count(*) events from i group by session, k"
+    f"with {EVENTS}, g as (select session, ts, (ts - lag(ts) over (partition by session order by ts, seq) >= 21600000 or lag(ts) over (partition by session order by ts, seq) is null)::int new from e), i as (select *, sum(new) over (partition by session order by ts rows between unbounded preceding and current row) k from g) select session, min(ts) started_at, max(ts) + 21600000 ended_at, count(*) events from i group by session, k having max(ts) + 21600000 <= (select max(ts) - 30000 from e)"
 )
 def stream_sessions(spark, d):
-    """Sessions by gaps of six hours."""
-    s = _run(spark, live.sessions(_stream(spark, d), "6 hours", late="60 days"), "complete")
+    """Sessions by gaps of six hours, each given out once the watermark has passed its end."""
+    s = _run(spark, live.sessions(_stream(spark, d), "6 hours"), "append")
     return s.select("session", F.unix_millis("started_at").alias("started_at"), F.unix_millis("ended_at").alias("ended_at"), "events")
 
 
@@ -42,17 +42,17 @@ def stream_positions(spark, d):
     return s.select("session", "node", "mode", F.unix_millis("until").alias("until"))
 
 
-@query(f"with {EVENTS}, g as (select node, ts, (ts - lag(ts) over (partition by node order by ts, seq) >= 3600000 or lag(ts) over (partition by node order by ts, seq) is null)::int new from e where node is not null), i as (select *, sum(new) over (partition by node order by ts rows between unbounded preceding and current row) k from g) select node, max(ts) + 3600000 quiet_at, count(*) changes from i group by node, k")
+@query(f"with {EVENTS}, g as (select node, ts, (ts - lag(ts) over (partition by node order by ts, seq) >= 3600000 or lag(ts) over (partition by node order by ts, seq) is null)::int new from e where node is not null), i as (select *, sum(new) over (partition by node order by ts rows between unbounded preceding and current row) k from g) select node, max(ts) + 3600000 quiet_at, count(*) changes from i group by node, k having max(ts) + 3600000 <= (select max(ts) - 30000 from e)")
 def stream_quiet_paths(spark, d):
     """Changes of a path in a row count as one, an hour after the last."""
-    s = _run(spark, live.quiet_paths(_stream(spark, d).where("node is not null"), "1 hour", late="60 days"), "complete")
+    s = _run(spark, live.quiet_paths(_stream(spark, d).where("node is not null"), "1 hour"), "append")
     return s.select("node", F.unix_millis("quiet_at").alias("quiet_at"), "changes")
 
 
-@query(f"with {EVENTS} select ts // 21600000 * 21600000 started_at, count(*) changes from e group by 1 having count(*) > 85")
+@query(f"with {EVENTS} select ts // 21600000 * 21600000 started_at, count(*) changes from e group by 1 having count(*) > 85 and ts // 21600000 * 21600000 + 21600000 <= (select max(ts) - 30000 from e)")
 def stream_bursts(spark, d):
     """Windows of six hours with more changes than are worth following one by one."""
-    s = _run(spark, live.bursts(_stream(spark, d), "6 hours", 85, late="60 days"), "complete")
+    s = _run(spark, live.bursts(_stream(spark, d), "6 hours", 85), "append")
     return s.select(F.unix_millis("started_at").alias("started_at"), "changes")
 
 
