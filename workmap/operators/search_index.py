@@ -172,14 +172,17 @@ class SearchIndex:
     def coverage(self, queries: DataFrame, least: float, floor_share: float = 0.01) -> DataFrame:
         """(query, doc, coverage): documents that hold at least the part `least` of a query's weight in words.
 
-        A query's rarest words are taken until those left weigh too little to reach the bar alone: only documents with one of these
-        are candidates. They are looked up in the forward table for all of the query's words.
+        A query's commonest words, of a quarter of what is needed at most, are left out at first: documents whose other words don't
+        come to the bar with all of them drop out before the few that are left are looked up in the forward table.
         """
         known = self.weights(queries, floor_share)
-        rest = F.sum("idf").over(Window.partitionBy("query").orderBy(F.desc("df"), "term"))  # from the commonest on
-        needed = known.withColumn("rest", rest).where(F.col("rest") >= (least - 1e-6) * F.col("whole")).select("query", "term")
-        pairs = self.opened(self.blocks(needed)).join(needed, "term").select("query", "doc").distinct()
-        return self.covered(pairs, known).where(F.col("coverage") >= least)
+        bar = (least - 1e-6) * F.col("whole")
+        running = F.sum("idf").over(Window.partitionBy("query").orderBy(F.desc("df"), "term"))  # from the commonest on
+        ranked = known.withColumn("common", running < bar / 4)
+        ranked = ranked.withColumn("missing", bar - F.coalesce(F.sum(F.when(F.col("common"), F.col("idf"))).over(Window.partitionBy("query")), F.lit(0.0)))
+        first = ranked.where("not common").select("query", "term", "idf", "missing")
+        held = self.opened(self.blocks(first)).join(first, "term").groupBy("query", "doc").agg(F.sum("idf").alias("has"), F.first("missing").alias("missing"))
+        return self.covered(held.where("has >= missing").select("query", "doc"), known).where(F.col("coverage") >= least)
 
     def covered(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """(query, doc, coverage) of pairs(query, doc), from the forward table; known as `weights` gives it."""

@@ -18,8 +18,8 @@ from workmap.operators.scratch import bucketed, discard, written
 TELEPORT, TOLERANCE = 0.5, 1e-3
 #: Links of one row of an adjacency; a node with more has several rows, in buckets of their own.
 ROW_LINKS = 4096
-#: A round pushes nodes with half the mean of what nodes have left, or more: at least half of the mass moves.
-HALF = 2 + 1e-6
+#: A round pushes nodes with a tenth of the mean of what nodes have left, or more: at least nine tenths of the mass move.
+TENTH = 10 + 1e-6
 
 
 class Adjacency:
@@ -58,7 +58,7 @@ def left_over(state: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 
 def after(state: DataFrame, left: DataFrame, links: Adjacency, teleport: float = TELEPORT, seen: Observation | None = None) -> DataFrame:
     """The state after a round: what is pushed is kept in part, its other part goes to the links, or is dropped where there are none. `seen` gets how many nodes were pushed."""
-    enough = (F.col("rest") > 0) & (F.col("rest") * F.col("n") * HALF >= F.col("left"))
+    enough = (F.col("rest") > 0) & (F.col("rest") * F.col("n") * TENTH >= F.col("left"))
     marked = state.join(left, "query", "left").select("query", "node", "kept", "rest", F.coalesce(enough, F.lit(False)).alias("push"))
     pushed = marked.where("push").select("query", F.col("node").alias("src"), "rest")
     given = links.moved(pushed).select("query", F.col("dst").alias("node"), F.lit(0.0).alias("kept"), (F.col("rest") * (1 - teleport) * F.col("share")).alias("rest"))
@@ -89,6 +89,6 @@ def exact_sql(state: str, links: str, rounds: int, tolerance: float = TOLERANCE,
     on = "g.node = l.src" + (" and g.query = l.query" if keyed else "")
     parts = [f"{name}0 as materialized (select query, node, 0.0::double kept, sum(w)::double rest from {state} where w > 0 group by 1, 2)"]
     for k in range(1, rounds + 1):
-        parts.append(f"{name}g{k} as materialized (select s.*, coalesce(rest > 0 and rest * n * {HALF} >= a, false) p from {name}{k - 1} s left join (select query, sum(rest) a, count(*) n from {name}{k - 1} where rest > 0 group by 1 having sum(rest) > {tolerance}) using (query))")
+        parts.append(f"{name}g{k} as materialized (select s.*, coalesce(rest > 0 and rest * n * {TENTH} >= a, false) p from {name}{k - 1} s left join (select query, sum(rest) a, count(*) n from {name}{k - 1} where rest > 0 group by 1 having sum(rest) > {tolerance}) using (query))")
         parts.append(f"{name}{k} as materialized (select query, node, sum(kept) kept, sum(rest) rest from (select query, node, kept + case when p then {TELEPORT} * rest else 0 end kept, case when p then 0 else rest end rest from {name}g{k} union all select g.query, l.dst, 0, rest * {1 - TELEPORT} * l.p from {name}g{k} g join {links} l on {on} where g.p) group by 1, 2)")
     return ",\n".join(parts)
