@@ -90,7 +90,7 @@ def test_the_index_follows_its_documents(spark, tmp_path, monkeypatch):
 def test_blocks_that_cannot_matter_stay_shut(spark, tmp_path, monkeypatch):
     """Six documents decide; the common word finds none by itself, and of its own blocks only the best are opened where it is asked alone."""
     monkeypatch.setattr("workmap.operators.search_index.BLOCK", 8)
-    docs = [(i, "rare " * 3 if i < 6 else "some " * (1 + 5 * (i % 20 == 0)) + "filler " * (i % 40) if i % 3 else "filler") for i in range(600)]
+    docs = [(i, "rare " * 3 if i < 6 else "some " * (1 + 5 * (i % 20 == 1)) + "filler " * (i % 40) if i % 3 == 1 else "filler") for i in range(600)]
     index = SearchIndex(spark, str(tmp_path / "index"), words)
     index.insert(spark.createDataFrame(docs, "number int, body string"), "number", "body")
     opened = []
