@@ -77,7 +77,8 @@ def build_index(docs: DataFrame, shard_bytes: int = 8 << 20) -> tuple[DataFrame,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = source.select("text").mapInArrow(_lengths, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     documents, terms = (int(x or 0) for x in n)
-    return written(source.mapInArrow(_build(documents, terms, shard_bytes), SHARD), compression="zstd"), documents, terms
+    # a shard is a row of some 10 MB: each is a row group of its own, so that writers and readers hold one, not all of a file
+    return written(source.mapInArrow(_build(documents, terms, shard_bytes), SHARD), compression="zstd", **{"parquet.block.row.count.limit": "1"}), documents, terms
 
 
 def _holding(wanted: list[str]):
