@@ -69,6 +69,11 @@ def replaced(rows: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
     return without(rows, given.select(*keys)).unionByName(given)
 
 
+def inserted(rows: DataFrame, given: DataFrame) -> DataFrame:
+    """A plain insert; `is_new` tells the given rows from those that were there, whatever their keys are."""
+    return rows.withColumn("is_new", F.lit(False)).unionByName(given.withColumn("is_new", F.lit(True)))
+
+
 def once(rows: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
     """An insert of what isn't there yet."""
     return rows.unionByName(without(given.dropDuplicates(keys), rows.select(*keys)))

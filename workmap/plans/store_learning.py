@@ -226,7 +226,7 @@ def calibration_prune(r):
 @statement("select injection_id + 1000000 injection_id, task_id, channel, delivered from injections where task_id % 9 = 0")
 def injection_insert(r):
     new = r.injections.where("task_id % 9 = 0").withColumn("injection_id", F.col("injection_id") + 1_000_000)
-    return r.injections.unionByName(new).where("injection_id >= 1000000").select("injection_id", "task_id", "channel", "delivered")
+    return S.inserted(r.injections, new).where("is_new").select("injection_id", "task_id", "channel", "delivered")
 
 
 _DELIVERED = "delivered and label is not null and used_count is not null"
