@@ -12,7 +12,7 @@ from workmap.plans.relations import FOLDER_NODES, SYMBOL_NODES, ids, statement
 @statement("select warning_id + 1000000 warning_id, kind, src_node, dst_node from warnings where task_id % 20 = 0")
 def warning_insert(r):
     new = r.warnings.where("task_id % 20 = 0").withColumn("warning_id", F.col("warning_id") + 1_000_000)
-    return r.warnings.unionByName(new).where("warning_id >= 1000000").select("warning_id", "kind", "src_node", "dst_node")
+    return S.inserted(r.warnings, new).where("is_new").select("warning_id", "kind", "src_node", "dst_node")
 
 
 @statement("select kind, count(*) given, count(resolved) judged, coalesce(sum(resolved), 0)::bigint resolved from warnings where kind in ('cochange', 'test') group by 1")
@@ -167,7 +167,7 @@ def notice_deliver(r):
 @statement("select handoff_id + 100000 handoff_id, session_id, ts from handoffs where handoff_id % 50 = 0")
 def handoff_leave(r):
     new = r.handoffs.where("handoff_id % 50 = 0").withColumn("handoff_id", F.col("handoff_id") + 100_000)
-    return S.once(r.handoffs, new, ["handoff_id"]).where("handoff_id >= 100000").select("handoff_id", "session_id", "ts")
+    return S.inserted(r.handoffs, new).where("is_new").select("handoff_id", "session_id", "ts")
 
 
 @statement("select handoff_id, case when session_id % 10 = 3 and closed_at is null then 300000000 else closed_at end closed_at from handoffs")
