@@ -114,6 +114,8 @@ def cache_breaks(usage: DataFrame) -> DataFrame:
 #: How long positions hold, what counts as live, and how near two edits of a file are.
 MINUTE = 60_000
 READ_MS, EDIT_MS, AFTER_TASK_MS, CLAIM_MS, LIVE_MS, SAME_FILE_MS = 10 * MINUTE, 30 * MINUTE, 5 * MINUTE, 120 * MINUTE, 15 * MINUTE, 10 * MINUTE
+#: A slot of time in which edits meet positions.
+SLOT_MS = 1_800_000
 
 
 def until(mode: Column, last: Column, task_ended: Column) -> Column:
@@ -126,7 +128,10 @@ def concerned(edits: DataFrame, positions: DataFrame, seen: DataFrame, couplings
     same = edits.select("edit", "session", "at", "node", F.col("node").alias("held"), F.lit(2).alias("rank"))
     near = edits.join(couplings.select(F.col("src").alias("node"), F.col("dst").alias("held")), "node").select("edit", "session", "at", "node", "held", F.lit(1).alias("rank"))
     p = positions.select(F.col("session").alias("other"), F.col("node").alias("held"), "mode", "last", until(F.col("mode"), F.col("last"), F.col("task_ended")).alias("until"))
-    found = same.unionByName(near).join(p, "held").where("other <> session and last <= at and at < until")
+    # an edit lies in one slot of time, a position in all that it is held in: a node's edits don't meet all its positions
+    slots = F.sequence(F.floor(F.col("last") / SLOT_MS), F.floor((F.col("until") - 1) / SLOT_MS))
+    p = p.where("last < until").withColumn("slot", F.explode(slots))
+    found = same.unionByName(near).withColumn("slot", F.floor(F.col("at") / SLOT_MS)).join(p, ["held", "slot"]).where("other <> session and last <= at and at < until").drop("slot")
     live = found.join(seen.select(F.col("session").alias("other"), "ts"), "other").where(F.col("ts").between(F.col("at") - LIVE_MS + 1, F.col("at"))).select(*found.columns).distinct()
     best = Window.partitionBy("edit", "other").orderBy(F.desc("rank"), "held")
     return live.withColumn("k", F.row_number().over(best)).where("k = 1").select("edit", "other", "held", F.when(F.col("rank") == 2, "same").otherwise("coupled").alias("via"))

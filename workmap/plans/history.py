@@ -43,7 +43,7 @@ def cochange_merge(spark, d):
     f = commit_lists(spark, d)
     a = anchor(f)
     halves = [cochange.pair_commits(f.where(F.col("seq") % 2 == k), a) for k in (0, 1)]
-    return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"]).withColumn("weighted", F.round("weighted", 6))
+    return cochange.merged(halves[0].unionByName(halves[1]), ["file_a", "file_b"], cochange.pair_parts(f)).withColumn("weighted", F.round("weighted", 6))
 
 
 #: A history of renames: a returned part takes the place of the one after it, whose path may be used again, and is, by later orders.
