@@ -217,15 +217,28 @@ _WATCH = "wa as (select seq edit, ts, node_id % 20 node from acts where kind = '
 @statement(f"""with {_WATCH}, cl as (select edit, arg_min(session_id, (abs(ho.ts - wa.ts), ho.seq)) session_id from wa join ho on ho.node = wa.node and ho.kind = 'edit' and ho.ts between wa.ts - 2000 and wa.ts + 2000 group by 1),
 la as (select edit, arg_max(session_id, (ho.ts, ho.seq)) session_id from wa join ho on ho.ts between wa.ts - 30000 and wa.ts + 2000 where edit not in (select edit from cl) group by 1) select edit, session_id, 'claimed' how from cl union all select edit, session_id, 'latest' from la""")
 def watcher_edits(r):
-    """A change seen on disk is claimed by a hook's edit of the file within two seconds, else goes to the session with the latest event from 30 seconds before to 2 after. Both meet by buckets of time."""
-    span = 32_000
+    """A change seen on disk is claimed by a hook's edit of the file within two seconds, else goes to the session with the latest event from 30 seconds before to 2 after.
+
+    The latest event is the last before a change's end in the order of each slot of time, so no change meets all events around
+    it; edits of a file at one time are one before changes are joined to them.
+    """
+    span, near = 32_000, 4_000
     w = r.acts.where("kind = 'edit' and seq % 12 = 1").select(F.col("seq").alias("edit"), F.col("ts").alias("at"), (F.col("node_id") % 20).alias("node"))
-    w = w.withColumn("b", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - 30_000) / span), F.floor((F.col("at") + 2_000) / span)))))
-    h = r.acts.where("seq % 12 <> 1").select("seq", "session_id", "ts", (F.col("node_id") % 20).alias("n"), "kind", F.floor(F.col("ts") / span).alias("b"))
-    near = w.join(h, "b").where(F.col("ts").between(F.col("at") - 30_000, F.col("at") + 2_000))
-    claim = (F.col("n") == F.col("node")) & (F.col("kind") == "edit") & (F.col("ts") >= F.col("at") - 2_000)
-    by = near.groupBy("edit").agg(F.min_by("session_id", F.when(claim, F.struct(F.abs(F.col("ts") - F.col("at")), F.col("seq")))).alias("claimed"), F.count_if(claim).alias("n"), F.max_by("session_id", F.struct("ts", "seq")).alias("latest"))
-    return by.select("edit", F.when(F.col("n") > 0, F.col("claimed")).otherwise(F.col("latest")).alias("session_id"), F.when(F.col("n") > 0, "claimed").otherwise("latest").alias("how"))
+    h = r.acts.where("seq % 12 <> 1").select("seq", "session_id", "ts", (F.col("node_id") % 20).alias("node"), "kind")
+
+    def slots(before: int, after: int, width: int):
+        return F.explode(F.array_distinct(F.array(F.floor((F.col("at") - before) / width), F.floor((F.col("at") + after) / width)))).alias("b")
+
+    ends = w.select("edit", "at", slots(30_000, 2_000, span), (F.col("at") + 2_000).alias("t"), F.lit(1).alias("last"), F.lit(None).cast("struct<ts:bigint,seq:bigint,session_id:bigint>").alias("event"))
+    seen = h.select(F.lit(None).cast("long").alias("edit"), F.lit(None).cast("long").alias("at"), F.floor(F.col("ts") / span).alias("b"), F.col("ts").alias("t"), F.lit(0).alias("last"), F.struct(F.col("ts").cast("long").alias("ts"), F.col("seq").cast("long").alias("seq"), F.col("session_id").cast("long").alias("session_id")).alias("event"))
+    order = Window.partitionBy("b").orderBy("t", "last", "event.seq").rowsBetween(Window.unboundedPreceding, 0)
+    passed = seen.unionByName(ends).withColumn("event", F.last("event", ignorenulls=True).over(order)).where("last = 1 and event.ts >= at - 30000")
+    latest = passed.groupBy("edit").agg(F.max_by("event.session_id", F.struct("event.ts", "event.seq")).alias("latest"))
+    edits = h.where("kind = 'edit'").groupBy("node", "ts").agg(F.min_by("session_id", "seq").alias("session_id"), F.min("seq").alias("seq")).withColumn("b", F.floor(F.col("ts") / near))
+    claims = w.select("edit", "at", "node", slots(2_000, 2_000, near)).join(edits, ["node", "b"]).where(F.col("ts").between(F.col("at") - 2_000, F.col("at") + 2_000))
+    claimed = claims.groupBy("edit").agg(F.min_by("session_id", F.struct(F.abs(F.col("ts") - F.col("at")), "seq")).alias("claimed")).withColumn("n", F.lit(1))
+    by = latest.join(claimed, "edit", "full")
+    return by.select("edit", F.when(F.col("n") == 1, F.col("claimed")).otherwise(F.col("latest")).alias("session_id"), F.when(F.col("n") == 1, "claimed").otherwise("latest").alias("how"))
 
 
 @statement("select mark, case when mark is null then 'full' when head = mark then 'unchanged' when mark in (select number from cards) and age < 7 then 'incremental' else 'full' end plan, mark is null or age >= 7 or head <> mark due from (select case when value = 0 then null else value end mark, 200 head, value / 50 age from git_state)")
