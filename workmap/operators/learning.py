@@ -150,14 +150,25 @@ def calibrated(labelled: DataFrame, inputs: list[str], label: str, at: str, wind
 def asserted(stored: DataFrame, given: DataFrame, bar: float = SAME_CLAIM) -> DataFrame:
     """(given, fact): the stored fact that a given claim only says again: of those with the same anchors the most alike, at `bar` or more; null for a new one.
 
-    Both have (id, anchors, words); they meet by their anchors' hash, so only facts of one place are compared.
+    Both have (id, anchors, words). Sets of words that facts of one place share are compared once, and only with sets that have a
+    word in common among the rarest of either: sets that are alike at the bar can't differ in all of those.
     """
     key = F.xxhash64(F.array_sort("anchors"))
-    a = given.select(F.col("id").alias("given"), key.alias("k"), F.col("words").alias("w"))
-    b = stored.select(F.col("id").alias("fact"), key.alias("k"), F.col("words").alias("v"))
-    like = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    same = a.join(b, "k").withColumn("like", like).where(F.col("like") >= bar)
-    best = same.groupBy("given").agg(F.max_by("fact", F.struct("like", -F.col("fact"))).alias("fact"))
+    a = given.select(F.col("id").alias("given"), key.alias("k"), F.array_sort(F.array_distinct("words")).alias("s"))
+    b = stored.select(F.col("id").alias("fact"), key.alias("k"), F.array_sort(F.array_distinct("words")).alias("s")).where("s is not null").groupBy("k", "s").agg(F.min("fact").alias("fact"))
+    often = b.select("k", F.explode("s").alias("word")).groupBy("k", "word").agg(F.count("*").alias("n"))
+
+    def rarest(sets: DataFrame) -> DataFrame:
+        counted = sets.select("k", "s", F.explode("s").alias("word")).join(often, ["k", "word"], "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+        least = F.ceil(F.size("s") * F.lit(bar) - 1e-9).cast("int")
+        return counted.groupBy("k", "s").agg(order.alias("o")).select("k", "s", F.explode(F.slice("o", F.lit(1), F.size("s") - least + 1)).alias("o")).select("k", "s", F.col("o.word").alias("word"))
+
+    met = rarest(a.where("s is not null").select("k", "s").distinct()).join(rarest(b.select("k", "s")).withColumnRenamed("s", "v"), ["k", "word"]).select("k", "s", "v").distinct()
+    like = F.size(F.array_intersect("s", "v")) / F.size(F.array_union("s", "v"))
+    same = met.withColumn("like", like).where(F.col("like") >= bar).join(b.withColumnRenamed("s", "v"), ["k", "v"])
+    of_set = same.groupBy("k", "s").agg(F.max(F.struct("like", (-F.col("fact")).alias("minus"))).alias("m"))
+    best = a.join(of_set, ["k", "s"]).groupBy("given").agg(F.max("m").alias("m")).select("given", (-F.col("m.minus")).alias("fact"))
     return a.select("given").join(best, "given", "left")
 
 
