@@ -242,7 +242,8 @@ def fact_supersede(r):
 @statement("select task_id, count(*) n from (select task_id, fact_id from given union select distinct task_id, 3 from given) group by 1")
 def facts_given_add(r):
     """Fact 3 is given to every task, once."""
-    return S.once(r.given, r.given.select("task_id").distinct().withColumn("fact_id", F.lit(3).cast("long")), ["task_id", "fact_id"]).groupBy("task_id").agg(F.count("*").alias("n"))
+    given = r.dealt("given", "task_id")
+    return S.once(given, given.select("task_id").distinct().withColumn("fact_id", F.lit(3).cast("long")), ["task_id", "fact_id"]).groupBy("task_id").agg(F.count("*").alias("n"))
 
 
 @statement("select fact_id from given where task_id = 100")
